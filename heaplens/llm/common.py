@@ -71,3 +71,37 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def split_heavy(rows: DataFrame, key: str, limit: int) -> DataFrame:
+    """Add ``part`` so that any two rows of a key meet in one (key, part) and no such group has more than about 2 * ``limit`` rows.
+
+    A key of up to ``limit`` rows keeps one part. A larger one is dealt by hash into n chunks of about ``limit`` rows and every
+    pair of chunks is a part, so a hot key becomes many groups instead of one.
+    """
+    heavy = rows.groupBy(key).count().where(F.col("count") > limit).select(F.col(key).alias("heavy_key"), F.ceil(F.col("count") / limit).alias("n"))
+    rows = rows.join(heavy, F.col(key) == F.col("heavy_key"), "left")
+    chunk = F.pmod(F.xxhash64(*[c for c in rows.columns if c not in (key, "heavy_key", "n")]), F.col("n"))
+    rows = rows.withColumn("chunk", chunk)
+    others = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1), lambda x: F.least(x, F.col("chunk")) * F.col("n") + F.greatest(x, F.col("chunk")))
+    parts = F.when(F.col("n").isNull(), F.array(F.lit(-1).cast("bigint"))).otherwise(others)
+    return rows.withColumn("part", F.explode(parts)).drop("heavy_key", "n", "chunk")
+
+
+def star_edges(a, b):
+    """numpy: spanning star edges (node, smallest node) of the graph with edges a[i]-b[i]; at most one for each node."""
+    import numpy as np
+
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = ends[: len(a)], ends[len(a) :]
+    label = np.arange(len(nodes))
+    while len(i):
+        low = np.minimum(label[i], label[j])
+        np.minimum.at(label, label[i], low)
+        np.minimum.at(label, label[j], low)
+        while (label[label] != label).any():
+            label = label[label]
+        if (label[i] == label[j]).all():
+            break
+    moved = label != np.arange(len(nodes))
+    return nodes[moved], nodes[label[moved]]

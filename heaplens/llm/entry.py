@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, mixing
+from . import chat, embedding, exact_dedup, mixing, simhash
 
 
 def queries() -> dict:
     return {
         "op1_mix_sources": mixing.op1_mix_sources,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+        "op5_simhash": simhash.op5_simhash,
+        "op6_embedding": embedding.op6_embedding,
         "op10_chat_format": chat.op10_chat_format,
     }
 
