@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, embedding, exact_dedup, mixing, simhash
+from . import bpe, chat, embedding, exact_dedup, mixing, simhash
 
 
 def queries() -> dict:
     return {
         "op1_mix_sources": mixing.op1_mix_sources,
+        "op2_bpe": bpe.op2_bpe,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op5_simhash": simhash.op5_simhash,
         "op6_embedding": embedding.op6_embedding,
