@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, embedding, exact_dedup, mixing, simhash, substrings
+from . import bpe, chat, embedding, exact_dedup, mixing, quality, simhash, substrings
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op5_simhash": simhash.op5_simhash,
         "op6_embedding": embedding.op6_embedding,
+        "op7_quality": quality.op7_quality,
         "op9_substring_dedup": substrings.op9_substring_dedup,
         "op10_chat_format": chat.op10_chat_format,
     }
