@@ -15,8 +15,8 @@ def normalised(text: str):
     return F.regexp_replace(F.coalesce(F.col(text), F.lit("")), SPACE, " ")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 256, digests: bool = False) -> DataFrame:
-    """One row for each input row: ``id_col``, keep_id, group_size, kept, and text_sha256.
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 256, digests: bool = False, survivors_only: bool = False) -> DataFrame:
+    """One row for each input row: ``id_col``, keep_id, group_size, kept, and text_sha256. With ``survivors_only``, the input's own columns of the rows that stay.
 
     Rounds: rows whose normalised length is unique leave first, then those whose (length, prefix hash) is unique; only the
     rest have their full text read and hashed with SHA-256, which decides. ``text_sha256`` is null for rows that left early
@@ -27,18 +27,24 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Repeated rows (equal id and text) are copies of each other: one of them has ``kept``. An empty table gives an empty
     result. Other columns are not read.
     """
-    rows = docs.select(F.col(id_col).alias("id"), normalised(text_col).alias("norm"))
-    rows = rows.select(F.monotonically_increasing_id().alias("row"), "id", F.length("norm").alias("len"), F.xxhash64(F.substring("norm", 1, prefix_chars)).alias("prefix"), "norm")
-    rows = materialise(rows, "exact")  # its narrow columns are read without the texts
+    norm = normalised("text")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([F.struct(*docs.columns).alias("whole")] if survivors_only else []))
+    # sized by the normalised text; what is stored is the text as it came, so that rows that stay can be returned
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "*", F.length(norm).alias("len"), F.xxhash64(F.substring(norm, 1, prefix_chars)).alias("prefix"))
+    rows = materialise(rows.drop("text") if survivors_only else rows, "exact")  # its narrow columns are read without the texts
     keys = rows.select("row", "len", "prefix")
     by_len = keys.groupBy("len").count().where("count > 1").select("len")
     by_prefix = keys.join(by_len, "len", "left_semi").groupBy("len", "prefix").count().where("count > 1").select("len", "prefix")
     survivors = keys.join(by_prefix, ["len", "prefix"], "left_semi").select("row")
-    full = materialise(rows.select("row", "id", "norm").join(survivors, "row", "left_semi").select("row", "id", F.sha2("norm", 256).alias("sha")), "exact")
+    texts = rows.select("row", "id", (F.col("whole").getField(text_col) if survivors_only else F.col("text")).alias("text"))
+    full = materialise(texts.join(survivors, "row", "left_semi").select("row", "id", F.sha2(norm, 256).alias("sha")), "exact")
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row"))
     groups = full.groupBy("sha").agg(first.alias("first"), F.count("*").alias("n")).where("n > 1")
     decided = full.join(groups, "sha").select("row", F.col("sha").alias("full_sha"), "n", F.col("first.id").alias("keep_id"), (F.col("row") == F.col("first.row")).alias("is_kept"))
-    sha = F.sha2("norm", 256) if digests else F.lit(None).cast("string")
+    if survivors_only:
+        gone = decided.where("NOT is_kept").select("row")
+        return rows.select("row", "whole").join(gone, "row", "left_anti").select("whole.*")
+    sha = F.sha2(norm, 256) if digests else F.lit(None).cast("string")
     out = rows.select("row", "id", sha.alias("own_sha")).join(decided, "row", "left")
     return out.select(
         F.col("id").alias(id_col),
