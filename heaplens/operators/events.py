@@ -196,18 +196,29 @@ def legacy_g1(lines: DataFrame) -> DataFrame:
     return _finish(events.select("*", "at.split", "at.pos"))
 
 
-def parse_events(lines: DataFrame, diaries: DataFrame) -> DataFrame:
+#: Branch of each dialect, by (unified, family).
+BRANCHES = {(True, "g1"): unified, (True, "classic"): unified, (True, "zgc"): zgc, (False, "zgc"): zgc, (False, "classic"): legacy_classic, (False, "g1"): legacy_g1}
+
+
+def dialects(diaries: DataFrame) -> list[tuple[bool, str]]:
+    """The dialects present, six at most."""
+    return sorted((row.unified, row.family) for row in diaries.select("unified", "family").distinct().collect())
+
+
+def parse_events(lines: DataFrame, diaries: DataFrame, only: list[tuple[bool, str]] | None = None) -> DataFrame:
     """gc_events: all events of the supported files. Lines of files without a diary go (inner join).
 
     The diary has one row for each file and is joined as its size allows. Each branch reads only lines of its dialect; no branch
-    calls Python, and a line that no pattern fits yields nothing and stops nothing.
+    calls Python, and a line that no pattern fits yields nothing and stops nothing. ``only`` plans the branches of some dialects, as from
+    ``dialects``; lines of other dialects then go too.
     """
     known = lines.join(diaries.select("path", "host", "unified", "collector", "family", "region_kib"), ["path", "host"])
-    out = [
-        unified(known.where("unified AND family <> 'zgc'")), zgc(known.where("family = 'zgc'")),
-        legacy_classic(known.where("NOT unified AND family = 'classic'")), legacy_g1(known.where("NOT unified AND family = 'g1'")),
-    ]
-    first, *rest = out
-    for other in rest:
-        first = first.unionByName(other)
-    return first
+    wanted: dict = {}
+    for key in BRANCHES if only is None else only:
+        wanted.setdefault(BRANCHES[key], []).append(key)
+    out = None
+    for branch, keys in wanted.items():
+        test = " OR ".join(f"({'' if u else 'NOT '}unified AND family = '{f}')" for u, f in keys)
+        own = branch(known.where(test))
+        out = own if out is None else out.unionByName(own)
+    return out
