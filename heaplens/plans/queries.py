@@ -318,7 +318,7 @@ def events_stream_tumbling(spark, sf_dir):
 
 @query("""WITH g AS (SELECT user_id, date_trunc('millisecond', ts) AS ts, CASE WHEN epoch_ms(ts) - lag(epoch_ms(ts)) OVER w < 1800000 THEN 0 ELSE 1 END AS head FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT user_id, ts, sum(head) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
-SELECT user_id, epoch(min(ts))::BIGINT AS began, count(*) AS n FROM s GROUP BY user_id, k""")
+SELECT user_id, floor(epoch(min(ts)))::BIGINT AS began, count(*) AS n FROM s GROUP BY user_id, k""")
 def gc_storm_sessions(spark, sf_dir):
     obs = observe(_events(spark, sf_dir), names={"event_last_minute_duration_seconds"})
     return obs.groupBy(_user(), F.session_window("ts", "30 minutes").alias("s")).agg(F.count("*").alias("n")).select("user_id", F.col("s.start").cast("bigint").alias("began"), "n")
