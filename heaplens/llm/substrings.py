@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,27 +60,37 @@ def anchors(data: bytes, length: int, log_gram: int) -> tuple[np.ndarray, np.nda
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def lpf_at_least(spans: list[bytes], length: int) -> list[np.ndarray]:
-    """For each span, in order of position, which of its windows have a longest previous factor of at least ``length``.
+def lpf_at_least(spans: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows of the spans, taken in order of position, have a longest previous factor of at least ``length``: (flags, windows of each span).
 
     The suffixes of all spans that are long enough are put in suffix order (on their first ``length`` bytes, as more isn't
     asked). A run of suffixes whose common prefixes reach ``length`` holds the nearest smaller positions before and after each of
     its members; a suffix has such an earlier match if either exists, that is, if it isn't the run's smallest position.
     """
-    count = [max(0, len(s) - length + 1) for s in spans]
+    count = np.array([max(0, len(s) - length + 1) for s in spans], np.int64)
     windows = np.concatenate([np.lib.stride_tricks.sliding_window_view(np.frombuffer(s, np.uint8), length) for s, n in zip(spans, count) if n] or [np.empty((0, length), np.uint8)])
-    text = np.ascontiguousarray(windows).view(f"V{length}").ravel()
+    text = np.ascontiguousarray(windows).view(f"S{length}").ravel() if len(windows) else np.empty(0, f"S{length}")
     suffixes = np.argsort(text, kind="stable")
     same = text[suffixes[1:]] == text[suffixes[:-1]]
     # positions rise within a run, as the sort is stable: the previous smaller position is the neighbour before
     earlier = np.zeros(len(text), bool)
     earlier[suffixes[1:][same]] = True
-    return np.split(earlier, np.cumsum(count)[:-1]) if spans else []
+    return earlier, count
 
 
-def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
-    return edges[::2], edges[1::2]
+def covered_windows(spans: pd.DataFrame, length: int) -> pd.DataFrame:
+    """Ranges (id, tag, lo, hi) of the windows of ``spans`` (id, tag, lo, bytes) that occur earlier among them, runs of windows in one."""
+    spans = spans.sort_values(["id", "tag", "lo"])
+    flags, count = lpf_at_least(list(spans["bytes"]), length)
+    own = np.repeat(np.arange(len(spans)), count)
+    at = np.flatnonzero(flags)
+    if not len(at):
+        return pd.DataFrame({c: np.empty(0, np.int64) for c in ("id", "tag", "lo", "hi")})
+    new = np.concatenate([[True], (np.diff(at) > 1) | (own[at[1:]] != own[at[:-1]])])
+    first, last = at[new], at[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(at) - 1]])]
+    k, begin = own[first], np.cumsum(count) - count
+    lo = spans["lo"].to_numpy()[k]
+    return pd.DataFrame({"id": spans["id"].to_numpy()[k], "tag": spans["tag"].to_numpy()[k], "lo": lo + first - begin[k], "hi": lo + last - begin[k] + length})
 
 
 def merged(ranges: np.ndarray) -> np.ndarray:
@@ -93,74 +104,136 @@ def merged(ranges: np.ndarray) -> np.ndarray:
     return np.stack([ranges[first, 0], np.concatenate([reach[first[1:] - 1], reach[-1:]])], axis=1)
 
 
-def repeated_ranges(docs: DataFrame, length: int = 100, log_gram: int = 5, heavy_spans: int = 256) -> DataFrame:
+def _packed(docs: DataFrame) -> DataFrame:
+    """id, tag, data: the text's bytes compressed, as texts travel twice between executors."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.array([pa.compress(t.encode("utf-8"), "zstd", asbytes=True) for t in batch.column(2).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(pc.binary_length(batch.column(2)), pa.int64()), texts], names=["id", "tag", "size", "data"])
+
+    return docs.select("id", "tag", "text").mapInArrow(pack, "id bigint, tag bigint, size bigint, data binary")
+
+
+def _unpack(size: int, data: bytes) -> bytes:
+    return pa.decompress(data, size, "zstd", asbytes=True) if size else b""
+
+
+def repeated_ranges(docs: DataFrame, packed: DataFrame, length: int = 100, log_gram: int = 5, heavy_spans: int = 256, bucket_spans: int = 4096) -> DataFrame:
     """``id``, ``tag``, ``lo``, ``hi``: byte ranges of ``docs`` (id, tag, text) whose windows of ``length`` bytes occur earlier.
 
     Every window belongs to one anchor (see ``anchors``), and equal windows to equal anchors, so only anchors whose gram occurs
-    again need a look. An anchor and its windows are one span of fewer than 2 * ``length`` bytes; where whole spans are equal, all
-    but the first are repeats, found by grouped minima (combined before the shuffle). What is left are the different spans of a repeated gram,
-    at the edges of shared passages; they meet by gram, and their suffixes' longest previous factors decide each window. A gram
-    with more than ``heavy_spans`` different spans is dealt by window instead of by gram: a run in suffix order is then a group,
-    and its smallest position a grouped minimum.
+    again need a look. An anchor and its windows are one span of fewer than 2 * ``length`` bytes. Spans are ranged by (gram, span)
+    and sorted, so a gram of any frequency may lie in several tasks; repeats within one batch of documents are known before and only pass
+    through, dealt evenly. Of equal spans all but the first are repeats. Of a gram with different spans (at the edges of shared passages), and of the grams at
+    the ends of a task's range, the first of each span goes on as an edge.
+
+    Edges get their bytes and are dealt by gram into buckets of about ``bucket_spans``, where the longest previous factors of their
+    suffixes decide each window. A gram with more than ``heavy_spans`` different spans (about 140 MB of suffixes) is dealt by window
+    instead: a run in suffix order is then a group, and its smallest position a grouped minimum.
     """
     key = "id bigint, tag bigint"
+    names = ["h", "span", "id", "tag", "lo", "n", "again"]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                ids, tags, texts = (c.to_pylist() for c in part.columns)
-                cols, seen = [], 0
-                for i, t, text in zip(ids, tags, texts):
-                    data = (text or "").encode("utf-8")
+            for start in range(0, batch.num_rows, 1024):
+                cols = []
+                for i, t, text in zip(*(c.to_pylist() for c in batch.slice(start, 1024).columns)):
+                    data = text.encode("utf-8")
                     h, lo, n = anchors(data, length, log_gram)
                     if len(h):
                         span = np.array([digest(data[a:b]) for a, b in zip(lo.tolist(), (lo + n + length - 1).tolist())], np.uint64).view(np.int64)
                         cols.append((h, span, np.full(len(h), i), np.full(len(h), t), lo, n))
-                        seen += len(h)
-                if not cols:
-                    continue
-                h, span, i, t, lo, n = (np.concatenate(x) for x in zip(*cols))
-                order = np.lexsort((lo, t, i, span, h))
-                h, span, i, t, lo, n = (x[order] for x in (h, span, i, t, lo, n))
-                again = np.concatenate([[False], (h[1:] == h[:-1]) & (span[1:] == span[:-1])])
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, span, i, t, lo, n.astype(np.int32), again)], names=["h", "span", "id", "tag", "lo", "n", "again"])
-
-    found = docs.select("id", "tag", "text").mapInArrow(find, f"h bigint, span bigint, {key}, lo bigint, n int, again boolean")
-    common = found.groupBy("h").count().where("count > 1").select("h")
-    rows = materialise(found.join(common, "h", "left_semi"), "substrings")
-    window_end = F.col("lo") + F.col("n") - 1 + length
-    sure = rows.where("again").select("id", "tag", "lo", window_end.alias("hi"))
-    rows = rows.where("NOT again")
-    spans = materialise(rows.groupBy("h", "span").agg(F.min(F.struct("id", "tag", "lo")).alias("first"), F.first("n").alias("n"), F.count("*").alias("c")), "substrings")
-    copies = rows.join(spans.where("c > 1").select("h", "span", "first"), ["h", "span"]).where(F.struct("id", "tag", "lo") != F.col("first"))
-    copies = copies.select("id", "tag", "lo", window_end.alias("hi"))
-
-    mixed = spans.groupBy("h").agg(F.count("*").alias("k")).where("k > 1")
-    edge = spans.join(mixed, "h").select("h", F.col("first.id").alias("id"), F.col("first.tag").alias("tag"), F.struct("h", F.col("first.lo").alias("lo"), "n", (F.col("k") > heavy_spans).alias("heavy")).alias("s"))
-    edge = edge.groupBy("id", "tag").agg(F.collect_list("s").alias("spans"))
-    edge = docs.join(edge, ["id", "tag"]).select("id", "tag", F.encode("text", "utf-8").alias("data"), F.explode("spans").alias("s"))
-    cut = F.substring("data", (F.col("s.lo") + 1).cast("int"), F.col("s.n") - 1 + length)
-    edge = materialise(edge.select("s.h", "id", "tag", "s.lo", "s.heavy", cut.alias("bytes")), "substrings")
-
-    def factors(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["id", "tag", "lo"])
-        out = []
-        for i, t, lo, flags in zip(pdf["id"], pdf["tag"], pdf["lo"], lpf_at_least(list(pdf["bytes"]), length)):
-            a, b = _runs(flags)
-            out.append(pd.DataFrame({"id": i, "tag": t, "lo": a + lo, "hi": b - 1 + length + lo}))
-        return pd.concat(out).astype("int64")
-
-    by_gram = edge.where("NOT heavy").groupBy("h").applyInPandas(factors, f"{key}, lo bigint, hi bigint")
+                if cols:
+                    h, span, i, t, lo, n = (np.concatenate(x) for x in zip(*cols))
+                    order = np.lexsort((lo, t, i, span, h))
+                    h, span, i, t, lo, n = (x[order] for x in (h, span, i, t, lo, n))
+                    again = np.concatenate([[False], (h[1:] == h[:-1]) & (span[1:] == span[:-1])])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, span, i, t, lo, n, again)], names=names)
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted spans to copies (h null) and edges. Between batches it holds one row."""
+        held, last, mixed = None, None, True  # held: the only span so far of the gram at hand; mixed: it has more, or may have in the task before
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h, span, i, t, lo, n, again = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            fresh_h = np.concatenate([[last is None or h[0] != last[0]], h[1:] != h[:-1]])
+            fresh = fresh_h | np.concatenate([[last is None or span[0] != last[1]], span[1:] != span[:-1]])
+            rows = np.flatnonzero(fresh)
+            group = np.cumsum(fresh_h) - (0 if not fresh_h[0] else 1)  # grams of this batch; 0 is the held one if it goes on
+            goes_on = last is not None and not fresh_h[0]
+            spans_of = np.bincount(group[rows], minlength=int(group[-1]) + 1)
+            edge_group = spans_of > 1
+            out = [(None, i[~fresh], t[~fresh], lo[~fresh], n[~fresh])]
+            if goes_on:
+                edge_group[0] = mixed or spans_of[0] > 0
+                if held is not None and spans_of[0] > 0:
+                    out.append(tuple(np.array([x]) for x in held))
+                    held = None
+            else:
+                if last is None:
+                    edge_group[0] = True  # the task before may have had the same gram
+                held = None
+            end = int(group[-1])
+            final = edge_group.copy()
+            if not (goes_on and end == 0):
+                mixed = bool(edge_group[end])
+                alone = rows[group[rows] == end]
+                if not mixed and len(alone) == 1:
+                    k = alone[0]
+                    held = (h[k], i[k], t[k], lo[k], n[k])
+            else:
+                mixed = bool(edge_group[0])
+            pick = rows[final[group[rows]]]
+            out.append((h[pick], i[pick], t[pick], lo[pick], n[pick]))
+            last = (h[-1], span[-1])
+            yield from _emit(out)
+        if held is not None:
+            yield from _emit([tuple(np.array([x]) for x in held)])
+
+    def _emit(parts) -> Iterator[pa.RecordBatch]:
+        for h, *rest in parts:
+            if len(rest[0]):
+                grams = pa.nulls(len(rest[0]), pa.int64()) if h is None else pa.array(h, pa.int64())
+                yield pa.RecordBatch.from_arrays([grams, *[pa.array(x, pa.int64()) for x in rest]], names=["h", "id", "tag", "lo", "n"])
+
+    found = docs.select("id", "tag", "text").mapInArrow(find, f"h bigint, span bigint, {key}, lo bigint, n bigint, again boolean")
+    ranged = found.repartitionByRange("h", "span").sortWithinPartitions("h", "span", "id", "tag", "lo")
+    rows = materialise(ranged.mapInArrow(part, f"h bigint, {key}, lo bigint, n bigint"), "substrings")
+    copies = rows.where("h IS NULL").select("id", "tag", "lo", (F.col("lo") + F.col("n") - 1 + length).alias("hi"))
+
+    edges = rows.where("h IS NOT NULL")
+    mixed = edges.groupBy("h").count().where("count > 1")
+    wanted = edges.join(mixed, "h").select("id", "tag", F.struct("h", "lo", "n", (F.col("count") > heavy_spans).alias("heavy")).alias("s")).groupBy("id", "tag").agg(F.collect_list("s").alias("spans"))
+    wanted = packed.join(wanted, ["id", "tag"]).select("id", "tag", "size", "data", *[F.col(f"spans.{c}").alias(c) for c in ("h", "lo", "n", "heavy")])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                ids, tags, sizes, datas, *lists = (c.to_pylist() for c in batch.slice(start, 256).columns)
+                out: list[list] = [[], [], [], [], [], []]
+                for i, t, size, data, *items in zip(ids, tags, sizes, datas, *lists):
+                    data = _unpack(size, data)
+                    for h, lo, n, heavy in zip(*items):
+                        for to, x in zip(out, (h, i, t, lo, heavy, data[lo : lo + n - 1 + length])):
+                            to.append(x)
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds)], names=["h", "id", "tag", "lo", "heavy", "bytes"])
+
+    edge = materialise(wanted.mapInArrow(cut, f"h bigint, {key}, lo bigint, heavy boolean, bytes binary"), "substrings")
+    buckets = max(1, edge.count() // bucket_spans)
+    by_gram = edge.where("NOT heavy").withColumn("bucket", F.pmod("h", F.lit(buckets))).groupBy("bucket").applyInPandas(lambda pdf: covered_windows(pdf, length), f"{key}, lo bigint, hi bigint")
     windows = edge.where("heavy").select("id", "tag", "lo", "bytes", F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - length)).alias("k"))
     windows = windows.select("id", "tag", (F.col("lo") + F.col("k")).alias("lo"), F.substring("bytes", F.col("k") + 1, F.lit(length)).alias("w"))
     windows = windows.select("id", "tag", "lo", F.xxhash64("w").alias("w1"), F.xxhash64(F.lit(1), "w").alias("w2"))
     runs = windows.groupBy("w1", "w2").agg(F.min(F.struct("id", "tag", "lo")).alias("first"), F.count("*").alias("c")).where("c > 1")
     by_window = windows.join(runs, ["w1", "w2"]).where(F.struct("id", "tag", "lo") != F.col("first")).select("id", "tag", "lo", (F.col("lo") + length).alias("hi"))
-    return sure.unionAll(copies).unionAll(by_gram).unionAll(by_window)
+    return copies.unionAll(by_gram).unionAll(by_window)
 
 
 def substring_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -174,19 +247,21 @@ def substring_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id",
     empty table gives an empty result. One row's text and ranges are in memory at a time.
     """
     lowest = -(2**63)
-    base = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(lowest)).alias("id"), F.coalesce(F.crc32(F.col(text_col)), F.lit(0)).cast("bigint").alias("tag"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ranges = repeated_ranges(base.where(F.octet_length("text") >= length).select("id", "tag", "text"), length)
+    base = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(lowest)).alias("id"), F.coalesce(F.crc32(F.col(text_col)), F.lit(0)).cast("bigint").alias("tag"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    packed = _packed(base)
+    ranges = repeated_ranges(base.where(F.octet_length("text") >= length), packed, length)
     ranges = ranges.groupBy("id", "tag").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
-    rows = base.join(ranges, ["id", "tag"], "left").select("key", "text", F.transform("ranges", lambda r: r["lo"]).alias("lo"), F.transform("ranges", lambda r: r["hi"]).alias("hi"))
     key_type = dict(docs.dtypes)[id_col]
+    key = F.when(F.col("id") != lowest, F.col("id")).cast(key_type).alias("key")
+    rows = packed.join(ranges, ["id", "tag"], "left").select(key, "size", "data", F.transform("ranges", lambda r: r["lo"]).alias("lo"), F.transform("ranges", lambda r: r["hi"]).alias("hi"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 out = []
-                for text, lo, hi in zip(*(c.to_pylist() for c in part.columns[1:])):
-                    data = text.encode("utf-8")
+                for size, data, lo, hi in zip(*(c.to_pylist() for c in part.columns[1:])):
+                    data = _unpack(size, data)
                     gone = merged(np.array([lo or [], hi or []], np.int64).T)
                     keep = np.concatenate([[0], gone.ravel(), [len(data)]])
                     left = b"".join(data[a:b] for a, b in zip(keep[::2].tolist(), keep[1::2].tolist()))
