@@ -117,19 +117,24 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = """
 WITH RECURSIVE s AS (
-  SELECT source, count(*) AS n, CASE WHEN source = 'src0' THEN 5 ELSE 2 END AS parts FROM documents GROUP BY source
-), b AS (
-  SELECT source, j, parts, (SELECT sum(parts) FROM s)::BIGINT AS cycle FROM s, generate_series(0, parts - 1) g(j)
-), w AS (
-  SELECT source, j, parts, cycle, j * cycle // parts AS release, -((-(j + 1) * cycle) // parts) AS deadline FROM b
-), picks AS (
-  SELECT -1 AS at, '' AS key
+  SELECT source, CASE WHEN source = 'src0' THEN 5 ELSE 2 END AS parts, row_number() OVER (ORDER BY coalesce(source, '')) AS i FROM documents GROUP BY source
+), c AS (
+  SELECT list(parts::BIGINT ORDER BY i) AS p, sum(parts)::BIGINT AS q FROM s
+), e AS (
+  SELECT 0::BIGINT AS t, [0::BIGINT FOR x IN p] AS done, 0::BIGINT AS k FROM c
   UNION ALL
-  SELECT p.at + 1, q.key FROM (SELECT max(at) AS at, list(key) AS taken FROM recurring.picks) p,
-  LATERAL (
-    SELECT arg_min(source || ':' || j, (deadline, source)) AS key FROM w
-    WHERE release <= p.at + 1 AND NOT list_contains(p.taken, source || ':' || j)
-  ) q WHERE q.key IS NOT NULL
+  SELECT t + 1, [CASE WHEN i = pick THEN done[i] + 1 ELSE done[i] END FOR i IN range(1, len(done) + 1)], pick FROM (
+    SELECT t, done, list_min([((done[i] + 1) * q + p[i] - 1) // p[i] * 1000 + i FOR i IN range(1, len(p) + 1) IF done[i] < p[i] AND done[i] * q // p[i] <= t]) % 1000 AS pick
+    FROM e, c WHERE t < q
+  )
+), slots AS (
+  SELECT t - 1 AS place, k AS i, done[k] - 1 AS j FROM e WHERE t > 0
+), d AS (
+  SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR), doc_id) - 1 AS rn FROM documents
+), b AS (
+  SELECT doc_id, d.source, rn, rn // 64 AS block, rn // 64 // parts AS turn, rn // 64 % parts AS j, parts, i FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source
 )
-SELECT 1
+SELECT doc_id, source, block, turn * q + j * q // parts AS release, turn * q + ((j + 1) * q + parts - 1) // parts AS deadline, turn * q + place AS slot,
+       row_number() OVER (ORDER BY turn * q + place, rn) - 1 AS mix_pos
+FROM b JOIN slots USING (i, j), c
 """
