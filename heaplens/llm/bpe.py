@@ -9,7 +9,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,22 +24,21 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(rank) for piece, rank in (line.split() for line in lines if line.strip())}
 
 
-class RankMap:
+def rank_literal(ranks: dict[bytes, int]) -> Column:
     """The ranks as a literal: maps dealt by hash over an array, as a lookup in one Spark map looks at all of its keys.
 
     Pieces are strings with one character (of Latin-1) for each byte.
     """
+    buckets: list[dict[str, int]] = [{} for _ in range(_BUCKETS)]
+    for piece, rank in ranks.items():
+        text = piece.decode("latin-1")
+        buckets[zlib.crc32(text.encode("utf-8")) % _BUCKETS][text] = rank
+    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
 
-    def __init__(self, ranks: dict[bytes, int]) -> None:
-        buckets: list[dict[str, int]] = [{} for _ in range(_BUCKETS)]
-        for piece, rank in ranks.items():
-            text = piece.decode("latin-1")
-            buckets[zlib.crc32(text.encode("utf-8")) % _BUCKETS][text] = rank
-        self.literal = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
 
-    def rank(self, piece: Column) -> Column:
-        bucket = F.get(self.literal, F.pmod(F.crc32(piece), F.lit(_BUCKETS)).cast("int"))
-        return F.coalesce(F.try_element_at(bucket, piece), F.lit(_NONE))
+def _rank(ranks: Column, piece: Column) -> Column:
+    bucket = F.get(ranks, F.pmod(F.crc32(piece), F.lit(_BUCKETS)).cast("int"))
+    return F.coalesce(F.try_element_at(bucket, piece), F.lit(_NONE))
 
 
 def _let(value: Column, body) -> Column:
@@ -48,19 +46,19 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def fold_merges(word: Column, ranks: RankMap) -> Column:
+def fold_merges(word: Column, ranks: Column) -> Column:
     """Pieces of a word: from its bytes on, each step merges the leftmost adjacent pair of the lowest rank, until none has a rank."""
 
     def start(pieces):
-        pair = F.transform(pieces, lambda x, i: F.when(i + 1 < F.size(pieces), ranks.rank(F.concat(x, F.get(pieces, i + 1)))).otherwise(F.lit(_NONE)))
+        pair = F.transform(pieces, lambda x, i: F.when(i + 1 < F.size(pieces), _rank(ranks, F.concat(x, F.get(pieces, i + 1)))).otherwise(F.lit(_NONE)))
         return F.struct(pieces.alias("p"), pair.alias("r"))
 
     def merge(acc, i):
         p, r = acc["p"], acc["r"]
 
         def with_merged(m):
-            left = F.when(i > 1, F.array(ranks.rank(F.concat(F.get(p, i - 2), m)))).otherwise(F.array().cast("array<int>"))
-            right = F.when(i + 1 < F.size(p), ranks.rank(F.concat(m, F.get(p, i + 1)))).otherwise(F.lit(_NONE))
+            left = F.when(i > 1, F.array(_rank(ranks, F.concat(F.get(p, i - 2), m)))).otherwise(F.array().cast("array<int>"))
+            right = F.when(i + 1 < F.size(p), _rank(ranks, F.concat(m, F.get(p, i + 1)))).otherwise(F.lit(_NONE))
             return F.struct(
                 F.concat(F.slice(p, F.lit(1), i - 1), F.array(m), F.slice(p, i + 2, F.size(p))).alias("p"),
                 F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), left, F.array(right), F.slice(r, i + 2, F.size(r))).alias("r"),
@@ -76,13 +74,26 @@ def fold_merges(word: Column, ranks: RankMap) -> Column:
     return _let(pieces, lambda ps: F.aggregate(F.slice(ps, F.lit(2), F.size(ps)), start(ps), step, lambda acc: acc["p"]))
 
 
-def word_ids(word: Column, ranks: RankMap) -> Column:
-    """Ids of a word, as text with commas."""
-    return F.array_join(F.transform(fold_merges(word, ranks), lambda p: ranks.rank(p).cast("string")), ",")
+def words_ids(words: Column, ranks: Column) -> Column:
+    """Ids of each word of an array, as text with commas. The literal is bound once for the whole array."""
+    one = lambda word, table: F.array_join(F.transform(fold_merges(word, table), lambda p: _rank(table, p).cast("string")), ",")
+    return _let(ranks, lambda table: F.transform(words, lambda word: one(word, table)))
+
+
+def merge_short(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same merges for a word of a few bytes, looking at all pairs each time."""
+    parts = [word[i : i + 1] for i in range(len(word))]
+    none = len(ranks) + 1
+    while len(parts) > 1:
+        low, at = min((ranks.get(parts[i] + parts[i + 1], none), i) for i in range(len(parts) - 1))
+        if low == none:
+            break
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return [ranks[p] for p in parts]
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same merges for one very long word in n log n steps: a heap of pairs over a linked list."""
+    """The same merges for a long word in n log n steps: a heap of pairs over a linked list."""
     n = len(word)
     end, back, ahead = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
     heap = [(ranks[word[i : i + 2]], i, i + 2) for i in range(n - 1) if word[i : i + 2] in ranks]
@@ -104,33 +115,43 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Words(dict):
-    """Packed ids by word; ``more`` has those of the text at hand."""
+    """Packed ids by word: those of the head, and a bounded memo of others."""
 
-    def __missing__(self, word):
-        return self.more[word]
+    def __init__(self, head, ranks: dict[bytes, int], memo: int = 1 << 17) -> None:
+        super().__init__(head)
+        self.memo, self.most, self.ranks = {}, memo, ranks
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.memo.get(word)
+        if ids is None:
+            data = word.encode("utf-8")
+            ids = np.array((merge_short if len(data) <= 48 else merge_long)(data, self.ranks), "<u4").tobytes()
+            if len(self.memo) >= self.most:
+                self.memo.clear()
+            if len(data) <= 48:
+                self.memo[word] = ids
+        return ids
 
 
 def bpe_encode(
-    docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", head_words: int = 1 << 18, sample_rows: int = 16_384,
-    head_bytes: int = 64, long_bytes: int = 512,
+    docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", head_words: int = 1 << 17, sample_rows: int = 8192, head_bytes: int = 64,
 ) -> DataFrame:
     """``docs`` with ``ids_col``: the token ids of the whole text as binary, packed little-endian unsigned 32-bit.
 
-    Each match of ``pattern`` is a word, encoded separately; there are no special tokens. Words are encoded once each where it
-    matters: the ``head_words`` most frequent words (of at most ``head_bytes`` bytes) of a sample of about ``sample_rows`` rows go through the fold first
-    and are broadcast, which that bounds to a few MB. In the one pass over the texts, the distinct words of a text that the head lacks
-    go through the same fold next to their text. What the sample holds changes the speed only, never a result. Words over
-    ``long_bytes`` bytes, for which the fold's copying would grow with the square, are merged over a heap.
+    Each match of ``pattern`` is a word, encoded separately; there are no special tokens. The distinct words that make up most of
+    the text are encoded once, by the fold of ranked merges in Spark: the ``head_words`` most frequent ones (of at most ``head_bytes`` bytes) of
+    a sample of about ``sample_rows`` rows. Their table is broadcast; those two parameters bound it to a few MB. In the one pass over the
+    texts a word is looked up there; one that the head lacks is merged in the same order next to its text, as folding each rare
+    word in Spark costs more than the pass itself (figures in the README). What the sample holds changes the speed, never a result.
     No text is shuffled and rows stay where they are, so a source of any share of the rows does no harm.
 
     Null and empty texts have no ids (empty binary). Repeated rows and other columns pass through; an ``ids_col`` that exists is replaced.
     """
     spark = docs.sparkSession
     ranks = load_ranks(ranks_path)
-    literal = RankMap(ranks)
     texts = docs.select(F.col(text_col).alias("text"))
 
-    def count_words(batches):
+    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         find = regex.compile(pattern).findall
@@ -143,22 +164,12 @@ def bpe_encode(
                         counts[word] = counts.get(word, 0) + 1
                 yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
 
-    total = docs.count()
-    sample = texts.sample(min(1.0, sample_rows / max(1, total)), seed=1)
+    sample = texts.sample(min(1.0, sample_rows / max(1, docs.count())), seed=1)
     head = sample.mapInArrow(count_words, "word string, n bigint").where(F.octet_length("word") <= head_bytes)
     head = head.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(head_words)
-    head = head.repartition(spark.sparkContext.defaultParallelism * 2).select("word", word_ids(F.col("word"), literal).alias("ids")).toPandas()
-    known = spark.sparkContext.broadcast((head["word"].tolist(), head["ids"].tolist()))
-    long_ranks = spark.sparkContext.broadcast(ranks)
-
-    @F.pandas_udf("array<string>")
-    def rare_words(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import regex
-
-        find, frequent = regex.compile(pattern).findall, frozenset(known.value[0])
-        for texts in batches:
-            yield pd.Series([[w for w in set(find(t)) - frequent if len(w.encode("utf-8")) <= long_bytes] if t else [] for t in texts], dtype=object)
-
+    folded = words_ids(F.array("word"), rank_literal(ranks))
+    head = head.repartition(spark.sparkContext.defaultParallelism * 2).select("word", F.get(folded, F.lit(0)).alias("ids")).toArrow()
+    known = spark.sparkContext.broadcast((head["word"].to_pylist(), [np.array(x.split(","), "<u4").tobytes() for x in head["ids"].to_pylist()], ranks))
     keep = [c for c in docs.columns if c != ids_col]
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(ids_col, T.BinaryType())])
 
@@ -166,35 +177,32 @@ def bpe_encode(
         import regex
 
         find = regex.compile(pattern).findall
-        pack = lambda ids: np.array(ids.split(","), "<u4").tobytes()
-        words = Words(zip(known.value[0], map(pack, known.value[1])))
+        names, packed, own_ranks = known.value
+        look = Words(zip(names, packed), own_ranks).__getitem__
         for batch in batches:
-            *others, texts, rare, rare_ids = batch.columns
-            out = []
-            for t, names, ids in zip(texts.to_pylist(), rare.to_pylist(), rare_ids.to_pylist()):
-                matches = find(t) if t else []
-                words.more = dict(zip(names, map(pack, ids)))
-                for w in set(matches) - words.keys() - words.more.keys():
-                    words.more[w] = np.array(merge_long(w.encode("utf-8"), long_ranks.value), "<u4").tobytes()
-                out.append(b"".join(map(words.__getitem__, matches)))
-            yield pa.RecordBatch.from_arrays([*others, pa.array(out, pa.binary())], names=[*keep, ids_col])
+            for start in range(0, batch.num_rows, 256):
+                *others, texts = batch.slice(start, 256).columns
+                out = [b"".join(map(look, find(t))) if t else b"" for t in texts.to_pylist()]
+                yield pa.RecordBatch.from_arrays([*others, pa.array(out, pa.binary())], names=[*keep, ids_col])
 
-    rows = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("_text_"), rare_words(F.col(text_col)).alias("_rare_"))
-    rows = rows.select("*", F.transform("_rare_", lambda w: word_ids(w, literal)).alias("_rare_ids_"))
-    return rows.mapInArrow(encode, schema)
+    return docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("_text_")).mapInArrow(encode, schema)
 
 
 def bpe_decode(rows: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """``rows`` with ``bytes_col``: the pieces of the ids, joined. Null ids give null; an id without a piece is an error."""
-    pieces = {rank: piece for piece, rank in load_ranks(ranks_path).items()}
-    shared = rows.sparkSession.sparkContext.broadcast(pieces)
+    shared = rows.sparkSession.sparkContext.broadcast({rank: piece for piece, rank in load_ranks(ranks_path).items()})
+    keep = [c for c in rows.columns if c != bytes_col]
+    schema = T.StructType([rows.schema[c] for c in keep] + [T.StructField(bytes_col, T.BinaryType())])
 
-    @F.pandas_udf("binary")
-    def decode(ids: pd.Series) -> pd.Series:
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = shared.value.__getitem__
-        return pd.Series([None if x is None else b"".join(map(piece, np.frombuffer(x, "<u4").tolist())) for x in ids], dtype=object)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                *others, ids = batch.slice(start, 256).columns
+                out = [None if x is None else b"".join(map(piece, np.frombuffer(x, "<u4").tolist())) for x in ids.to_pylist()]
+                yield pa.RecordBatch.from_arrays([*others, pa.array(out, pa.binary())], names=[*keep, bytes_col])
 
-    return rows.withColumn(bytes_col, decode(F.col(ids_col)))
+    return rows.select(*[F.col(c) for c in keep], F.col(ids_col).alias("_ids_")).mapInArrow(decode, schema)
 
 
 def _tokenizer() -> tuple[str, str]:
