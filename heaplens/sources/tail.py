@@ -57,6 +57,7 @@ class TailReader(DataSourceStreamReader):
         self.most_lines = int(options.get("maxlinespertrigger", options.get("maxLinesPerTrigger", 1_000_000)))
         self.idle = int(options.get("idletimeout", options.get("idleTimeout", 3_600_000))) / 1000
         self.part_bytes = int(options.get("partitionbytes", options.get("partitionBytes", 64 << 20)))
+        self.files_per_second = float(options.get("scanfilespersecond", options.get("scanFilesPerSecond", 0)))
         self.quarantine: dict[str, float] = {}
         self.offset: dict[str, list[int]] = {}
 
@@ -69,6 +70,8 @@ class TailReader(DataSourceStreamReader):
             folder, name = os.path.split(os.path.abspath(pattern))
             if os.path.isdir(folder):
                 found |= {os.path.join(folder, x) for x in os.listdir(folder) if re.fullmatch(name, x)}
+        if self.files_per_second > 0:
+            time.sleep(len(found) / self.files_per_second)
         now = time.time()
         return sorted(p for p in found if os.path.isfile(p) and now - self.quarantine.get(p, 0) > 3600)
 
@@ -142,7 +145,7 @@ class TailReader(DataSourceStreamReader):
 
 
 class TailSource(DataSource):
-    """Options: globs, regexes (comma-separated), host, startingOffsets (latest or earliest), maxLinesPerTrigger (per file), idleTimeout (ms), partitionBytes."""
+    """Options: globs, regexes (comma-separated), host, startingOffsets (latest or earliest), maxLinesPerTrigger (per file), idleTimeout (ms), partitionBytes, scanFilesPerSecond (0: no limit)."""
 
     @classmethod
     def name(cls) -> str:
