@@ -81,14 +81,18 @@ def words_ids(words: Column, ranks: Column) -> Column:
 
 
 def merge_short(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same merges for a word of a few bytes, looking at all pairs each time."""
+    """The same merges for a word of a few bytes: the ranks of its pairs are kept in a list, of which each merge renews two."""
+    none, rank = len(ranks) + 1, ranks.get
     parts = [word[i : i + 1] for i in range(len(word))]
-    none = len(ranks) + 1
-    while len(parts) > 1:
-        low, at = min((ranks.get(parts[i] + parts[i + 1], none), i) for i in range(len(parts) - 1))
-        if low == none:
-            break
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    pairs = [rank(word[i : i + 2], none) for i in range(len(word) - 1)]
+    while pairs and (low := min(pairs)) != none:
+        i = pairs.index(low)
+        parts[i] += parts.pop(i + 1)
+        del pairs[i]
+        if i < len(pairs):
+            pairs[i] = rank(parts[i] + parts[i + 1], none)
+        if i:
+            pairs[i - 1] = rank(parts[i - 1] + parts[i], none)
     return [ranks[p] for p in parts]
 
 

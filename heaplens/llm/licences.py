@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import math
+import operator
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +32,10 @@ TEMPLATES = {
 }
 
 
+#: Words that tell little; they are taken only where no other is left.
+COMMON = frozenset("a an and any be by for in is it of nc on or that the this to with you".split())
+
+
 def _words(text: Column) -> Column:
     """Lower-cased runs of ASCII letters and digits."""
     return F.filter(F.split(F.regexp_replace(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[^a-z0-9\x{80}-\x{10FFFF}]+", " "), " "), lambda w: w != "")
@@ -44,6 +51,25 @@ def _bigrams(words: Column) -> Column:
     return F.array_distinct(F.transform(F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat(F.get(words, i), F.lit(" "), w)))
 
 
+def telling_words(sets: Mapping[str, list[str]], threshold: float) -> list[str]:
+    """A few words one of which is in every passage that is alike to a template.
+
+    An alike passage shares at least threshold / (2 - threshold) of a template's bigrams; words are taken, most telling first, until the
+    bigrams without any of them are too few for that.
+    """
+    spare = {name: len(b) - math.ceil(round(len(b) * threshold / (2 - threshold), 9)) + 1 for name, b in sets.items()}
+    left = {name: set(b) for name, b in sets.items()}
+    words: list[str] = []
+    while open_ := [name for name in sets if len(sets[name]) - len(left[name]) < spare[name]]:
+        candidates = {w for name in open_ for b in left[name] for w in b.split(" ")}
+        candidates = candidates - COMMON or candidates
+        gain = lambda w: sum(min(spare[name], sum(w in b for b in left[name])) * len(w) ** 2 / spare[name] for name in open_)
+        best = max(sorted(candidates), key=gain)
+        words.append(best)
+        left = {name: {b for b in own if best not in b} for name, own in left.items()}
+    return words
+
+
 def licence_scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row and licence found in it: ``id_col``, licence, dice (the best), n_passages.
 
@@ -51,18 +77,23 @@ def licence_scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, thre
     runs of letters and digits; a passage and a template are alike if the Dice coefficient of their sets of word bigrams
     reaches ``threshold``. As 2 * min(a, b) / (a + b) bounds the coefficient of sets of a and b bigrams, passages beyond the
     sizes of all templates leave before their bigrams are made, and each of the others meets only templates within its bounds.
+    By the same bound an alike passage shares so many of a template's bigrams that it holds one of a few words of it; texts
+    and passages without any such word leave first.
     Everything happens within the row; nothing is shuffled.
 
     Null and empty texts, and texts without a licence, give no row; repeated rows give repeated results; null ids stay null. Ties between licences give a
     row each. Other columns are not read.
     """
     sets = {name: sorted({f"{a} {b}" for a, b in zip(w, w[1:])}) for name, text in templates.items() for w in [_plain(text)]}
-    low = min(map(len, sets.values())) * threshold / (2 - threshold)
-    high = max(map(len, sets.values())) * (2 - threshold) / threshold
+    least = lambda n: math.ceil(n * threshold / (2 - threshold) - 1e-9)
+    most = lambda n: math.floor(n * (2 - threshold) / threshold + 1e-9)
+    low, high = min(least(len(b)) for b in sets.values()), max(most(len(b)) for b in sets.values())
     text = F.coalesce(F.col(text_col), F.lit(""))
     passages = F.array_distinct(F.concat(F.split(text, r"[\r\n]+"), F.split(text, r"\r?\n[ \t]*\r?\n"), F.array(text)))
-    # before words are cut out, a bound on characters: repeated bigrams can make a passage longer than its set, so only short ones can be told by length
-    rows = docs.select(F.col(id_col).alias("id"), F.filter(passages, lambda p: F.length(p) >= int(2 * low)).alias("passages"))
+    # repeated bigrams can make a passage longer than its set, so only short passages can be told by their length
+    words = telling_words(sets, threshold)
+    telling = lambda lowered: functools.reduce(operator.or_, [F.contains(lowered, F.lit(w)) for w in words])
+    rows = docs.where(telling(F.lower(F.col(text_col)))).select(F.col(id_col).alias("id"), F.filter(passages, lambda p: (F.length(p) >= 2 * low) & F.exists(F.array(F.lower(p)), telling)).alias("passages"))
     rows = rows.select("id", F.transform("passages", _words).alias("passages"))
     rows = rows.select("id", F.filter("passages", lambda w: F.size(w) - 1 >= low).alias("passages"))
     rows = rows.select("id", F.transform("passages", _bigrams).alias("passages"))
@@ -71,7 +102,7 @@ def licence_scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, thre
     def found(name: str) -> Column:
         own = F.array(*[F.lit(x) for x in sets[name]])
         n = len(sets[name])
-        fitting = F.filter("passages", lambda s: (F.size(s) >= n * threshold / (2 - threshold)) & (F.size(s) <= n * (2 - threshold) / threshold))
+        fitting = F.filter("passages", lambda s: (F.size(s) >= least(n)) & (F.size(s) <= most(n)))
         dice = F.transform(fitting, lambda s: 2.0 * F.size(F.array_intersect(s, own)) / (F.size(s) + n))
         good = F.filter(dice, lambda x: x >= threshold)
         return F.struct(F.lit(name).alias("licence"), F.array_max(good).alias("dice"), F.size(good).cast("bigint").alias("n_passages"))
@@ -97,7 +128,7 @@ WITH t AS (
   SELECT doc_id, {grams} AS b FROM (SELECT doc_id, {words.format("p")} AS w FROM p)
 ), m AS (
   SELECT doc_id, licence, 2.0::DOUBLE * len(list_intersect(g.b, t.b)) / (len(g.b) + len(t.b)) AS dice FROM g, t
-  WHERE len(g.b) BETWEEN len(t.b) * {threshold} / (2 - {threshold}) AND len(t.b) * (2 - {threshold}) / {threshold}
+  WHERE len(g.b) BETWEEN len(t.b) / 2 AND len(t.b) * 2
 )
 SELECT doc_id, licence, round(max(dice), 9) AS dice, count(*) AS n_passages FROM m WHERE dice >= {threshold} GROUP BY ALL
 """

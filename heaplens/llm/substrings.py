@@ -119,7 +119,7 @@ def _unpack(size: int, data: bytes) -> bytes:
     return pa.decompress(data, size, "zstd", asbytes=True) if size else b""
 
 
-def repeated_ranges(docs: DataFrame, packed: DataFrame, length: int = 100, log_gram: int = 5, heavy_spans: int = 256, bucket_spans: int = 4096) -> DataFrame:
+def repeated_ranges(docs: DataFrame, packed: DataFrame, length: int = 100, log_gram: int = 5, heavy_spans: int = 20_000, bucket_spans: int = 4096) -> DataFrame:
     """``id``, ``tag``, ``lo``, ``hi``: byte ranges of ``docs`` (id, tag, text) whose windows of ``length`` bytes occur earlier.
 
     Every window belongs to one anchor (see ``anchors``), and equal windows to equal anchors, so only anchors whose gram occurs
@@ -153,6 +153,11 @@ def repeated_ranges(docs: DataFrame, packed: DataFrame, length: int = 100, log_g
                     order = np.lexsort((lo, t, i, span, h))
                     h, span, i, t, lo, n = (x[order] for x in (h, span, i, t, lo, n))
                     again = np.concatenate([[False], (h[1:] == h[:-1]) & (span[1:] == span[:-1])])
+                    new = ~again
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[new], span[new], i[new], t[new], lo[new], n[new], again[new])], names=names)
+                    i, t, lo, n = _joined(*(x[again] for x in (i, t, lo, n)))
+                    h = ((i.astype(np.uint64) ^ lo.astype(np.uint64) << np.uint64(20)) * np.uint64(_MULTIPLIERS[0])).view(np.int64)  # anywhere
+                    span, again = np.zeros(len(i), np.int64), np.ones(len(i), bool)
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, span, i, t, lo, n, again)], names=names)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,6 +167,10 @@ def repeated_ranges(docs: DataFrame, packed: DataFrame, length: int = 100, log_g
             if not batch.num_rows:
                 continue
             h, span, i, t, lo, n, again = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            yield from _emit([(None, i[again], t[again], lo[again], n[again])])
+            if again.all():
+                continue
+            h, span, i, t, lo, n = (x[~again] for x in (h, span, i, t, lo, n))
             fresh_h = np.concatenate([[last is None or h[0] != last[0]], h[1:] != h[:-1]])
             fresh = fresh_h | np.concatenate([[last is None or span[0] != last[1]], span[1:] != span[:-1]])
             rows = np.flatnonzero(fresh)
@@ -196,6 +205,15 @@ def repeated_ranges(docs: DataFrame, packed: DataFrame, length: int = 100, log_g
         if held is not None:
             yield from _emit([tuple(np.array([x]) for x in held)])
 
+    def _joined(i, t, lo, n):
+        """Spans of a document that follow each other as one."""
+        order = np.lexsort((lo, t, i))
+        i, t, lo, n = (x[order] for x in (i, t, lo, n))
+        if not len(i):
+            return i, t, lo, n
+        new = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (t[1:] != t[:-1]) | (lo[1:] != lo[:-1] + n[:-1])]))
+        return i[new], t[new], lo[new], np.add.reduceat(n, new)
+
     def _emit(parts) -> Iterator[pa.RecordBatch]:
         for h, *rest in parts:
             if len(rest[0]):
