@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import bounded_batches
+
 _BUCKETS = 1 << 14
 _NONE = 2**31 - 1
 
@@ -152,6 +154,7 @@ def bpe_encode(
     Null and empty texts have no ids (empty binary). Repeated rows and other columns pass through; an ``ids_col`` that exists is replaced.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     ranks = load_ranks(ranks_path)
     texts = docs.select(F.col(text_col).alias("text"))
 

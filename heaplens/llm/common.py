@@ -40,6 +40,13 @@ def discard(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Lower the session's rows in an Arrow batch to ``rows``: of whole texts the default of 10,000 is many MB, held by each Python worker and by the JVM beside it."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting)) <= rows:
+        spark.conf.set(setting, rows)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of an undirected graph by alternating large-star and small-star rounds.
 

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 #: Classes of bytes: lower, upper, digit, space, line end, sentence punctuation, other symbols, beyond ASCII.
 _CLASSES = 8
 
@@ -123,6 +125,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, max_train: int = 8000, id_
     Held out are ids whose crc32 (of the id as text) leaves 2 when divided by 4. Null labels and labels of unknown ids are passed over; without
     labels of both kinds every score is the mean label (0.5 without any).
     """
+    bounded_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).where("id IS NOT NULL AND y IS NOT NULL AND NOT " + HELD_OUT)
     chosen = known.distinct().orderBy(F.xxhash64("id", "y")).limit(max_train)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
@@ -144,6 +147,7 @@ def score_quality(docs: DataFrame, model: Model, threshold: float = 0.7, id_col:
     Whole texts are scored, passage by passage, in one pass without a shuffle. Null and empty texts have one empty passage and so
     all the same score; a null id isn't held out. Repeated rows and other columns pass through.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
