@@ -80,7 +80,8 @@ def lpf_at_least(spans: list[bytes], length: int) -> tuple[np.ndarray, np.ndarra
 
 def covered_windows(spans: pd.DataFrame, length: int) -> pd.DataFrame:
     """Ranges (id, tag, lo, hi) of the windows of ``spans`` (id, tag, lo, bytes) that occur earlier among them, runs of windows in one."""
-    spans = spans.sort_values(["id", "tag", "lo"])
+    # rows repeated in full have equal spans; a first window belongs to one span of its document
+    spans = spans.drop_duplicates(["id", "tag", "lo"]).sort_values(["id", "tag", "lo"])
     flags, count = lpf_at_least(list(spans["bytes"]), length)
     own = np.repeat(np.arange(len(spans)), count)
     at = np.flatnonzero(flags)
@@ -125,7 +126,7 @@ def repeated_ranges(docs: DataFrame, packed: DataFrame, length: int = 100, log_g
     Every window belongs to one anchor (see ``anchors``), and equal windows to equal anchors, so only anchors whose gram occurs
     again need a look. An anchor and its windows are one span of fewer than 2 * ``length`` bytes. Spans are ranged by (gram, span)
     and sorted, so a gram of any frequency may lie in several tasks; repeats within one batch of documents are known before and only pass
-    through, dealt evenly. Of equal spans all but the first are repeats. Of a gram with different spans (at the edges of shared passages), and of the grams at
+    through, dealt evenly. Spans of rows repeated in full are one span. Of equal spans all but the first are repeats. Of a gram with different spans (at the edges of shared passages), and of the grams at
     the ends of a task's range, the first of each span goes on as an edge.
 
     Edges get their bytes and are dealt by gram into buckets of about ``bucket_spans``, where the longest previous factors of their
@@ -141,9 +142,13 @@ def repeated_ranges(docs: DataFrame, packed: DataFrame, length: int = 100, log_g
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
-                cols = []
+                cols, met = [], set()
                 for i, t, text in zip(*(c.to_pylist() for c in batch.slice(start, 1024).columns)):
                     data = text.encode("utf-8")
+                    row = (i, t, digest(data))
+                    if row in met:
+                        continue  # repeated in full: one document
+                    met.add(row)
                     h, lo, n = anchors(data, length, log_gram)
                     if len(h):
                         span = np.array([digest(data[a:b]) for a, b in zip(lo.tolist(), (lo + n + length - 1).tolist())], np.uint64).view(np.int64)
@@ -161,8 +166,8 @@ def repeated_ranges(docs: DataFrame, packed: DataFrame, length: int = 100, log_g
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, span, i, t, lo, n, again)], names=names)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted spans to copies (h null) and edges. Between batches it holds one row."""
-        held, last, mixed = None, None, True  # held: the only span so far of the gram at hand; mixed: it has more, or may have in the task before
+        """Sorted spans to copies (h null) and edges. Between batches it holds two rows."""
+        held, last, seen, mixed = None, None, None, True  # held: the only span so far of the gram at hand; mixed: it has more, or may have in the task before
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -170,7 +175,13 @@ def repeated_ranges(docs: DataFrame, packed: DataFrame, length: int = 100, log_g
             yield from _emit([(None, i[again], t[again], lo[again], n[again])])
             if again.all():
                 continue
-            h, span, i, t, lo, n = (x[~again] for x in (h, span, i, t, lo, n))
+            spans = np.stack([x[~again] for x in (h, span, i, t, lo, n)])
+            # rows repeated in full have sent the same spans, which stand side by side
+            spans = spans[:, np.concatenate([[seen is None or (spans[:5, 0] != seen).any()], (spans[:5, 1:] != spans[:5, :-1]).any(axis=0)])]
+            if not spans.shape[1]:
+                continue
+            seen = spans[:5, -1]
+            h, span, i, t, lo, n = spans
             fresh_h = np.concatenate([[last is None or h[0] != last[0]], h[1:] != h[:-1]])
             fresh = fresh_h | np.concatenate([[last is None or span[0] != last[1]], span[1:] != span[:-1]])
             rows = np.flatnonzero(fresh)

@@ -178,6 +178,29 @@ def test_substrings_odd(odd):
     assert substrings.substring_dedup(odd.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("tasks", [1, 5])
+def test_substrings_rows_repeated_in_full(spark, tasks):
+    """Rows repeated in full are one document: they keep their text, and lose what an earlier document has."""
+    import random
+
+    rng = random.Random(7)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared, tail = text(300), text(250)
+    texts = [(None, text(400)), (1, text(350)), (2, text(150) + shared + text(90)), (3, shared[40:260] + tail), (4, text(30) + tail[10:] + text(40)), (5, "x" * 450)]
+    want = {k: v for (k, _), v in zip(texts, brute([(-1 if i is None else i, t) for i, t in texts], 100).values())}
+    rows = [(i, t) for i, t in texts for _ in range(3)]
+    rng.shuffle(rows)
+    for dealt in (rows, sorted(rows, key=lambda r: r[0] or 0)):
+        out = substrings.substring_dedup(spark.createDataFrame(dealt, "doc_id long, text string").repartition(tasks)).collect()
+        assert len(out) == len(rows)
+        assert all((r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == want[r.doc_id] for r in out)
+    docs = spark.createDataFrame([(-1 if i is None else i, 0, t) for i, t in rows], "id long, tag long, text string").repartition(tasks)
+    few = {}
+    for r in substrings.repeated_ranges(docs, substrings._packed(docs), heavy_spans=1, bucket_spans=3).collect():
+        few.setdefault(r.id, []).append((r.lo, r.hi))
+    assert {i: int(sum(b - a for a, b in substrings.merged(np.array(v)))) for i, v in few.items()} == {-1 if i is None else i: w[1] for i, w in want.items() if w[1]}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text("ab", max_size=30), max_size=8))
 def test_lpf(texts):
