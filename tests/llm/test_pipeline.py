@@ -49,3 +49,18 @@ def test_stages_odd(spark, odd):
 def test_run(spark):
     out = corpus_pipeline.run(spark, str(DATA))
     assert out.count() > 0 and pd.Series([r.doc_id for r in out.select("doc_id").collect()]).is_unique
+
+
+def test_mix_reaches_the_last_stage(spark):
+    """By mix_pos each prefix is within one block of the weights while no source has run out, whatever files the rows come from."""
+    sources = ["src0"] * 700 + ["b"] * 300 + ["c"] * 300
+    docs = spark.createDataFrame([(i, f"text {i}", "en", s, 6) for i, s in enumerate(sources)], "doc_id long, text string, lang string, source string, n_chars long").repartition(7)
+    stages = dict(corpus_pipeline.STAGES)
+    mixed = stages["mix"](spark, docs, str(DATA))
+    place = {r.doc_id: r.mix_pos for r in stages["bpe"](spark, mixed.repartition(5), str(DATA)).select("doc_id", "mix_pos").collect()}
+    assert sorted(place.values()) == list(range(len(sources)))
+    order = np.array([sources[i] for i in sorted(place, key=place.get)])
+    weights = {"src0": 5 / 9, "b": 2 / 9, "c": 2 / 9}
+    run = {s: np.cumsum(order == s) for s in weights}
+    full = min(int(np.argmax(n == n[-1])) for n in run.values())
+    assert full > 900 and all(np.abs(n[:full] - w * np.arange(1, full + 1)).max() <= 64 for (s, w), n in zip(weights.items(), run.values()))
