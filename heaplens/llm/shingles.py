@@ -1,0 +1,104 @@
+"""Near copies by the Jaccard similarity of word shingles: min-hash bands give candidates, the sets decide."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import connected_components, materialise, split_heavy
+from .simhash import _LOWER
+
+_STEP = 4096
+
+
+def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
+    """Sorted 64-bit hashes of the ``width``-word shingles (a shorter text is one), words as in ``simhash.fingerprint``; empty without words."""
+    import xxhash
+
+    words = (text or "").encode("utf-8").translate(_LOWER).split()
+    if not words:
+        return np.empty(0, np.uint64)
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + width])) for i in range(max(1, len(words) - width + 1))], np.uint64))
+
+
+def linked(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Spanning edges of the graph of all pairs of sets with a Jaccard similarity of at least ``similarity``: a search that compares a set with those not yet reached."""
+    size, left, edges = np.array([len(s) for s in sets]), np.ones(len(sets), bool), []
+    for start in range(len(sets)):
+        if not left[start]:
+            continue
+        left[start] = False
+        stack = [start]
+        while stack:
+            x = stack.pop()
+            near = np.flatnonzero(left & (size >= similarity * size[x] - 1e-9) & (size * similarity <= size[x] + 1e-9))
+            if not len(near):
+                continue
+            tokens = np.concatenate([sets[k] for k in near])
+            at = np.minimum(np.searchsorted(sets[x], tokens), size[x] - 1)
+            both = np.add.reduceat((sets[x][at] == tokens).astype(np.int64), np.cumsum(size[near]) - size[near])
+            for k in near[both >= similarity * (size[x] + size[near] - both) - 1e-9].tolist():
+                edges.append((x, k))
+                left[k] = False
+                stack.append(k)
+    return edges
+
+
+def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, bands: int = 24, band_rows: int = 5, heavy_rows: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``node``, ``component`` for ids that aren't the smallest of their component of near copies.
+
+    Documents meet as candidates if one of ``bands`` bands of ``band_rows`` min-hashes is equal, which a pair of similarity 0.8 misses
+    with a chance of (1 - 0.8**5)**24, below 0.0001, and a closer one less often. Within a band's group the shingle sets decide. Groups with the same members
+    count once; one of more than ``heavy_rows`` is dealt in pairs of chunks. Equal sets are one before that. Only the sets of
+    documents that meet another are sent. Null ids and texts without words link with nothing.
+    """
+    rng = np.random.default_rng(11)
+    factor = rng.integers(0, 2**63, bands * band_rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    plus = rng.integers(0, 2**63, bands * band_rows, dtype=np.uint64)
+
+    def digest(s: np.ndarray) -> np.int64:
+        import xxhash
+
+        return np.uint64(xxhash.xxh64_intdigest(s.tobytes())).view(np.int64)
+
+    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        for pdf in batches:
+            out = []
+            for i, text in zip(pdf["id"], pdf["text"]):
+                s = shingle_set(text, width)
+                if len(s):
+                    low = np.min([(s[k : k + _STEP, None] * factor + plus).min(axis=0) for k in range(0, len(s), _STEP)], axis=0)
+                    keys = [xxhash.xxh64_intdigest(low[k * band_rows : (k + 1) * band_rows].tobytes(), k) for k in range(bands)]
+                    out.append((i, digest(s), np.array(keys, np.uint64).view(np.int64)))
+            yield pd.DataFrame(out, columns=["id", "digest", "keys"])
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            own = [shingle_set(t, width) for t in pdf["text"]]
+            yield pd.DataFrame({"id": pdf["id"], "digest": np.array([digest(s) for s in own], np.int64), "hashes": [s.tobytes() for s in own]})
+
+    def verified(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("digest")
+        ids = pdf["id"].to_numpy(np.int64)
+        edges = np.array(linked([np.frombuffer(b, np.uint64) for b in pdf["hashes"]], similarity), np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": ids[edges[:, 0]], "b": ids[edges[:, 1]]})
+
+    source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    rows = materialise(source.mapInPandas(sign, "id bigint, digest bigint, keys array<bigint>"), "shingles")
+    distinct = rows.groupBy("digest").agg(F.min("id").alias("id"), F.min("keys").alias("keys"), F.max("id").alias("last"))
+    distinct = materialise(distinct, "shingles")
+    equal = rows.join(distinct.where("id <> last").select("digest", F.col("id").alias("b")), "digest").select(F.col("id").alias("a"), "b")
+    keyed = distinct.select("id", "digest", F.explode("keys").alias("key"))
+    groups = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("digest")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "digest")).alias("y")).where("n > 1")
+    kept = groups.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
+    members = materialise(keyed.join(kept, "key"), "shingles")
+    wanted = source.join(members.select("id").distinct(), "id", "left_semi").mapInPandas(sets, "id bigint, digest bigint, hashes binary")
+    full = members.join(wanted.dropDuplicates(["id", "digest"]), ["id", "digest"]).select("key", "id", "digest", "hashes")
+    pairs = split_heavy(materialise(full, "shingles"), "key", heavy_rows).groupBy("key", "part").applyInPandas(verified, "a bigint, b bigint")
+    return connected_components(equal.unionAll(pairs))

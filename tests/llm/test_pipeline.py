@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 
 import corpus_pipeline
-from heaplens.llm import quality, simhash
+from heaplens.llm import quality, shingles, simhash
 
 from .conftest import DATA, components
 
@@ -64,3 +64,29 @@ def test_mix_reaches_the_last_stage(spark):
     run = {s: np.cumsum(order == s) for s in weights}
     full = min(int(np.argmax(n == n[-1])) for n in run.values())
     assert full > 900 and all(np.abs(n[:full] - w * np.arange(1, full + 1)).max() <= 64 for (s, w), n in zip(weights.items(), run.values()))
+
+
+def _similarity(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+def test_near_copies_leave_the_run(spark):
+    """Documents 1 and 177 are alike to 0.83, but their fingerprints differ in 9 bits."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet(str(DATA / "documents.parquet")).collect()}
+    left = sorted(r.doc_id for r in corpus_pipeline.run(spark, str(DATA)).select("doc_id").collect())
+    assert 1 in left and 177 not in left
+    assert all(_similarity(texts[a], texts[b]) < 0.8 for k, a in enumerate(left) for b in left[:k])
+
+
+def test_near_copies_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    base = [[f"w{x}" for x in rng.integers(0, 5000, 80)] for _ in range(12)]
+    texts = [" ".join(b) for b in base] + [" ".join([*b[:k], "new", *b[k + 1 :]]) for b in base[:8] for k in (2, 30, 60)] + [" ".join(base[0]), "", "a b", "A  b"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[0]), (900, None), (3, texts[3])]
+    edges = [(i, j) for i in range(len(texts)) for j in range(i) if texts[i] and texts[j] and _similarity(texts[i], texts[j]) >= 0.8]
+    want = {i: r for i, r in enumerate(components(len(texts), edges)) if i != r}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for heavy in (2, 8192):
+        assert {r.node: r.component for r in shingles.near_copies(df, heavy_rows=heavy).collect()} == want
+    assert shingles.near_copies(df.where("false")).count() == 0
