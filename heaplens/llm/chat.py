@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise
-
-
-def _turn_digest(role: Column, text: Column) -> Column:
-    return F.sha2(F.concat(F.coalesce(role, F.lit("")), F.lit("\n"), F.coalesce(text, F.lit(""))), 256)
+from .common import materialise, row_digest
 
 
 def chat_format(
@@ -31,7 +27,7 @@ def chat_format(
     """
     turns = conversations.select(F.col(id_col).alias("conv"), F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("user")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).alias("t"))
     convs = turns.groupBy("conv").agg(F.sort_array(F.collect_set("t")).alias("turns"))
-    digests = F.transform("turns", lambda t: _turn_digest(t["role"], t["text"]))
+    digests = F.transform("turns", lambda t: row_digest(t["role"], t["text"]))
     hashes = F.aggregate(
         digests, F.array().cast("array<string>"),
         lambda acc, d: F.concat(acc, F.array(F.sha2(F.concat(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit("")), d), 256))),
@@ -56,7 +52,7 @@ WITH t AS (
   SELECT DISTINCT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations
 ), o AS (
   SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS n_turns,
-         string_agg(sha256(role || chr(10) || text), ',') OVER (w ROWS UNBOUNDED PRECEDING) AS prefix
+         string_agg(sha256(length(role) || ':' || role || text), ',') OVER (w ROWS UNBOUNDED PRECEDING) AS prefix
   FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
 ), ends AS (
   SELECT prefix, min(conv_id) AS conv_id, count(*) AS n_copies FROM o WHERE k = n_turns GROUP BY prefix

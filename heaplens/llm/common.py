@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -47,6 +47,12 @@ def bounded_batches(spark: SparkSession, rows: int = 1024) -> None:
         spark.conf.set(setting, rows)
 
 
+def row_digest(*columns) -> Column:
+    """SHA-256 over columns without nulls; the length of each but the last goes before it, so that what belongs to which can't shift."""
+    parts = [F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in columns]
+    return F.sha2(F.concat(*[x for c in parts[:-1] for x in (F.length(c).cast("string"), F.lit(":"), c)], parts[-1]), 256)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of an undirected graph by alternating large-star and small-star rounds.
 
@@ -84,15 +90,15 @@ def split_heavy(rows: DataFrame, key: str, limit: int) -> DataFrame:
     """Add ``part`` so that any two rows of a key meet in one (key, part) and no such group has more than about 2 * ``limit`` rows.
 
     A key of up to ``limit`` rows keeps one part. A larger one is dealt by hash into n chunks of about ``limit`` rows and every
-    pair of chunks is a part, so a hot key becomes many groups instead of one.
+    pair of chunks is a part, so a hot key becomes many groups instead of one. ``chunk`` tells the two chunks of a part apart (0 if the key has one part).
     """
-    heavy = rows.groupBy(key).count().where(F.col("count") > limit).select(F.col(key).alias("heavy_key"), F.ceil(F.col("count") / limit).alias("n"))
+    heavy = rows.groupBy(key).count().where(F.col("count") > limit).select(F.col(key).alias("heavy_key"), F.ceil(F.col("count") / limit).alias("n_chunks"))
     rows = rows.join(heavy, F.col(key) == F.col("heavy_key"), "left")
-    chunk = F.pmod(F.xxhash64(*[c for c in rows.columns if c not in (key, "heavy_key", "n")]), F.col("n"))
+    chunk = F.pmod(F.xxhash64(*[c for c in rows.columns if c not in (key, "heavy_key", "n_chunks")]), F.col("n_chunks"))
     rows = rows.withColumn("chunk", chunk)
-    others = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1), lambda x: F.least(x, F.col("chunk")) * F.col("n") + F.greatest(x, F.col("chunk")))
-    parts = F.when(F.col("n").isNull(), F.array(F.lit(-1).cast("bigint"))).otherwise(others)
-    return rows.withColumn("part", F.explode(parts)).drop("heavy_key", "n", "chunk")
+    others = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("n_chunks") - 1), lambda x: F.least(x, F.col("chunk")) * F.col("n_chunks") + F.greatest(x, F.col("chunk")))
+    parts = F.when(F.col("n_chunks").isNull(), F.array(F.lit(-1).cast("bigint"))).otherwise(others)
+    return rows.withColumn("part", F.explode(parts)).withColumn("chunk", F.coalesce("chunk", F.lit(0))).drop("heavy_key", "n_chunks")
 
 
 def star_edges(a, b):
