@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise, split_heavy
+from .common import connected_components, materialise, split_heavy, star_edges
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
@@ -57,19 +57,39 @@ class Forest:
         return np.concatenate(rows), np.concatenate(trees), np.concatenate(paths)
 
 
-def _pairs(threshold: float, step: int = 1024):
-    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("id")
-        ids, weight = pdf["id"].to_numpy(np.int64), pdf["weight"].to_numpy(np.int64)
-        x, out = _unit(pdf["vec"]), []
-        for i in range(0, len(x), step):
-            a, b = np.nonzero(x[i : i + step] @ x.T >= threshold)
-            a = a + i
-            keep = ids[a] < ids[b]
-            out.append(pd.DataFrame({"a": ids[a[keep]], "b": ids[b[keep]], "wa": weight[a[keep]], "wb": weight[b[keep]]}))
-        return pd.concat(out)
-
-    return pairs
+def _links(threshold: float, step: int = 1024):
+    """Links within one leaf of one tree whose ends share no leaf before it (of an earlier tree, or by spill of this one): each node's links by weight (b null), and edges that span what they connect."""
+
+    def links(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, h, weight, chunk = (pdf[c].to_numpy(np.int64) for c in ("id", "h", "weight", "chunk"))
+        across = len(np.unique(chunk)) > 1
+        x, n = _unit(pdf["vec"]), len(pdf)
+        # earlier cells that two of these vectors share, as a matrix of zeros and ones
+        row = np.repeat(np.arange(n), [len(c) for c in pdf["earlier"]])
+        _, where, times = np.unique(np.concatenate([np.asarray(c, np.int64) for c in pdf["earlier"]]), return_inverse=True, return_counts=True)
+        often = times[where] > 1
+        column = np.cumsum(times > 1) - 1
+        degree = np.zeros(n, np.int64)
+        a = b = np.empty(0, np.int64)
+        for i in range(0, n, step):
+            near = x[i : i + step] @ x.T >= threshold
+            near[np.arange(len(near)), i + np.arange(len(near))] = False
+            if across:  # pairs within a chunk have a part of their own
+                near &= chunk[i : i + step, None] != chunk
+            some, others = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+            if not len(some):
+                continue
+            if often.any():
+                met = np.zeros((n, int((times > 1).sum())), np.float32)
+                met[row[often], column[where[often]]] = 1
+                near[np.ix_(some, others)] &= met[i + some] @ met[others].T == 0
+            degree[i : i + step] = near @ weight
+            one, other = np.nonzero(near)
+            a, b = star_edges(np.concatenate([a, ids[i + one]]), np.concatenate([b, ids[other]]))
+        node = np.flatnonzero(degree)
+        return pd.DataFrame({"a": np.concatenate([ids[node], a]), "b": pd.array([None] * len(node) + b.tolist(), "Int64"), "h": np.concatenate([h[node], np.zeros_like(a)]), "links": np.concatenate([degree[node], np.zeros_like(a)])})
+
+    return links
 
 
 def embedding_dedup(
@@ -79,51 +99,61 @@ def embedding_dedup(
     """One row for each input row: ``id_col``, n_links, component_id, kept.
 
     Equal vectors of a label are one class with a weight; classes go down ``trees`` trees, each to a depth at which its label has
-    about ``leaf_rows`` vectors in a leaf, with spill overlap at each split. Classes of one label that share a leaf are
-    compared in double precision; pairs at or above ``threshold`` are links, united over all trees. Thresholds of the trees
-    are medians over a sample of at most ``sample_rows`` classes (smallest hashes of the id); all rows are indexed. Recall against
+    about ``leaf_rows`` vectors in a leaf, with spill overlap at each split. Vectors of each length have a forest of their own; a label with so few vectors of a
+    length that one leaf holds them has one tree. Classes of one label that share a leaf are
+    compared in double precision; pairs at or above ``threshold`` are links, united over all trees. A link is counted in the first leaf
+    that its ends share, so a leaf gives the number of links of each vector and edges that span them, never its pairs. Thresholds of the trees
+    are medians over a sample of about ``sample_rows`` classes (smallest hashes of the id, all lengths together); all rows are indexed. Recall against
     brute force is measured in tests/llm. A leaf that outgrows ``heavy_rows`` (many vectors too alike to split) is
     compared in pairs of chunks.
 
-    Vectors that are null, zero, or hold null or non-finite components, and vectors of a null label, link with nothing. So do
-    vectors of another length than most. n_links counts other rows, copies included; component_id is the smallest id
+    Vectors that are null, zero, or hold null or non-finite components, and vectors of a null label, link with nothing; vectors of
+    different lengths aren't compared. n_links counts other rows, copies included; component_id is the smallest id
     reachable; kept marks it. Rows of a null id link with nothing and have null component_id. Rows repeated with one id are
-    links of one another. Other columns are not read; an empty table gives an empty result.
+    links of one another if their vectors are equal or alike, and one node of the components in any case. Other columns are not read; an empty table gives an empty result.
     """
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("vec"), F.col(label_col).alias("label"))
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
     rows = rows.withColumn("ok", F.coalesce(finite & F.col("label").isNotNull() & F.col("id").isNotNull(), F.lit(False)))
-    rows = rows.withColumn("key", F.when(F.col("ok"), F.struct(F.xxhash64("label", "vec").alias("h"), F.xxhash64("vec", "label", F.lit(1)).alias("g"))))
+    # rows that link with nothing have keys of their own, so that they spread in the join at the end
+    rows = rows.withColumn("key", F.struct(F.when(F.col("ok"), F.xxhash64("label", "vec")).otherwise(F.xxhash64("id", F.rand(seed))).alias("h"), F.when(F.col("ok"), F.xxhash64("vec", "label", F.lit(1))).alias("g")))
     classes = rows.where("ok").groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("weight"), F.any_value("vec").alias("vec"), F.any_value("label").alias("label"))
-    classes = materialise(classes, "embedding")
-    length = classes.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    classes = materialise(classes.withColumn("size", F.size("vec")), "embedding")
     members = rows.select("id", "key")
-    if length is None:
-        return members.select(F.col("id").alias(id_col), F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
-    even = classes.where(F.size("vec") == length["n"])
-    by_label = even.groupBy("label").count().select(F.col("label").alias("l"), F.least(F.lit(max_depth), F.greatest(F.lit(0), F.ceil(F.log2(F.col("count") / leaf_rows)))).cast("int").alias("depth"))
-    by_label = materialise(by_label, "embedding")
-    deepest = by_label.agg(F.max("depth")).first()[0]
-    sample = even.select("id", "vec").orderBy(F.xxhash64("id")).limit(sample_rows).toPandas()
-    forest = vectors.sparkSession.sparkContext.broadcast(Forest(_unit(sample["vec"]), trees, deepest, seed))
+    depth = F.least(F.lit(max_depth), F.greatest(F.lit(0), F.ceil(F.log2(F.col("count") / leaf_rows)))).cast("int")
+    depths = materialise(classes.groupBy("size", "label").count().select(F.col("size").alias("s"), F.col("label").alias("l"), depth.alias("depth"), "count"), "embedding")
+    even = classes.join(depths, (F.col("label") == F.col("l")) & (F.col("size") == F.col("s"))).select("id", "key.h", "weight", "size", "label", "depth", "vec")
+    deep = depths.where("depth > 0").groupBy("s").agg(F.max("depth").alias("depth"), F.sum("count").alias("n")).collect()  # one row for each length of vectors
+    steps = 1 << 30
+    share = min(steps, round(steps * sample_rows / max(1, sum(r.n for r in deep))))
+    sample = even.where((F.col("depth") > 0) & (F.pmod(F.xxhash64("id"), F.lit(steps)) < share)).select("size", "vec").toPandas() if deep else None
+    empty = lambda n: np.zeros((1, n))
+    forest = vectors.sparkSession.sparkContext.broadcast({r.s: Forest(_unit(own) if len(own := sample["vec"][sample["size"] == r.s]) else empty(r.s), trees, r.depth, seed) for r in deep})
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                row, tree, leaf = forest.value.leaves(_unit(pdf["vec"]), pdf["depth"].to_numpy(), spill)
-                yield pd.DataFrame({"n": row, "tree": tree, "leaf": leaf, "id": pdf["id"].to_numpy()[row], "weight": pdf["weight"].to_numpy()[row], "label": pdf["label"].to_numpy()[row], "vec": pdf["vec"].to_numpy()[row]}).drop(columns="n")
+        for whole in batches:
+            for (size, deep), pdf in whole.groupby(["size", whole["depth"] > 0]):
+                row = tree = leaf = np.arange(len(pdf))
+                if deep:
+                    row, tree, leaf = forest.value[size].leaves(_unit(pdf["vec"]), pdf["depth"].to_numpy(), spill)
+                else:
+                    tree = leaf = np.zeros(len(pdf), np.int64)
+                order = np.lexsort((leaf, tree, row))
+                row, tree, leaf = row[order], tree[order], leaf[order]
+                cell = leaf * trees + tree  # of the label and length, which vectors that are compared have in common
+                own = {c: pdf[c].to_numpy()[row] for c in ("id", "h", "weight", "size", "label", "vec")}
+                yield pd.DataFrame({"tree": tree, "leaf": leaf, **own, "earlier": [cell[f:t] for t, f in enumerate(np.searchsorted(row, row).tolist())]})
 
     label_type = dict(even.dtypes)["label"]
-    routed = even.join(by_label, F.col("label") == F.col("l")).select("id", "weight", "label", "depth", "vec")
-    routed = routed.mapInPandas(route, f"tree int, leaf bigint, id bigint, weight bigint, label {label_type}, vec array<double>")
-    routed = routed.select(F.xxhash64("tree", "leaf", "label").alias("cell"), "label", "id", "weight", F.col("vec").cast("array<float>").alias("vec") if dict(vectors.dtypes)[vector_col] == "array<float>" else "vec")
-    routed = materialise(routed, "embedding")
-    cells = split_heavy(routed.select("cell", "label", "id", "weight", "vec"), "cell", heavy_rows)
-    pairs = cells.groupBy("cell", "label", "part").applyInPandas(_pairs(threshold), "a bigint, b bigint, wa bigint, wb bigint").distinct()
-    pairs = materialise(pairs, "embedding")
-    degree = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("wb").alias("w")), F.struct(F.col("b").alias("node"), F.col("wa").alias("w")))).alias("x")).groupBy("x.node").agg(F.sum("x.w").alias("links"))
-    parts = connected_components(pairs.select("a", "b")).withColumnRenamed("node", "member")
-    named = classes.select("key", "id", "weight").join(degree, F.col("id") == F.col("node"), "left").join(parts, F.col("id") == F.col("member"), "left")
+    routed = even.mapInPandas(route, f"tree int, leaf bigint, id bigint, h bigint, weight bigint, size int, label {label_type}, vec array<double>, earlier array<bigint>")
+    short = dict(vectors.dtypes)[vector_col] == "array<float>"
+    routed = routed.select(F.xxhash64("tree", "leaf", "label", "size").alias("cell"), "label", "size", "id", "h", "weight", "earlier", F.col("vec").cast("array<float>").alias("vec") if short else "vec")
+    cells = split_heavy(materialise(routed, "embedding"), "cell", heavy_rows)
+    found = materialise(cells.groupBy("cell", "label", "size", "part").applyInPandas(_links(threshold), "a bigint, b bigint, h bigint, links bigint"), "embedding")
+    forest.destroy()
+    degree = found.where("b IS NULL").groupBy(F.col("a").alias("node"), "h").agg(F.sum("links").alias("links")).alias("d")
+    parts = connected_components(found.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "member")
+    named = classes.select("key", "id", "weight").join(degree, (F.col("id") == F.col("node")) & (F.col("key.h") == F.col("d.h")), "left").join(parts, F.col("id") == F.col("member"), "left")
     named = named.select("key", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "id").alias("component"))
     out = members.alias("m").join(named.alias("c"), F.col("m.key") == F.col("c.key"), "left")
     component = F.coalesce("component", "m.id")
@@ -134,4 +164,5 @@ def embedding_dedup(
 
 
 def op6_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``embedding_dedup`` over all of ``embeddings``."""
     return embedding_dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
