@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -82,36 +83,45 @@ class Model:
         return np.round(self.forward(np.concatenate(encoded), np.cumsum([0, *map(len, encoded[:-1])]))["p"], 9)  # the last bits depend on the batch
 
 
+def gradient(model: Model, x: np.ndarray, first: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
+    """Gradient of the mean log loss of the documents (encoded passages as for ``Model.forward``) by each weight."""
+    w, f = model.weights, model.forward(x, first)
+    out = (f["p"] - labels) / len(labels)
+    grad = {"c": f["z"].T @ out, "d": np.array([out.sum()])}
+    dz = np.repeat(out[:, None] * w["c"], f["sizes"], axis=0)
+    da = (dz * f["e"]).sum(axis=1)
+    ds = f["a"] * (da - np.repeat(np.add.reduceat(f["a"] * da, first), f["sizes"]))
+    grad["w"] = (f["t"] * f["g"]).T @ ds
+    dtg = ds[:, None] * w["w"]
+    dt, dg = dtg * f["g"] * (1 - f["t"] ** 2), dtg * f["t"] * f["g"] * (1 - f["g"])
+    grad["V"], grad["U"] = f["e"].T @ dt, f["e"].T @ dg
+    de = (f["a"][:, None] * dz + dt @ w["V"].T + dg @ w["U"].T) * (1 - f["e"] ** 2)
+    grad["W"], grad["b"] = x.T @ de, de.sum(axis=0)
+    return grad
+
+
+def initial(mean: np.ndarray, spread: np.ndarray, hidden: int, gate: int, rng: np.random.Generator) -> Model:
+    return Model(mean, 1 / np.maximum(spread, 1e-3), {
+        "W": rng.normal(0, 0.15, (FEATURES, hidden)), "b": np.zeros(hidden), "V": rng.normal(0, 0.2, (hidden, gate)), "U": rng.normal(0, 0.2, (hidden, gate)),
+        "w": rng.normal(0, 0.2, gate), "c": rng.normal(0, 0.2, hidden), "d": np.zeros(1),
+    })
+
+
 def fit(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 32, gate: int = 16, epochs: int = 40, batch: int = 256, rate: float = 0.01, decay: float = 1e-4, seed: int = 3) -> Model:
-    """Learns encoder, attention and score from document labels (Adam on the log loss)."""
+    """Learns encoder, attention and score from document labels (Adam on the log loss). Beside the bags it holds one batch at a time."""
     if not len(bags) or labels.min() == labels.max():
         return Model(np.zeros(FEATURES), np.ones(FEATURES), {}, float(labels.mean()) if len(bags) else 0.5)
-    every = np.concatenate(bags).astype(np.float64)
-    mean, spread = every.mean(axis=0), every.std(axis=0)
+    n = sum(map(len, bags))
+    mean = sum(b.sum(axis=0, dtype=np.float64) for b in bags) / n
+    spread = np.sqrt(sum(((b - mean) ** 2).sum(axis=0) for b in bags) / n)
     rng = np.random.default_rng(seed)
-    model = Model(mean, 1 / np.maximum(spread, 1e-3), {
-        "W": rng.normal(0, 0.15, (FEATURES, hidden)), "b": np.zeros(hidden), "V": rng.normal(0, 0.2, (hidden, gate)), "U": rng.normal(0, 0.2, (hidden, gate)),
-        "w": rng.normal(0, 0.2, gate), "c": rng.normal(0, 0.2, hidden), "d": np.zeros(1),
-    })
-    encoded = [model.encode(b) for b in bags]
+    model = initial(mean, spread, hidden, gate, rng)
     w, first_moment, second_moment, step = model.weights, {}, {}, 0
     for epoch in range(epochs):
         for rows in np.array_split(rng.permutation(len(bags)), max(1, len(bags) // batch)):
-            x, first = np.concatenate([encoded[i] for i in rows]), np.cumsum([0, *(len(encoded[i]) for i in rows[:-1])])
-            f = model.forward(x, first)
-            dz_out = (f["p"] - labels[rows]) / len(rows)
-            grad = {"c": f["z"].T @ dz_out, "d": np.array([dz_out.sum()])}
-            dz = np.repeat(dz_out[:, None] * w["c"], f["sizes"], axis=0)
-            da = (dz * f["e"]).sum(axis=1)
-            ds = f["a"] * (da - np.repeat(np.add.reduceat(f["a"] * da, first), f["sizes"]))
-            grad["w"] = (f["t"] * f["g"]).T @ ds
-            dtg = ds[:, None] * w["w"]
-            dt, dg = dtg * f["g"] * (1 - f["t"] ** 2), dtg * f["t"] * f["g"] * (1 - f["g"])
-            grad["V"], grad["U"] = f["e"].T @ dt, f["e"].T @ dg
-            de = (f["a"][:, None] * dz + dt @ w["V"].T + dg @ w["U"].T) * (1 - f["e"] ** 2)
-            grad["W"], grad["b"] = x.T @ de, de.sum(axis=0)
+            x, first = model.encode(np.concatenate([bags[i] for i in rows])), np.cumsum([0, *(len(bags[i]) for i in rows[:-1])])
             step += 1
-            for k, g in grad.items():
+            for k, g in gradient(model, x, first, labels[rows]).items():
                 g = g + decay * w[k]
                 first_moment[k] = 0.9 * first_moment.get(k, 0) + 0.1 * g
                 second_moment[k] = 0.999 * second_moment.get(k, 0) + 0.001 * g * g
@@ -119,11 +129,15 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 32, gate: int
     return model
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, max_train: int = 8000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", words_each: int = 48) -> Model:
+def train_quality(
+    docs: DataFrame, labels: DataFrame, max_train: int = 8000, max_passages: int = 128, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", words_each: int = 48,
+) -> Model:
     """Fits the model on at most ``max_train`` labelled documents (those with the smallest hashes of the id), never on held-out ones.
 
     Held out are ids whose crc32 (of the id as text) leaves 2 when divided by 4. Null labels and labels of unknown ids are passed over; without
-    labels of both kinds every score is the mean label (0.5 without any).
+    labels of both kinds every score is the mean label (0.5 without any). Rows that repeat an id count on their own, up to ``max_train`` in all. A
+    document of more than ``max_passages`` passages is learned from that many of them, evenly spread over its whole text; scoring takes all. Features are made
+    on all executors; one task learns from these bounded rows, and only the weights come to the driver.
     """
     bounded_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).where("id IS NOT NULL AND y IS NOT NULL AND NOT " + HELD_OUT)
@@ -132,10 +146,19 @@ def train_quality(docs: DataFrame, labels: DataFrame, max_train: int = 8000, id_
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "y": pdf["y"], "x": pd.Series([passages(t, words_each).tobytes() for t in pdf["text"]], dtype=object)})
+            bags = [passages(t, words_each) for t in pdf["text"]]
+            bags = [b[np.linspace(0, len(b) - 1, max_passages).astype(int)] if len(b) > max_passages else b for b in bags]
+            yield pd.DataFrame({"id": pdf["id"], "y": pdf["y"], "x": pd.Series([b.tobytes() for b in bags], dtype=object)})
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got = pd.concat([pd.DataFrame({"id": [], "y": [], "x": []}), *batches]).sort_values(["id", "y", "x"])
+        model = fit([np.frombuffer(x, np.float32).reshape(-1, FEATURES) for x in got["x"]], got["y"].to_numpy(float))
+        yield pd.DataFrame({"model": [pickle.dumps(model)]})
 
-    got = rows.mapInPandas(encode, "id bigint, y double, x binary").toPandas().sort_values(["id", "y"])
-    return fit([np.frombuffer(x, np.float32).reshape(-1, FEATURES) for x in got["x"]], got["y"].to_numpy(float))
+    encoded = rows.mapInPandas(encode, "id bigint, y double, x binary")
+    # as many rows as are learned from at most, which one task takes
+    bounded = encoded.orderBy(F.xxhash64("id", "y"), "x").limit(max_train)
+    return pickle.loads(bounded.repartition(1).mapInPandas(learn, "model binary").first()["model"])
 
 
 HELD_OUT = "pmod(crc32(cast(id AS string)), 4) = 2"
@@ -148,11 +171,10 @@ def score_quality(docs: DataFrame, model: Model, threshold: float = 0.7, id_col:
     all the same score; a null id isn't held out. Repeated rows and other columns pass through.
     """
     bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        parts = [shared.value.scores([passages(t, words_each) for t in texts.iloc[i : i + 128]]) for i in range(0, len(texts), 128)]
+        parts = [model.scores([passages(t, words_each) for t in texts.iloc[i : i + 128]]) for i in range(0, len(texts), 128)]
         return pd.Series(np.concatenate(parts) if parts else np.empty(0))
 
     held = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) == 2, F.lit(False))
@@ -161,6 +183,7 @@ def score_quality(docs: DataFrame, model: Model, threshold: float = 0.7, id_col:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model from the labels that aren't held out, and the score of every document."""
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = train_quality(docs, labels)
     return score_quality(docs.select("doc_id", "text"), model).select("doc_id", "held_out", "score", "predicted")
