@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 
 import corpus_pipeline
-from heaplens.llm import quality, shingles, simhash
+from heaplens.llm import quality, simhash
 
 from .conftest import DATA, components
 
@@ -25,14 +25,11 @@ def test_stages(spark, docs, odd):
 
     third = stages["simhash"](spark, spark.createDataFrame(second), str(DATA)).toPandas()
     second = second.sort_values("doc_id").reset_index(drop=True)
-    p = np.array([simhash.fingerprint(t) for t in second.text], np.uint64)
-    roots = components(len(p), [(i, j) for i in range(len(p)) for j in np.nonzero(np.bitwise_count(p[i] ^ p[:i]) <= 4)[0].tolist()])
+    roots = components(len(second), [(i, j) for i in range(len(second)) for j in range(i) if _similarity(second.text[i], second.text[j]) >= 0.8])
     assert set(third.doc_id) == set(second.doc_id[[k == r for k, r in enumerate(roots)]])
 
     fourth = stages["mix"](spark, spark.createDataFrame(third), str(DATA)).toPandas()
     assert list(fourth.columns) == list(docs.columns) and sorted(fourth.doc_id) == sorted(third.doc_id)
-    counts = fourth.head(len(fourth) // 3).source.value_counts(normalize=True)
-    assert counts.max() < third.source.value_counts(normalize=True).max() + 0.6
 
     last = stages["bpe"](spark, spark.createDataFrame(fourth), str(DATA)).toPandas()
     assert sorted(last.doc_id) == sorted(fourth.doc_id) and (last.n_tokens > 0).all()
@@ -40,10 +37,11 @@ def test_stages(spark, docs, odd):
 
 def test_stages_odd(spark, odd):
     docs = odd.select("doc_id", "text", "lang", "source", odd.row.alias("n_chars"))
-    for _, stage in corpus_pipeline.STAGES[1:]:
+    for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, str(DATA))
-        assert out.count() > 0 and stage(spark, docs.where("false"), str(DATA)).count() == 0
-    assert "doc_id" in corpus_pipeline.STAGES[0][1](spark, docs, str(DATA)).columns
+        # among the labelled ids none of the odd texts is one of the table, so the classifier may keep all or none of them
+        assert (out.count() > 0 or name == "quality") and stage(spark, docs.where("false"), str(DATA)).count() == 0
+        assert name == "bpe" or out.columns == docs.columns
 
 
 def test_run(spark):
@@ -72,7 +70,7 @@ def _similarity(a, b):
 
 
 def test_near_copies_leave_the_run(spark):
-    """Documents 1 and 177 are alike to 0.83, but their fingerprints differ in 9 bits."""
+    """Documents 1 and 177 are alike to 0.83, but their 64-bit fingerprints differ in 9 bits."""
     texts = {r.doc_id: r.text for r in spark.read.parquet(str(DATA / "documents.parquet")).collect()}
     left = sorted(r.doc_id for r in corpus_pipeline.run(spark, str(DATA)).select("doc_id").collect())
     assert 1 in left and 177 not in left
@@ -88,5 +86,21 @@ def test_near_copies_against_brute_force(spark):
     want = {i: r for i, r in enumerate(components(len(texts), edges)) if i != r}
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for heavy in (2, 8192):
-        assert {r.node: r.component for r in shingles.near_copies(df, heavy_rows=heavy).collect()} == want
-    assert shingles.near_copies(df.where("false")).count() == 0
+        assert {r.node: r.component for r in simhash.near_duplicates(df, heavy_rows=heavy, heavy_sets=heavy, node_rows=heavy).collect()} == want
+    assert simhash.near_duplicates(df.where("false")).count() == 0
+
+
+def test_near_duplicates_recall(spark):
+    """Pairs at and just above the threshold, which share no other link: the tries find nearly all, and nothing below it."""
+    rng = np.random.default_rng(8)
+    rows, want = [], set()
+    for k in range(0, 1500, 2):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 220)]
+        other = list(words)
+        for at in rng.choice(44, int(rng.integers(0, 6)), replace=False):  # each new word changes five shingles
+            other[at * 5 + 2] = f"n{at}"
+        rows += [(k, " ".join(words)), (k + 1, " ".join(other))]
+        if _similarity(rows[-2][1], rows[-1][1]) >= 0.8:
+            want.add(k + 1)
+    got = {r.node for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got <= want and len(got) >= 0.98 * len(want)

@@ -83,29 +83,50 @@ def test_html_host(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string, host string")
     got = {(r.page_id, r.text) for r in html.extract_html(df).collect()}
     assert got == {(k, f"Story number {k} tells of item{k} and thing{k} only") for k in range(6)} | {(10, ""), (11, ""), (12, "Welcome to our site it has many nice pages for you"), (12, "Same")}
-    assert html.extract_html(df, group_pages=2).count() == len(rows) and html.extract_html(df.where("false")).count() == 0
+    # neither how pages are dealt nor the way that shared strings come to them makes a difference
+    for frame, keys in ((df.repartition(len(rows)), 1 << 21), (df.coalesce(1), 0), (df.repartition(5), 0)):
+        assert {(r.page_id, r.text) for r in html.extract_html(frame, table_keys=keys).collect()} == got
+    assert html.extract_html(df.where("false")).count() == 0 and html.extract_html(df.where("false"), table_keys=-1).count() == 0
+    # without markup the article that six other pages repeat goes, too
+    plain = {(r.page_id, r.text) for r in html.extract_html(df, markup=False).collect()}
+    assert plain == (got - {(12, "Welcome to our site it has many nice pages for you")}) | {(12, "")}
+
+
+def test_html_long_and_short_segments(spark):
+    """Menus of a few words are strings of their own; a very long page is one like any other."""
+    menu = "<nav><ul><li>Home<li>News</ul></nav>"
+    long = " ".join(f"w{k}" for k in range(200_000))
+    rows = [(k, "http://h.example/a", f"{menu}<p>text {k} a b c d e f{k}</p><div class='ad'>buy now{k}</div>") for k in range(4)] + [(9, "http://h.example/b", f"{menu}<p>{long}</p>")]
+    for markup in (True, False):
+        got = {r.page_id: r.text for r in html.extract_html(spark.createDataFrame(rows, "page_id long, url string, html string"), markup=markup).collect()}
+        assert got[9] == long and got[2] == "text 2 a b c d e f2" + ("" if markup else "\nbuy now2")
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.lists(st.integers(0, 3), max_size=12), max_size=5))
-def test_covered(pages):
-    tokens, page = [], []
-    for k, p in enumerate(pages):
-        tokens += [*p, -1 - k]
-        page += [k] * (len(p) + 1)
-    got = html.covered(np.array(tokens, np.int64), np.array(page, np.int64), 3, 2)
-    where = {}
-    for k, p in enumerate(pages):
-        for s in range(len(p) - 2):
-            where.setdefault(tuple(p[s : s + 3]), set()).add(k)
-    want = []
-    for p in pages:
-        own = [False] * (len(p) + 1)
-        for s in range(len(p) - 2):
-            if len(where[tuple(p[s : s + 3])]) > 1:
-                own[s : s + 3] = [True] * 3
-        want += own
-    assert got.tolist() == want
+@given(st.lists(st.lists(st.lists(st.sampled_from("abc"), min_size=1, max_size=7), max_size=3), max_size=5))
+def test_runs(pages):
+    """Strings of three tokens, or of a shorter segment as a whole, with the number of pages that hold each."""
+    stream = html.Stream([[(html.OTHER, k, " ".join(words)) for k, words in enumerate(page)] for page in pages], 3)
+    strings = lambda words: [tuple(words[s : s + 3]) for s in range(max(1, len(words) - 2))]
+    want = {}
+    for k, page in enumerate(pages):
+        for words in page:
+            for w in strings(words):
+                want.setdefault(w, set()).add(k)
+    starts, n = stream.runs()
+    keys = dict(zip(stream.keys(starts, 7).tolist(), n.tolist()))
+    assert sorted(keys.values()) == sorted(len(x) for x in want.values()) and len(keys) == len(want)
+    shared = np.array([keys[x] > 1 for x in stream.keys(stream.starts, 7).tolist()], bool)
+    got = np.array([stream.covered(shared)[a:b].sum() for _, _, a, b, _ in stream.blocks])
+    expected = []
+    for page in pages:
+        for words in page:
+            own = [False] * len(words)
+            for s, w in enumerate(strings(words)):
+                if len(want[w]) > 1:
+                    own[s : s + 3] = [True] * len(own[s : s + 3])
+            expected.append(sum(own))
+    assert got.tolist() == expected
 
 
 def test_pages_against_markup(spark):
@@ -163,8 +184,42 @@ def test_quality(spark, docs, docs_pdf, odd):
     assert quality.score_quality(odd.where("false"), model).count() == 0
 
 
-def test_attention_gradient():
-    """The gradient is that of the loss: a few steps on a tiny set fit it."""
+def _forward(model, bag):
+    """The score of one document by loops over its passages, straight from the definition of gated attention."""
+    import math
+
+    w = {k: v.tolist() for k, v in model.weights.items()}
+    dot = lambda v, m, j: sum(x * row[j] for x, row in zip(v, m))
+    encoded, power = [], []
+    for x in model.encode(bag).tolist():
+        e = [math.tanh(dot(x, w["W"], j) + w["b"][j]) for j in range(len(w["b"]))]
+        encoded.append(e)
+        power.append(math.exp(sum(math.tanh(dot(e, w["V"], j)) / (1 + math.exp(-dot(e, w["U"], j))) * w["w"][j] for j in range(len(w["w"])))))
+    z = [sum(a * e[j] for a, e in zip(power, encoded)) / sum(power) for j in range(len(w["b"]))]
+    return 1 / (1 + math.exp(-sum(c * x for c, x in zip(w["c"], z)) - w["d"][0]))
+
+
+def test_attention_by_definition():
+    rng = np.random.default_rng(1)
+    bags = [quality.passages(t) for t in ("Some words here. " * 60, "", "x", "BAD!! *** ### " * 90 + "Good words after all. " * 30)]
+    every = np.concatenate(bags)
+    model = quality.initial(every.mean(axis=0), every.std(axis=0), 5, 3, rng)
+    assert np.allclose(model.scores(bags), [_forward(model, b) for b in bags], atol=1e-8)
+    x, first, y = model.encode(every), np.cumsum([0, *(len(b) for b in bags[:-1])]), np.array([1.0, 0.0, 0.0, 1.0])
+    loss = lambda: -np.mean(np.log(np.where(y > 0.5, p := model.forward(x, first)["p"], 1 - p)))
+    grad = quality.gradient(model, x, first, y)
+    assert grad.keys() == model.weights.keys()
+    for k, w in model.weights.items():
+        for at in [np.unravel_index(i, w.shape) for i in rng.integers(0, w.size, 12)]:
+            kept = w[at]
+            w[at] = kept + 1e-6
+            above = loss()
+            w[at] = kept - 1e-6
+            assert grad[k][at] == pytest.approx((above - loss()) / 2e-6, rel=1e-4, abs=1e-8)
+            w[at] = kept
+
+
+def test_attention_learns():
     bags = [quality.passages("fine words here and there. " * k) for k in range(1, 9)] + [quality.passages("fine words here. " * k + "BAD!! *** ### " * 30) for k in range(1, 9)]
     y = np.array([1.0] * 8 + [0.0] * 8)
     model = quality.fit(bags, y, epochs=120, batch=8)
@@ -181,3 +236,7 @@ def test_chat(spark):
     assert got[5].rendered == "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nno<|im_end|>\n"
     assert got[7].rendered == "<|im_start|>user\n<|im_end|>\n" and got[8].rendered == "<|im_start|>user\n< |im_end|><|im_end|>\n"
     assert chat_format(df.where("false")).count() == 0
+    # where role and text part differently around a line end, conversations differ; a very long conversation is one row
+    odd = [(1, 0, "a\nb", "c"), (2, 0, "a", "b\nc"), *[(3, k, "user", f"turn {k}") for k in range(3000)]]
+    rows = {r.conv_id: r for r in chat_format(spark.createDataFrame(odd, "conv_id long, turn long, role string, text string")).collect()}
+    assert set(rows) == {1, 2, 3} and rows[1].n_copies == rows[2].n_copies == 1 and rows[3].n_turns == 3000
