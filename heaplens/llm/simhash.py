@@ -332,7 +332,7 @@ def near_duplicates(
     found = split_heavy(each, "node", heavy_rows).groupBy("node", "part").applyInPandas(links, "a bigint, b bigint")
     maybe = connected_components(found)
     members = maybe.select(F.col("node").alias("id"), "component").unionAll(maybe.select(F.col("component").alias("id"), "component").distinct())
-    full = materialise(source.join(members, "id").mapInPandas(sets, "component bigint, id bigint, hashes binary").dropDuplicates(["id", "hashes"]), "near")
+    full = materialise(source.join(members.hint("merge"), "id").mapInPandas(sets, "component bigint, id bigint, hashes binary").dropDuplicates(["id", "hashes"]), "near")
     pairs = split_heavy(full, "component", heavy_sets).groupBy("component", "part").applyInPandas(verified, "a bigint, b bigint")
     return connected_components(pairs.unionAll(equal))
 
