@@ -76,9 +76,13 @@ def zgc_category(cause: Column) -> Column:
     return _first(cause, ZGC, "ZGCUnknown")
 
 
-def category(family: Column, label: Column) -> Column:
-    """Category by family (classic, g1, zgc) and label; null for another family."""
-    return F.when(family == "g1", g1_category(label)).when(family == "zgc", zgc_category(label)).when(family == "classic", classic_category(label))
+def category(family: Column, label: Column, families: tuple[str, ...] = ("g1", "zgc", "classic")) -> Column:
+    """Category by family (classic, g1, zgc) and label; null for another family. ``families`` plans the rules of some only."""
+    rules = {"g1": g1_category, "zgc": zgc_category, "classic": classic_category}
+    out = F.lit(None).cast("string")
+    for name in families:
+        out = F.when(family == name, rules[name](label)).otherwise(out)
+    return out
 
 
 def is_pause(family: Column, label: Column) -> Column:

@@ -8,24 +8,25 @@ from pyspark.sql import functions as F
 _SEP = "\x01"
 SIZE = r"(\d+(?:\.\d+)?)([BKMG])"
 
-# Unified logging
 GC_ID = r"GC\((\d+)\) "
-UNIFIED_PAUSE = r"GC\((\d+)\) (Pause .+?) (\d+)([KMG])->(\d+)([KMG])\((\d+)([KMG])\) (\d+\.\d+)ms\s*"
-UNIFIED_CONCURRENT = r"GC\((\d+)\) (Concurrent .+?) (\d+\.\d+)ms\s*"
-REGIONS = r"GC\(\d+\) (Eden|Survivor|Old|Humongous|Archive) regions: (\d+)->(\d+)(?:\((\d+)\))?"
-UNIFIED_METASPACE = r"GC\(\d+\) Metaspace: (\d+)K(?:\((\d+)K\))?->(\d+)K\((\d+)K\)"
+# Unified logging: messages, that is, what follows "GC(n) " and blanks
+UNIFIED_PAUSE = r"(Pause .+?) (\d+)([KMG])->(\d+)([KMG])\((\d+)([KMG])\) (\d+\.\d+)ms"
+UNIFIED_CONCURRENT = r"(Concurrent .+?) (\d+\.\d+)ms"
+REGIONS = r"(Eden|Survivor|Old|Humongous|Archive) regions: (\d+)->(\d+)(?:\((\d+)\))?"
+UNIFIED_METASPACE = r"Metaspace: (\d+)K(?:\((\d+)K\))?->(\d+)K\((\d+)K\)"
 UPTIME = r"\[(\d+\.\d+)s\]"
 STAMP = r"(\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d+[+-]\d{4})"
 REFERENCE = r"\[?(Soft|Weak|Final|Phantom|JNI Weak) ?Reference, (?:(\d+) refs, )?(?:(\d+) refs, )?(\d+\.\d+) secs\]?"
 
-# Unified logging of the Z collector
-ZGC_END = r"GC\((\d+)\) Garbage Collection \((.+?)\) (\d+)([KMG])\(\d+%\)->(\d+)([KMG])\(\d+%\)"
-ZGC_PHASE = r"GC\(\d+\) (Pause Mark Start|Concurrent Mark|Concurrent Mark Free|Pause Mark End|Concurrent Process Non-Strong References|Concurrent Reset Relocation Set|Concurrent Select Relocation Set|Pause Relocate Start|Concurrent Relocate) (\d+\.\d+)ms"
-ZGC_LOAD = r"GC\(\d+\) Load: (\d+\.\d+)/(\d+\.\d+)/(\d+\.\d+)"
-ZGC_MMU = r"GC\(\d+\) MMU: 2ms/(\d+\.\d+)%, 5ms/(\d+\.\d+)%, 10ms/(\d+\.\d+)%, 20ms/(\d+\.\d+)%, 50ms/(\d+\.\d+)%, 100ms/(\d+\.\d+)%"
-ZGC_METASPACE = r"GC\(\d+\) Metaspace: (\d+)([KMG]) used, (?:\d+[KMG] capacity, )?(\d+)([KMG]) committed, (\d+)([KMG]) reserved"
+# Messages of the Z collector
+ZGC_END = r"Garbage Collection \((.+?)\) (\d+)([KMG])\(\d+%\)->(\d+)([KMG])\(\d+%\)"
+ZGC_PHASE = r"(Pause Mark Start|Concurrent Mark|Concurrent Mark Free|Pause Mark End|Concurrent Process Non-Strong References|Concurrent Reset Relocation Set|Concurrent Select Relocation Set|Pause Relocate Start|Concurrent Relocate) (\d+\.\d+)ms"
+ZGC_LOAD = r"Load: (\d+\.\d+)/(\d+\.\d+)/(\d+\.\d+)"
+ZGC_MMU = r"MMU: 2ms/(\d+\.\d+)%, 5ms/(\d+\.\d+)%, 10ms/(\d+\.\d+)%, 20ms/(\d+\.\d+)%, 50ms/(\d+\.\d+)%, 100ms/(\d+\.\d+)%"
+ZGC_METASPACE = r"Metaspace: (\d+)([KMG]) used, (?:\d+[KMG] capacity, )?(\d+)([KMG]) committed, (\d+)([KMG]) reserved"
 _CELL = r"\s+(?:-|(\d+)([KMG])(?: ?\(\d+%\))?)"
-ZGC_ROW = r"GC\(\d+\)\s+(Used|Free|Live|Allocated|Garbage|Reclaimed|Memory):" + _CELL * 4
+ZGC_ROWS = ("Used", "Free", "Live", "Allocated", "Garbage", "Reclaimed", "Memory")
+ZGC_ROW = "(" + "|".join(ZGC_ROWS) + "):" + _CELL * 4
 
 # Legacy logging
 POOL = r"(\d+)K->(\d+)K\((\d+)K\)"
@@ -65,6 +66,13 @@ def fields(line: Column, pattern: str, count: int) -> Column:
     return F.when(F.size(parts) == count + 1, parts)
 
 
+def begin(text: Column, pattern: str, fields: list[str] | int) -> Column:
+    """As ``fields`` for a pattern that has to begin where the text does, so that nothing is tried further on. Fields may join groups, as "$1$2"."""
+    wanted = [f"${k}" for k in range(1, fields + 1)] if isinstance(fields, int) else fields
+    parts = F.split(F.regexp_replace(text, f"^(?:{pattern}).*$", _SEP.join(wanted) + _SEP), _SEP)
+    return F.when(F.size(parts) == len(wanted) + 1, parts)
+
+
 def number(text: Column, kind: str = "bigint") -> Column:
     """The number in a text; null for an empty or odd one."""
     return F.when(text != "", text).try_cast(kind)
@@ -76,5 +84,10 @@ def kib(value: Column, unit: Column) -> Column:
     return F.floor(number(value, "double") * factor).cast("bigint")
 
 
+def sizes(texts: Column) -> Column:
+    """Whole KiB of each size with its unit letter, as doubles; null for an empty one."""
+    return F.transform(texts, lambda x: kib(F.left(x, F.length(x) - 1), F.right(x, F.lit(1))).cast("double"))
+
+
 def pool(before: Column, size_before: Column, after: Column, size_after: Column) -> Column:
     return F.struct(before.alias("occ_before"), size_before.alias("size_before"), after.alias("occ_after"), size_after.alias("size_after"))

@@ -30,12 +30,12 @@ COLUMNS = {
 _ORDER = ("path", "host", "split", "pos")
 
 
-def _finish(rows: DataFrame) -> DataFrame:
-    """All columns of an event in order, with category and pause by label; events without a category go."""
-    rows = rows.withColumn("category", category(F.col("family"), F.col("label"))).withColumn("is_pause", is_pause(F.col("family"), F.col("label")))
+def _finish(rows: DataFrame, *families: str) -> DataFrame:
+    """All columns of an event in order, with category and pause by label; events of families other than ``families`` go."""
+    rows = rows.where(F.col("family").isin(*families)).withColumn("category", category(F.col("family"), F.col("label"), families)).withColumn("is_pause", is_pause(F.col("family"), F.col("label")))
     present = set(rows.columns)
     wanted = [(F.col(c) if c in present else F.lit(None)).cast(kind).alias(c) for c, kind in COLUMNS.items()]
-    return rows.select(*_ORDER, *wanted).where("category IS NOT NULL")
+    return rows.select(*_ORDER, *wanted)
 
 
 def _stamp(line: Column) -> Column:
@@ -70,71 +70,107 @@ def _references(line: Column) -> Column:
     return F.when(line.contains("Reference, "), F.struct(*out))
 
 
-def _segments(rows: DataFrame, terminal: Column) -> DataFrame:
-    """Number the events within a (file, gc_id): detail lines belong to the next terminal line. Lines after the last one are left over."""
-    order = W.partitionBy("path", "host", "gc_id").orderBy("split", "pos").rowsBetween(W.unboundedPreceding, -1)
-    return rows.withColumn("terminal", terminal).withColumn("seg", F.coalesce(F.sum(F.col("terminal").cast("int")).over(order), F.lit(0)))
+def _messages(lines: DataFrame) -> DataFrame:
+    """gc_id and message of the lines that have both, by plain string functions: the one pattern that a line then meets begins where its message does."""
+    rows = lines.where(F.col("line").contains("GC(")).withColumn("tail", F.split_part("line", F.lit("GC("), F.lit(2)))
+    rows = rows.withColumn("gc_id", F.substring_index("tail", ") ", 1).try_cast("bigint")).where("gc_id IS NOT NULL")
+    return rows.withColumn("message", F.ltrim(F.expr("substring(tail, instr(tail, ') ') + 2)"))).drop("tail")
+
+
+def _assemble(rows: DataFrame, ends: list[str], values: dict[str, tuple[int, int]]) -> DataFrame:
+    """One row for each line of code 0 (an event's last line) with its columns ``ends``, and the values of the lines before it.
+
+    rows: a code for what a line tells, and numbers ``v``; values: by name, the code of the line and the place in its ``v``. Within a (file, gc_id), lines
+    belong to the next last line; those after the last one are left over. Of several lines that tell the same the last counts. One shuffle
+    by (file, gc_id) serves both steps; it moves numbers, no lines. What is gathered in one row is the lines of one event.
+    """
+    order = W.partitionBy("path", "host", "gc_id").orderBy(F.desc("split"), F.desc("pos"))
+    end = F.last(F.when(F.col("code") == 0, F.struct("split", "pos", "ts", "uptime_s", *ends)), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
+    rows = rows.select("path", "host", "family", "collector", "region_kib", "gc_id", "code", "v", "split", "pos", end.alias("end"), (-F.row_number().over(order)).alias("k"))
+    rows = rows.where("end IS NOT NULL").select("path", "host", "family", "collector", "region_kib", "gc_id", "end.*", F.struct("k", "code", "v").alias("line"))
+    events = rows.groupBy("path", "host", "family", "collector", "region_kib", "gc_id", "split", "pos", "ts", "uptime_s", *ends).agg(F.sort_array(F.collect_list("line"), asc=False).alias("told"))
+    told = lambda code: F.get(F.filter("told", lambda x: x["code"] == code), F.lit(0))["v"]
+    events = events.withColumns({f"told{code}": told(code) for code, _ in values.values()})
+    return events.withColumns({name: F.get(f"told{code}", F.lit(i)) for name, (code, i) in values.items()})
+
+
+def _told(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with the columns, less those without a code. The generator keeps that filter from being pushed down, with a copy of all patterns in it."""
+    known = [c for c in rows.columns if c not in ("line", "message", "kind", "parts")]
+    told = rows.select(*known, F.explode(F.array(F.struct(*[x.alias(name) for name, x in columns.items()]))).alias("told"))
+    return told.select(*known, "told.*").where("code IS NOT NULL")
+
+
+def _first_that_fits(cases) -> Column:
+    out = None
+    for test, value in cases:
+        out = F.when(test, value) if out is None else out.when(test, value)
+    return out
 
 
 def unified(lines: DataFrame) -> DataFrame:
     """Events of unified logs of G1, CMS, Parallel and Serial (lines with family, collector, region_kib)."""
-    rows = lines.where(F.col("line").contains("GC(")).withColumn("gc_id", G.number(F.regexp_extract("line", G.GC_ID, 1))).where("gc_id IS NOT NULL")
-    rows = rows.withColumn("pause", G.fields(F.col("line"), G.UNIFIED_PAUSE, 9)).withColumn("conc", G.fields(F.col("line"), G.UNIFIED_CONCURRENT, 3))
-    rows = _stamped(_segments(rows, F.col("pause").isNotNull() | F.col("conc").isNotNull()), G.UPTIME)
-    rows = rows.withColumn("region", F.when(F.col("line").contains(" regions: "), G.fields(F.col("line"), G.REGIONS, 4))).withColumn("meta", F.when(F.col("line").contains("Metaspace: "), G.fields(F.col("line"), G.UNIFIED_METASPACE, 4)))
-    pause = lambda k: F.get("pause", F.lit(k))
-    size = G.kib(pause(6), pause(7))
-    heap = F.when(F.col("pause").isNotNull(), G.pool(G.kib(pause(2), pause(3)), size, G.kib(pause(4), pause(5)), size))
-    meta = lambda k: G.number(F.get("meta", F.lit(k)))
-    metaspace = F.when(F.col("meta").isNotNull(), G.pool(meta(0), F.coalesce(meta(1), meta(3)), meta(2), meta(3)))
-    spaces = []
-    for s in SPACES:
-        own = F.when(F.get("region", F.lit(0)) == s.title(), F.struct(*[G.number(F.get("region", F.lit(k))).alias(n) for k, n in ((1, "before"), (2, "after"), (3, "assigned"))]))
-        spaces.append(_last(own, f"r_{s}"))
-    done = F.col("terminal")
-    events = rows.groupBy("path", "host", "gc_id", "seg").agg(
-        F.max(F.when(done, F.struct("split", "pos"))).alias("at"), F.max(done).alias("complete"), F.any_value("family").alias("family"), F.any_value("collector").alias("collector"), F.any_value("region_kib").alias("region_kib"),
-        _last(F.when(done, F.coalesce(pause(1), F.get("conc", F.lit(1)))), "label"), _last(F.when(done, G.number(F.coalesce(pause(8), F.get("conc", F.lit(2))), "double") / 1000), "duration_s"),
-        _last(F.when(done, F.col("ts")), "ts"), _last(F.when(done, F.col("uptime_s")), "uptime_s"), _last(heap, "heap"), _last(metaspace, "metaspace"), *spaces,
-    ).where("complete")
-    kib = lambda region, part: F.col(f"{region}.{part}") * F.col("region_kib")
-    events = events.withColumn("eden", F.when(F.col("r_eden").isNotNull() & F.col("region_kib").isNotNull(), G.pool(kib("r_eden", "before"), F.lit(None).cast("bigint"), kib("r_eden", "after"), kib("r_eden", "assigned"))))
-    survivor = F.struct(kib("r_survivor", "before").alias("occ_before"), kib("r_survivor", "after").alias("occ_after"), kib("r_survivor", "assigned").alias("size"))
-    events = events.withColumn("survivor", F.when(F.col("r_survivor").isNotNull() & F.col("region_kib").isNotNull(), survivor))
-    return _finish(events.select("*", "at.split", "at.pos"))
+    message = F.col("message")
+    pause, conc, region, meta = message.startswith("Pause "), message.startswith("Concurrent "), message.contains(" regions: "), message.startswith("Metaspace: ")
+    parts = _first_that_fits([(pause, G.begin(message, G.UNIFIED_PAUSE, 8)), (conc, G.begin(message, G.UNIFIED_CONCURRENT, 2)), (region, G.begin(message, G.REGIONS, 4)), (meta, G.begin(message, G.UNIFIED_METASPACE, 4))])
+    rows = _messages(lines).withColumn("parts", parts)
+    item = lambda k: F.get("parts", F.lit(k))
+    code = _first_that_fits([(item(0).isNull(), F.lit(None)), (pause | conc, F.lit(0)), (meta, F.lit(len(SPACES) + 1)), *((item(0) == s.title(), F.lit(k + 1)) for k, s in enumerate(SPACES))])
+    numbers = lambda ks: F.array(*[G.number(item(k)) for k in ks])
+    kib = lambda k: F.when(pause, G.kib(item(k), item(k + 1)))
+    end = pause | conc
+    rows = _told(
+        rows, code=code, v=_first_that_fits([(region, numbers((1, 2, 3))), (meta, numbers(range(4)))]), label=F.when(end, item(0)), ms=G.number(F.when(pause, item(7)).when(conc, item(1)), "double"),
+        before=kib(1), after=kib(3), size=kib(5), ts=F.when(end, _stamp(F.col("line"))), uptime_s=F.when(end, G.number(F.regexp_extract("line", G.UPTIME, 1), "double")),
+    )
+    names = ("before", "after", "assigned")
+    values = {f"{s}_{n}": (k + 1, i) for k, s in enumerate(SPACES) for i, n in enumerate(names)} | {f"meta{i}": (len(SPACES) + 1, i) for i in range(4)}
+    events = _assemble(rows, ["label", "ms", "before", "after", "size"], values)
+    # a line of regions or metaspace always has its first number
+    spaces = {f"r_{s}": F.when(F.col(f"{s}_before").isNotNull(), F.struct(*[F.col(f"{s}_{n}").alias(n) for n in names])) for s in SPACES}
+    heap = F.when(F.col("before").isNotNull(), G.pool(F.col("before"), F.col("size"), F.col("after"), F.col("size")))
+    metaspace = F.when(F.col("meta0").isNotNull(), G.pool(F.col("meta0"), F.coalesce("meta1", "meta3"), F.col("meta2"), F.col("meta3")))
+    events = events.withColumns(spaces | {"heap": heap, "metaspace": metaspace, "duration_s": F.col("ms") / 1000})
+    kib_of = lambda name: F.col(name) * F.col("region_kib")
+    eden = G.pool(kib_of("eden_before"), F.lit(None).cast("bigint"), kib_of("eden_after"), kib_of("eden_assigned"))
+    survivor = F.struct(kib_of("survivor_before").alias("occ_before"), kib_of("survivor_after").alias("occ_after"), kib_of("survivor_assigned").alias("size"))
+    known = lambda s, x: F.when(F.col(f"{s}_before").isNotNull() & F.col("region_kib").isNotNull(), x)
+    return _finish(events.withColumns({"eden": known("eden", eden), "survivor": known("survivor", survivor)}), "g1", "classic")
 
 
 def zgc(lines: DataFrame) -> DataFrame:
     """One event for each cycle of the Z collector."""
-    rows = lines.where(F.col("line").contains("GC(")).withColumn("gc_id", G.number(F.regexp_extract("line", G.GC_ID, 1))).where("gc_id IS NOT NULL")
-    rows = rows.withColumn("end", G.fields(F.col("line"), G.ZGC_END, 6))
-    rows = _stamped(_segments(rows, F.col("end").isNotNull()), G.UPTIME)
-    rows = rows.withColumn("phase", G.fields(F.col("line"), G.ZGC_PHASE, 2)).withColumn("load", F.when(F.col("line").contains("Load: "), G.fields(F.col("line"), G.ZGC_LOAD, 3)))
-    rows = rows.withColumn("mmu", F.when(F.col("line").contains("MMU: "), G.fields(F.col("line"), G.ZGC_MMU, 6))).withColumn("meta", F.when(F.col("line").contains("Metaspace: "), G.fields(F.col("line"), G.ZGC_METASPACE, 6)))
-    rows = rows.withColumn("row", G.fields(F.col("line"), G.ZGC_ROW, 9))
     # Phases as they are written, in the order of the catalog.
     written = ("Pause Mark Start", "Concurrent Mark", "Concurrent Mark Free", "Pause Mark End", "Concurrent Process Non-Strong References", "Concurrent Reset Relocation Set", "Concurrent Select Relocation Set", "Pause Relocate Start", "Concurrent Relocate")
-    phases = [_last(F.when(F.get("phase", F.lit(0)) == name, G.number(F.get("phase", F.lit(1)), "double")), f"{p}_ms") for name, (p, _, _) in zip(written, ZGC_PHASES)]
-    item = lambda col, k, kind="double": G.number(F.get(col, F.lit(k)), kind)
-    cell = lambda k: G.kib(F.get("row", F.lit(1 + 2 * k)), F.get("row", F.lit(2 + 2 * k)))
-    cells = [_last(F.when(F.get("row", F.lit(0)) == name, F.array(*[cell(k) for k in range(4)])), name.lower()) for name in ("Used", "Free", "Live", "Allocated", "Garbage", "Reclaimed", "Memory")]
-    mmu = F.when(F.col("mmu").isNotNull(), F.create_map(*[x for k, ms in enumerate(MMU_MS) for x in (F.lit(ms), item("mmu", k))]))
-    meta = F.when(F.col("meta").isNotNull(), F.struct(*[G.kib(F.get("meta", F.lit(2 * k)), F.get("meta", F.lit(2 * k + 1))).alias(n) for k, n in enumerate(("used", "committed", "reserved"))]))
-    done = F.col("terminal")
-    g = rows.groupBy("path", "host", "gc_id", "seg").agg(
-        F.max(F.when(done, F.struct("split", "pos"))).alias("at"), F.max(done).alias("complete"), F.any_value("family").alias("family"), F.any_value("collector").alias("collector"),
-        _last(F.get("end", F.lit(1)), "label"), _last(F.when(done, F.col("ts")), "ts"), _last(F.when(done, F.col("uptime_s")), "uptime_s"),
-        *phases, _last(F.when(F.col("load").isNotNull(), F.array(*[item("load", k) for k in range(3)])), "load"), _last(mmu, "mmu"), _last(meta, "meta"), *cells,
-    ).where("complete")
-    snap = lambda k: F.when(F.col("used").isNotNull(), F.struct(F.get("used", F.lit(k)).alias("used"), F.get("free", F.lit(k)).alias("free")))
-    part = lambda col, names, at: F.when(F.col(col).isNotNull(), F.struct(*[F.get(col, F.lit(at + k)).alias(n) for k, n in enumerate(names)]))
+    message, name = F.col("message"), F.substring_index("message", ":", 1)
+    tests = {"end": message.startswith("Garbage Collection ("), "phase": message.startswith("Pause ") | message.startswith("Concurrent "), "load": name == "Load", "mmu": name == "MMU", "meta": name == "Metaspace", "row": name.isin(*G.ZGC_ROWS)}
+    patterns = {"end": (G.ZGC_END, 5), "phase": (G.ZGC_PHASE, 2), "load": (G.ZGC_LOAD, ["load", "$1", "$2", "$3"]), "mmu": (G.ZGC_MMU, ["mmu", *(f"${k}" for k in range(1, 7))]), "meta": (G.ZGC_METASPACE, ["meta", "$1$2", "$3$4", "$5$6"]), "row": (G.ZGC_ROW, ["$1", "$2$3", "$4$5", "$6$7", "$8$9"])}
+    rows = _messages(lines).withColumn("kind", _first_that_fits([(test, F.lit(kind)) for kind, test in tests.items()]))
+    rows = rows.withColumn("parts", _first_that_fits([(F.col("kind") == kind, G.begin(message, *p)) for kind, p in patterns.items()]))
+    item = lambda k: F.get("parts", F.lit(k))
+    load, mmu, meta, row = (len(written) + k for k in range(1, 5))
+    named = [*((item(0) == w, F.lit(k + 1)) for k, w in enumerate(written)), *((item(0) == r, F.lit(row + k)) for k, r in enumerate(G.ZGC_ROWS))]
+    code = F.when(F.col("parts").isNotNull() & (F.col("kind") == "end"), 0).when(item(0) == "load", load).when(item(0) == "mmu", mmu).when(item(0) == "meta", meta).otherwise(_first_that_fits(named))
+    # each line's numbers stand after its name
+    texts = F.slice("parts", F.lit(2), F.size("parts") - 2)
+    v = F.when(F.col("kind").isin("row", "meta"), G.sizes(texts)).when(F.col("kind") != "end", F.transform(texts, lambda x: G.number(x, "double")))
+    end = F.col("kind") == "end"
+    rows = _told(rows, code=code, v=v, label=F.when(end, item(0)), ts=F.when(end, _stamp(F.col("line"))), uptime_s=F.when(end, G.number(F.regexp_extract("line", G.UPTIME, 1), "double")))
+    values = {f"{p}_ms": (k + 1, 0) for k, (p, _, _) in enumerate(ZGC_PHASES)} | {f"load{k}": (load, k) for k in range(3)} | {f"mmu{k}": (mmu, k) for k in range(len(MMU_MS))} | {f"meta{k}": (meta, k) for k in range(3)}
+    values |= {f"{r}{i}": (row + k, i) for k, r in enumerate(G.ZGC_ROWS) for i in range(4)}
+    g = _assemble(rows, ["label"], values)
+    size = lambda c: F.col(c).cast("bigint")
+    # a line of a table may leave cells open, so that any of its cells shows that it was there
+    struct = lambda stem, names, at: F.when(F.coalesce(*[F.col(f"{stem}{i}") for i in range(4 if stem in G.ZGC_ROWS else 3)]).isNotNull(), F.struct(*[size(f"{stem}{at + k}").alias(n) for k, n in enumerate(names)]))
+    snap = lambda k: F.when(F.col(f"Used{k}").isNotNull() | F.col(f"Free{k}").isNotNull(), F.struct(size(f"Used{k}").alias("used"), size(f"Free{k}").alias("free")))
     three, two = ("mark_end", "reclaim_start", "reclaim_end"), ("reclaim_start", "reclaim_end")
     parts = [F.coalesce(f"{p}_ms", F.lit(0.0)).alias(f"{p}_ms") for p, _, _ in ZGC_PHASES]
-    parts += [F.get("load", F.lit(k)).alias(n) for k, n in enumerate(("load1", "load5", "load15"))] + [F.col("mmu")]
+    parts += [F.col(f"load{k}").alias(n) for k, n in enumerate(("load1", "load5", "load15"))]
+    parts += [F.when(F.col("mmu0").isNotNull(), F.create_map(*[x for k, ms in enumerate(MMU_MS) for x in (F.lit(ms), F.col(f"mmu{k}"))])).alias("mmu")]
     parts += [snap(k).alias(n) for k, n in enumerate(("mark_start", "mark_end", "relocate_start", "relocate_end"))]
-    parts += [part(c, three, 1).alias(c) for c in ("live", "allocated", "garbage")] + [part(c, two, 2).alias(c) for c in ("reclaimed", "memory")] + [F.col("meta").alias("metaspace")]
+    parts += [struct(c, three, 1).alias(c.lower()) for c in ("Live", "Allocated", "Garbage")] + [struct(c, two, 2).alias(c.lower()) for c in ("Reclaimed", "Memory")] + [struct("meta", ("used", "committed", "reserved"), 0).alias("metaspace")]
     g = g.withColumn("zgc", F.struct(*parts)).withColumn("duration_s", sum((F.coalesce(f"{p}_ms", F.lit(0.0)) for p, _, _ in ZGC_PHASES), F.lit(0.0)) / 1000)
-    return _finish(g.select("*", "at.split", "at.pos"))
+    return _finish(g, "zgc")
 
 
 def legacy_classic(lines: DataFrame) -> DataFrame:
@@ -163,7 +199,7 @@ def legacy_classic(lines: DataFrame) -> DataFrame:
     secs = lambda p: G.number(F.regexp_extract(line, p, 1), "double")
     cms = F.when(line.contains("[1 CMS-"), F.struct(secs(G.CMS_CLASS_UNLOADING).alias("class_unload_s"), secs(G.CMS_SYMBOL).alias("symbol_s"), secs(G.CMS_STRING).alias("string_s"), secs(G.CMS_SYMBOL_STRING).alias("symbol_string_s")))
     rows = rows.withColumns({"label": label, "old": old, "metaspace": metaspace, "duration_s": duration, "cms": cms, "refs": _references(line)})
-    return _finish(rows)
+    return _finish(rows, "classic")
 
 
 def legacy_g1(lines: DataFrame) -> DataFrame:
@@ -193,7 +229,7 @@ def legacy_g1(lines: DataFrame) -> DataFrame:
         _last(F.when(F.col("head").isNotNull(), F.col("ts")), "ts"), _last(F.when(F.col("head").isNotNull(), F.col("uptime_s")), "uptime_s"), _last(eden, "eden"), _last(survivor, "survivor"), _last(heap, "pool_heap"), _last(head_heap, "head_heap"), _last(metaspace, "metaspace"), _last(_references(line), "refs"),
     )
     events = events.withColumn("heap", F.coalesce("pool_heap", "head_heap")).where("duration_s IS NOT NULL")
-    return _finish(events.select("*", "at.split", "at.pos"))
+    return _finish(events.select("*", "at.split", "at.pos"), "g1")
 
 
 #: Branch of each dialect, by (unified, family).

@@ -80,7 +80,7 @@ def split_open(lines: DataFrame, diaries: DataFrame) -> tuple[DataFrame, DataFra
     """(lines that can be parsed now, lines to hold): those after the last line that ends an event of their gc_id, or of the last block of a legacy G1 log."""
     rows = lines.join(diaries.select("path", "host", "unified", "family"), ["path", "host"])
     line = F.col("line")
-    ends = F.when(F.col("family") == "zgc", line.rlike(G.ZGC_END)).when(F.col("unified"), line.rlike(G.UNIFIED_PAUSE) | line.rlike(G.UNIFIED_CONCURRENT)).when(F.col("family") == "g1", line.rlike(G.G1_HEAD)).otherwise(True)
+    ends = F.when(F.col("family") == "zgc", line.rlike(f"{G.GC_ID} *{G.ZGC_END}")).when(F.col("unified"), line.rlike(f"{G.GC_ID} *(?:{G.UNIFIED_PAUSE}|{G.UNIFIED_CONCURRENT})")).when(F.col("family") == "g1", line.rlike(G.G1_HEAD)).otherwise(True)
     rows = rows.withColumn("ends", ends).withColumn("gc_id", F.when(F.col("unified") | (F.col("family") == "zgc"), G.number(F.regexp_extract("line", G.GC_ID, 1))))
     last = rows.where("ends").groupBy("path", "host", "gc_id").agg(F.max(F.struct("split", "pos")).alias("last"))
     marked = rows.alias("r").join(last.alias("l"), (F.col("r.path") == F.col("l.path")) & (F.col("r.host") == F.col("l.host")) & F.col("r.gc_id").eqNullSafe(F.col("l.gc_id")), "left")
