@@ -140,9 +140,9 @@ class Words(dict):
 
 
 def bpe_encode(
-    docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", head_words: int = 1 << 17, sample_rows: int = 8192, head_bytes: int = 64,
+    docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", packed_col: str | None = None, head_words: int = 1 << 17, sample_rows: int = 8192, head_bytes: int = 64,
 ) -> DataFrame:
-    """``docs`` with ``ids_col``: the token ids of the whole text as binary, packed little-endian unsigned 32-bit.
+    """``docs`` with ``ids_col``: the token ids of the whole text as array<int>; with ``packed_col`` also as binary, little-endian unsigned 32-bit.
 
     Each match of ``pattern`` is a word, encoded separately; there are no special tokens. The distinct words that make up most of
     the text are encoded once, by the fold of ranked merges in Spark: the ``head_words`` most frequent ones (of at most ``head_bytes`` bytes) of
@@ -151,7 +151,7 @@ def bpe_encode(
     word in Spark costs more than the pass itself (figures in the README). What the sample holds changes the speed, never a result.
     No text is shuffled and rows stay where they are, so a source of any share of the rows does no harm.
 
-    Null and empty texts have no ids (empty binary). Repeated rows and other columns pass through; an ``ids_col`` that exists is replaced.
+    Null and empty texts have no ids (empty array). Repeated rows and other columns pass through; columns that exist under the new names are replaced.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -177,8 +177,9 @@ def bpe_encode(
     folded = words_ids(F.array("word"), rank_literal(ranks))
     head = head.repartition(spark.sparkContext.defaultParallelism * 2).select("word", F.get(folded, F.lit(0)).alias("ids")).toArrow()
     known = spark.sparkContext.broadcast((head["word"].to_pylist(), [np.array(x.split(","), "<u4").tobytes() for x in head["ids"].to_pylist()], ranks))
-    keep = [c for c in docs.columns if c != ids_col]
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(ids_col, T.BinaryType())])
+    keep = [c for c in docs.columns if c not in (ids_col, packed_col)]
+    new = [T.StructField(ids_col, T.ArrayType(T.IntegerType(), False))] + ([T.StructField(packed_col, T.BinaryType())] if packed_col else [])
+    schema = T.StructType([docs.schema[c] for c in keep] + new)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
@@ -190,26 +191,25 @@ def bpe_encode(
             for start in range(0, batch.num_rows, 256):
                 *others, texts = batch.slice(start, 256).columns
                 out = [b"".join(map(look, find(t))) if t else b"" for t in texts.to_pylist()]
-                yield pa.RecordBatch.from_arrays([*others, pa.array(out, pa.binary())], names=[*keep, ids_col])
+                ends = np.cumsum([0, *map(len, out)]) // 4
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(out), "<i4")))
+                yield pa.RecordBatch.from_arrays([*others, ids.cast(pa.list_(pa.field("element", pa.int32(), False))), *([pa.array(out, pa.binary())] if packed_col else [])], names=[*keep, *(f.name for f in new)])
 
     return docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("_text_")).mapInArrow(encode, schema)
 
 
 def bpe_decode(rows: DataFrame, ranks_path: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
-    """``rows`` with ``bytes_col``: the pieces of the ids, joined. Null ids give null; an id without a piece is an error."""
-    shared = rows.sparkSession.sparkContext.broadcast({rank: piece for piece, rank in load_ranks(ranks_path).items()})
-    keep = [c for c in rows.columns if c != bytes_col]
-    schema = T.StructType([rows.schema[c] for c in keep] + [T.StructField(bytes_col, T.BinaryType())])
+    """``rows`` with ``bytes_col``: the pieces of the ids (array<int>), joined. Null ids give null; an id without a piece is an error.
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = shared.value.__getitem__
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                *others, ids = batch.slice(start, 256).columns
-                out = [None if x is None else b"".join(map(piece, np.frombuffer(x, "<u4").tolist())) for x in ids.to_pylist()]
-                yield pa.RecordBatch.from_arrays([*others, pa.array(out, pa.binary())], names=[*keep, bytes_col])
-
-    return rows.select(*[F.col(c) for c in keep], F.col(ids_col).alias("_ids_")).mapInArrow(decode, schema)
+    Pieces are a literal array of strings with one character (of Latin-1) for each byte, as array functions join strings; the joined
+    string becomes bytes again. Everything happens in Spark expressions within the row.
+    """
+    pieces = {rank: piece for piece, rank in load_ranks(ranks_path).items()}
+    # a character beyond Latin-1 parts the pieces and another stands for an id that has none
+    table = F.split(F.lit("\u0100".join(pieces[k].decode("latin-1") if k in pieces else "\u0101" for k in range(max(pieces) + 1))), "\u0100")
+    unknown = F.raise_error(F.lit("an id without a piece"))
+    piece = lambda i: F.coalesce(F.nullif(F.get(table, i), F.lit("\u0101")), unknown.cast("string"))
+    return rows.withColumn(bytes_col, F.encode(F.array_join(F.transform(ids_col, piece), ""), "iso-8859-1"))
 
 
 def _tokenizer() -> tuple[str, str]:
@@ -219,11 +219,13 @@ def _tokenizer() -> tuple[str, str]:
 
 
 def bpe_digests(docs: DataFrame) -> DataFrame:
+    """doc_id, n_tokens and digests of ids and decoded bytes of each row, repeated rows and null ids included; null and empty texts have no tokens. An empty table gives an empty result."""
     path, pattern = _tokenizer()
-    rows = bpe_encode(docs.select("doc_id", "text"), path, pattern).select("doc_id", "ids")
+    rows = bpe_encode(docs.select("doc_id", "text"), path, pattern, packed_col="packed").select("doc_id", "ids", "packed")
     rows = bpe_decode(rows, path)
-    return rows.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return rows.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2("packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``bpe_digests`` of all ``documents``."""
     return bpe_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))

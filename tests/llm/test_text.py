@@ -32,11 +32,14 @@ def test_bpe(spark, docs, docs_pdf, encoding, odd):
     whole = bpe.bpe_decode(bpe.bpe_encode(odd, path, pattern), path)
     assert whole.columns == [*odd.columns, "ids", "decoded"] and whole.count() == len(ODD)
     assert bpe.bpe_digests(odd.where("false")).count() == 0
+    with pytest.raises(Exception, match="without a piece"):
+        bpe.bpe_decode(spark.createDataFrame([([5, 60_000],)], "ids array<int>"), path).collect()
+    assert bpe.bpe_decode(spark.createDataFrame([(None,), ([],)], "ids array<int>"), path).collect()[1].decoded == b""
 
 
 def test_bpe_head_changes_nothing(docs):
     path, pattern = bpe._tokenizer()
-    a, b = ({r.doc_id: bytes(r.ids) for r in bpe.bpe_encode(docs.limit(40), path, pattern, head_words=n).collect()} for n in (1, 100_000))
+    a, b = ({r.doc_id: r.ids for r in bpe.bpe_encode(docs.limit(40), path, pattern, head_words=n).collect()} for n in (1, 100_000))
     assert a == b
 
 
