@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import logging
+import logging.handlers
 import sys
 
 from pyspark.sql import SparkSession
@@ -23,23 +24,27 @@ log = logging.getLogger("heaplens")
 def start(spark: SparkSession, config: LogConfig, state: str, checkpoint: str, **trigger) -> tuple[StreamingQuery, Scrape]:
     """Register the tail source and start the job; the caller serves the scrape."""
     spark.dataSource.register(TailSource)
-    lines_per_trigger = min(config.lines_per_second * max(1, config.read_interval // 1000), 2**31 - 1)
-    reader = spark.readStream.format("gclog_tail").option("globs", ",".join(config.globs)).option("regexes", ",".join(config.regexes)).option("host", config.host)
-    reader = reader.option("maxLinesPerTrigger", lines_per_trigger).option("idleTimeout", config.idle_timeout).option("scanFilesPerSecond", config.scan_files_per_second)
+    lines = config.lines_per_second * max(1, config.read_interval // 1000)
+    options = {
+        "globs": ",".join(config.globs), "regexes": ",".join(config.regexes), "host": config.host, "maxLinesPerTrigger": 0 if lines >= 2**31 - 1 else lines, "idleTimeout": config.idle_timeout,
+        "watchInterval": config.watch_interval, "scanFilesPerSecond": config.scan_files_per_second, "batchLines": config.batch_size, "bufferBytes": config.buffer_size,
+    }
+    reader = spark.readStream.format("gclog_tail").options(**options)
     scrape = Scrape()
-    job = MetricJob(spark, state, config.idle_timeout, config.strict_zgc, scrape.publish)
+    job = MetricJob(spark, state, config.idle_timeout, config.strict_zgc, scrape.publish, config.host, config.prefix, config.header_lines, config.max_header_line)
     query = job.start(reader.load(), checkpoint, **trigger or {"processingTime": f"{config.read_interval} milliseconds"})
     log.info("following %s", [*config.globs, *config.regexes])
     return query, scrape
 
 
 def main(argv: list[str]) -> None:
-    logging.basicConfig(level=logging.INFO)
+    day = logging.handlers.TimedRotatingFileHandler("heaplens.log", when="midnight", backupCount=7)
+    logging.basicConfig(level=logging.INFO, format="%(asctime)s %(levelname)s %(name)s %(message)s", handlers=[logging.StreamHandler(), day])
     settings, state, checkpoint = argv
     with open(settings, encoding="utf-8") as f:
         config = LogConfig.from_mapping(json.load(f))
     query, scrape = start(SparkSession.builder.appName("heaplens").getOrCreate(), config, state, checkpoint)
-    scrape.serve(port=config.port)
+    scrape.serve(config.listen_host, config.port)
     query.awaitTermination()
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import socket
 from dataclasses import dataclass, field
 
 
@@ -19,13 +20,25 @@ def split_patterns(text: str) -> list[str]:
     return [p for p in [*out, part.strip()] if p]
 
 
+def host_name() -> str:
+    """This machine's name; "localhost" where it can't be told."""
+    try:
+        return socket.gethostname() or "localhost"
+    except OSError:
+        return "localhost"
+
+
 @dataclass(frozen=True)
 class LogConfig:
-    """globs and regexes may be lists or comma-separated text. Times are in milliseconds."""
+    """globs and regexes may be lists or comma-separated text. Times are in milliseconds.
+
+    host labels the series (default: the machine's name); listen is where the page is served, as "host:port" or "port", and takes the place of ``port``.
+    """
 
     globs: list[str] | str = field(default_factory=list)
     regexes: list[str] | str = field(default_factory=list)
-    host: str = "localhost"
+    host: str = ""
+    listen: str = ""
     port: int = 5898
     prefix: str = "gc_"
     idle_timeout: int = 3_600_000
@@ -43,6 +56,10 @@ class LogConfig:
         for name in ("globs", "regexes"):
             if isinstance(value := getattr(self, name), str):
                 object.__setattr__(self, name, split_patterns(value))
+        if not self.host:
+            object.__setattr__(self, "host", host_name())
+        if self.listen:
+            object.__setattr__(self, "port", int(self.listen.rpartition(":")[2]))
         if not (self.globs or self.regexes):
             raise ValueError("at least one pattern is needed")
         if not 1000 <= self.port <= 65535:
@@ -55,6 +72,11 @@ class LogConfig:
         for pattern in self.regexes:
             re.compile(pattern)
 
+    @property
+    def listen_host(self) -> str:
+        """The address to serve at; empty for all."""
+        return self.listen.rpartition(":")[0]
+
     @classmethod
     def from_mapping(cls, values: dict) -> LogConfig:
         """Unknown keys are ignored, as are nulls."""

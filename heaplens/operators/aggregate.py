@@ -57,10 +57,9 @@ def samples(state: DataFrame, lines: DataFrame | None = None, quantiles: DataFra
     kind = F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])
     labels = F.map_filter(F.create_map(F.lit("path"), F.col("path"), F.lit("host"), F.col("host"), F.lit("category"), F.col("category")), lambda k, v: v.isNotNull())
     base = state.withColumn("type", kind[F.col("name")]).withColumn("labels", labels)
-    gauges = base.where("type = 'gauge'").select("name", "type", F.col("name").alias("sample"), "labels", F.col("last").alias("value"))
-    parts = F.array(F.struct(F.concat("name", F.lit("_count")).alias("sample"), F.col("n").cast("double").alias("value")), F.struct(F.concat("name", F.lit("_sum")).alias("sample"), F.col("total").alias("value")))
-    summaries = base.where("type = 'summary'").select("name", "type", "labels", F.explode(parts).alias("p")).select("name", "type", "p.sample", "labels", "p.value")
-    out = gauges.unionByName(summaries)
+    entry = lambda suffix, value: F.struct(F.concat("name", F.lit(suffix)).alias("sample"), value.cast("double").alias("value"))
+    parts = F.when(F.col("type") == "gauge", F.array(entry("", F.col("last")))).otherwise(F.array(entry("_count", F.col("n")), entry("_sum", F.col("total"))))
+    out = base.select("name", "type", "labels", F.explode(parts).alias("p")).select("name", "type", "p.sample", "labels", "p.value")
     if quantiles is not None:
         q = quantiles.withColumn("labels", F.create_map(F.lit("path"), F.col("path"), F.lit("host"), F.col("host"), F.lit("quantile"), F.col("quantile").cast("string")))
         out = out.unionByName(q.select("name", F.lit("summary").alias("type"), F.col("name").alias("sample"), "labels", "value"))
@@ -80,9 +79,15 @@ def window_quantiles(observations: DataFrame, width: str = "60 seconds", step: s
 
 
 def trailing_quantiles(observations: DataFrame, seconds: int = 60, quantiles: Sequence[float] = QUANTILES) -> DataFrame:
-    """Each observation with the exact quantiles of its series over the ``seconds`` up to it."""
-    over = W.partitionBy("name", "path", "host").orderBy(F.col("ts").cast("double")).rangeBetween(-seconds, 0)
-    rows = observations.withColumn("recent", F.sort_array(F.collect_list("value").over(over)))
+    """Each observation with the exact quantiles of its series over the ``seconds`` up to it.
+
+    Time is cut into slices of ``seconds``; a slice and the one before it hold all that the slice's observations look back on, so every task has the
+    observations of two slices of a series at most, however long the series is.
+    """
+    own = F.floor(F.col("ts").cast("double") / seconds)
+    rows = observations.select("name", "path", "host", "split", "pos", "ts", "value", F.explode(F.array(own, own + 1)).alias("slice")).withColumn("own", F.col("slice") == own)
+    over = W.partitionBy("name", "path", "host", "slice").orderBy(F.col("ts").cast("double")).rangeBetween(-seconds, 0)
+    rows = rows.withColumn("recent", F.sort_array(F.collect_list("value").over(over))).where("own")
     at = lambda q: F.get("recent", F.greatest(F.ceil(F.size("recent") * F.lit(q)) - 1, F.lit(0)).cast("int"))
     return rows.select("name", "path", "host", "split", "pos", "ts", F.size("recent").cast("bigint").alias("n"), *[at(q).alias(f"q{round(q * 100)}") for q in quantiles])
 
@@ -95,6 +100,6 @@ def latest_quantiles(observations: DataFrame, now: Column, seconds: int = 60, qu
 
 
 def expire(state: DataFrame, seen: DataFrame, now: Column, idle_ms: int = 3_600_000) -> DataFrame:
-    """State without the series of files idle for longer than ``idle_ms``; seen: path, last_seen."""
+    """State (or any table with a path) without the rows of files idle for longer than ``idle_ms``; seen: path, last_seen."""
     alive = seen.groupBy("path").agg(F.max("last_seen").alias("last_seen")).where(F.col("last_seen") >= now - F.make_dt_interval(secs=F.lit(idle_ms / 1000)))
     return state.join(alive.select("path"), "path", "left_semi")

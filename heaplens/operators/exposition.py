@@ -24,11 +24,12 @@ def render(samples: DataFrame, names: list[str] | None = None) -> DataFrame:
     if names:
         rows = rows.where(F.col("name").isin(names))
     entries = F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat(e["key"], F.lit('="'), _escaped(e["value"]), F.lit('"')))
-    rows = rows.select("family", "type", "name", F.concat("name", F.lit("{"), F.array_join(entries, ","), F.lit("} "), F.col("value").cast("string")).alias("text"))
-    head = rows.groupBy("family").agg(F.first("type").alias("type"))
-    heads = head.select("family", F.lit("").alias("name"), F.posexplode(F.array(F.concat(F.lit("# HELP "), "family", F.lit(" "), F.replace("family", F.lit("_"), F.lit(" "))), F.concat(F.lit("# TYPE "), "family", F.lit(" "), "type"))).alias("k", "text"))
-    body = rows.select("family", "name", F.lit(2).alias("k"), "text")
-    return heads.unionByName(body).orderBy("family", "k", "name", "text").select("family", F.col("text").alias("line"))
+    sample = F.concat("name", F.lit("{"), F.array_join(entries, ","), F.lit("} "), F.col("value").cast("string"))
+    head = lambda word, text: F.concat(F.lit(f"# {word} "), "family", F.lit(" "), text)
+    # every sample brings its family's head along, of which one stays; so the samples are read once
+    lines = [(0, F.lit(""), head("HELP", F.replace("family", F.lit("_"), F.lit(" ")))), (1, F.lit(""), head("TYPE", F.col("type"))), (2, F.col("name"), sample)]
+    rows = rows.select("family", F.inline(F.array(*[F.struct(F.lit(k).alias("k"), name.alias("name"), text.alias("line")) for k, name, text in lines]))).distinct()
+    return rows.orderBy("family", "k", "name", "line").select("family", "line")
 
 
 def page(samples: DataFrame, names: list[str] | None = None) -> str:

@@ -310,12 +310,6 @@ def last_minute_quantiles_range(spark, sf_dir):
 # Beyond the surveyed operators: windows that Spark has at hand.
 
 
-@query("""SELECT user_id, epoch(time_bucket(INTERVAL 1 HOUR, ts))::BIGINT AS hour, count(*) AS n, round(CAST(sum(CAST(value / 1000 AS DECIMAL(38, 12))) AS DOUBLE), 6) AS total FROM events GROUP BY ALL""")
-def events_stream_tumbling(spark, sf_dir):
-    obs = observe(_events(spark, sf_dir), names={"event_last_minute_duration_seconds"})
-    return obs.groupBy(_user(), F.window("ts", "1 hour")["start"].cast("bigint").alias("hour")).agg(F.count("*").alias("n"), F.round(A._exact_sum(F.col("value")), 6).alias("total"))
-
-
 @query("""WITH g AS (SELECT user_id, date_trunc('millisecond', ts) AS ts, CASE WHEN epoch_ms(ts) - lag(epoch_ms(ts)) OVER w < 1800000 THEN 0 ELSE 1 END AS head FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT user_id, ts, sum(head) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
 SELECT user_id, floor(epoch(min(ts)))::BIGINT AS began, count(*) AS n FROM s GROUP BY user_id, k""")

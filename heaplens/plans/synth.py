@@ -62,10 +62,10 @@ def legacy_parallel(events: DataFrame) -> DataFrame:
     i = F.col("event_id")
     full = F.col("event_type").isin("purchase", "error")
     old = F.when(full, _fmt("[ParOldGen: %dK->%dK(%dK)] ", 5000 + i % 700, 4000 + i % 600, F.lit(90000))).otherwise("")
-    meta = F.when(full, _fmt(", [Metaspace: %dK->%dK(1056768K)]", 3000 + i % 50, 3000 + i % 50)).otherwise("")
+    meta = F.when(full, _fmt(", [Metaspace: %dK->%dK(1064960K)]", 3000 + i % 50, 3000 + i % 50)).otherwise("")
     line = F.concat(
-        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSZ"), _fmt(": %d.%03d: [", i, i % 1000), _label(PARALLEL_LABELS), _fmt("[PSYoungGen: %dK->%dK(%dK)] ", 2000 + i % 900, i % 800, F.lit(38400)), old,
-        _fmt("%dK->%dK(%dK)", 9000 + i % 1000, 6000 + i % 500, F.lit(125952)), meta, _fmt(", %.7f secs] [Times: user=0.01 sys=0.00, real=0.01 secs]", F.col("value") / 1000),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSZ"), _fmt(": %d.%03d: [", i, i % 1000), _label(PARALLEL_LABELS), _fmt("[PSYoungGen: %dK->%dK(%dK)] ", 2000 + i % 900, i % 800, F.lit(40960)), old,
+        _fmt("%dK->%dK(%dK)", 9000 + i % 1000, 6000 + i % 500, F.lit(131072)), meta, _fmt(", %.7f secs] [Times: user=0.01 sys=0.00, real=0.01 secs]", F.col("value") / 1000),
     )
     return _lines(events, ["CommandLine flags: -XX:+PrintGC -XX:+UseParallelGC"], F.array(line), "par")
 
@@ -75,11 +75,11 @@ def legacy_cms(events: DataFrame) -> DataFrame:
     kind = F.col("event_type")
     cpu = _fmt("%d.%03d: ", i, i % 1000)
     line = (
-        F.when(kind == "click", _fmt("[GC (Allocation Failure) [ParNew: %dK->%dK(78656K), %.7f secs] %dK->%dK(253440K), %.7f secs] [Times: user=0.03 sys=0.01, real=0.01 secs]", 70000 + i % 900, i % 800, secs, 90000 + i % 1000, 60000 + i % 500, secs))
-        .when(kind == "view", _fmt("[GC (CMS Initial Mark) [1 CMS-initial-mark: %dK(174784K)] %dK(253440K), %.7f secs] [Times: user=0.00 sys=0.00, real=0.00 secs]", 1000 + i % 500, 3000 + i % 700, secs))
-        .when(kind == "purchase", _fmt("[GC (CMS Final Remark) [YG occupancy: 1 K (2 K)][class unloading, %.7f secs][scrub symbol table, %.7f secs][scrub string table, 0.0000000 secs][1 CMS-remark: %dK(174784K)] %dK(253440K), %.7f secs] [Times: user=0.01 sys=0.00, real=0.00 secs]", (i % 9) / 1000, (i % 5) / 1000, 1000 + i % 500, 3000 + i % 700, secs))
+        F.when(kind == "click", _fmt("[GC (Allocation Failure) [ParNew: %dK->%dK(81920K), %.7f secs] %dK->%dK(262144K), %.7f secs] [Times: user=0.03 sys=0.01, real=0.01 secs]", 70000 + i % 900, i % 800, secs, 90000 + i % 1000, 60000 + i % 500, secs))
+        .when(kind == "view", _fmt("[GC (CMS Initial Mark) [1 CMS-initial-mark: %dK(180224K)] %dK(262144K), %.7f secs] [Times: user=0.00 sys=0.00, real=0.00 secs]", 1000 + i % 500, 3000 + i % 700, secs))
+        .when(kind == "purchase", _fmt("[GC (CMS Final Remark) [YG occupancy: 1 K (2 K)][class unloading, %.7f secs][scrub symbol table, %.7f secs][scrub string table, 0.0000000 secs][1 CMS-remark: %dK(180224K)] %dK(262144K), %.7f secs] [Times: user=0.01 sys=0.00, real=0.00 secs]", (i % 9) / 1000, (i % 5) / 1000, 1000 + i % 500, 3000 + i % 700, secs))
         .when(kind == "signup", _fmt("[CMS-concurrent-sweep: %.3f/%.7f secs]", secs, secs))
-        .otherwise(_fmt("[Full GC (Allocation Failure) %d.1: [CMS (concurrent mode failure): %dK->%dK(174784K), %.7f secs] %dK->%dK(253440K), [Metaspace: 3000K->3000K(1056768K)], %.7f secs] [Times: user=0.01 sys=0.00, real=0.01 secs]", i, 1000 + i % 500, i % 400, secs, 9000 + i % 1000, 6000 + i % 500, secs))
+        .otherwise(_fmt("[Full GC (Allocation Failure) %d.1: [CMS (concurrent mode failure): %dK->%dK(180224K), %.7f secs] %dK->%dK(262144K), [Metaspace: 3000K->3000K(1064960K)], %.7f secs] [Times: user=0.01 sys=0.00, real=0.01 secs]", i, 1000 + i % 500, i % 400, secs, 9000 + i % 1000, 6000 + i % 500, secs))
     )
     return _lines(events, ["CommandLine flags: -XX:+UseConcMarkSweepGC -XX:+UseParNewGC"], F.array(F.concat(cpu, line)), "cms")
 

@@ -13,7 +13,7 @@ import glob
 import json
 import os
 import time
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
@@ -24,56 +24,101 @@ GENERATION = 1 << 48
 
 
 class FilePart(InputPartition):
-    def __init__(self, path: str, start: int, end: int, generation: int) -> None:
+    """The lines that begin in [start, end) of a file whose bytes [first, stop) are to be read."""
+
+    def __init__(self, path: str, inode: int, first: int, start: int, end: int, stop: int, generation: int) -> None:
         super().__init__(path)
-        self.path, self.start, self.end, self.generation = path, start, end, generation
+        self.path, self.inode, self.first, self.start, self.end, self.stop, self.generation = path, inode, first, start, end, stop, generation
+
+
+def last_line_end(path: str, start: int, end: int, size: int, block: int = 1 << 16) -> int:
+    """The position after the last line end in [start, end), looked for from the end backwards; without one, after the first line end from ``end`` to ``size``; else ``start``."""
+    with open(path, "rb") as f:
+        high = end
+        while high > start:
+            low = max(start, high - block)
+            f.seek(low)
+            k = f.read(high - low).rfind(b"\n")
+            if k >= 0:
+                return low + k + 1
+            high = low
+        f.seek(end)
+        at = end
+        while at < size and (data := f.read(min(block, size - at))):
+            if (k := data.find(b"\n")) >= 0:
+                return at + k + 1
+            at += len(data)
+    return start
 
 
-def last_line_end(path: str, start: int, end: int, most_lines: int, block: int = 1 << 16) -> int:
-    """The position after the last line end in [start, end), or after ``most_lines`` lines if that comes first; ``start`` if there is none."""
-    found, lines = start, 0
+def after_lines(path: str, start: int, end: int, most_lines: int, block: int = 1 << 16) -> int:
+    """The position after ``most_lines`` lines from ``start``, or ``end`` if there are fewer up to there."""
+    lines = 0
     with open(path, "rb") as f:
         f.seek(start)
         at = start
-        while at < end and lines < most_lines:
-            data = f.read(min(block, end - at))
-            if not data:
-                break
+        while at < end and (data := f.read(min(block, end - at))):
             k = -1
-            while lines < most_lines and (k := data.find(b"\n", k + 1)) >= 0:
-                found, lines = at + k + 1, lines + 1
+            while (k := data.find(b"\n", k + 1)) >= 0:
+                lines += 1
+                if lines == most_lines:
+                    return at + k + 1
             at += len(data)
-    return found
+    return end
+
+
+def find_inode(path: str, inode: int) -> str | None:
+    """Where the file with this inode is now: at ``path``, or under another name beside it (rotated)."""
+    try:
+        if os.stat(path).st_ino == inode:
+            return path
+    except OSError:
+        pass
+    try:
+        return next((x.path for x in os.scandir(os.path.dirname(path)) if x.inode() == inode), None)
+    except OSError:
+        return None
 
 
 class TailReader(DataSourceStreamReader):
     def __init__(self, options: dict) -> None:
-        split = lambda name: [p for p in options.get(name, "").split(",") if p]
+        option = lambda name, default: options.get(name.lower(), options.get(name, default))
         from ..config import split_patterns
 
-        self.globs, self.regexes = split_patterns(options.get("globs", "")), split("regexes")
-        self.host = options.get("host", "localhost")
-        self.latest = options.get("startingoffsets", options.get("startingOffsets", "latest")) == "latest"
-        self.most_lines = int(options.get("maxlinespertrigger", options.get("maxLinesPerTrigger", 1_000_000)))
-        self.idle = int(options.get("idletimeout", options.get("idleTimeout", 3_600_000))) / 1000
-        self.part_bytes = int(options.get("partitionbytes", options.get("partitionBytes", 64 << 20)))
-        self.files_per_second = float(options.get("scanfilespersecond", options.get("scanFilesPerSecond", 0)))
+        self.globs, self.regexes = split_patterns(option("globs", "")), [p for p in option("regexes", "").split(",") if p]
+        self.host = option("host", "localhost")
+        self.latest = option("startingOffsets", "latest") == "latest"
+        self.most_lines, self.most_bytes = int(option("maxLinesPerTrigger", 0)), int(option("maxBytesPerTrigger", 1 << 30))
+        self.idle = int(option("idleTimeout", 3_600_000)) / 1000
+        self.part_bytes, self.batch_lines, self.buffer_bytes = int(option("partitionBytes", 64 << 20)), int(option("batchLines", 16_384)), int(option("bufferBytes", 1 << 20))
+        self.files_per_second, self.watch = float(option("scanFilesPerSecond", 0)), int(option("watchInterval", 0)) / 1000
         self.quarantine: dict[str, float] = {}
         self.offset: dict[str, list[int]] = {}
+        self.listed: list[str] = []
+        self.listed_at = 0.0
 
     def files(self) -> list[str]:
-        """Regular files that match, each once: by glob, or by a regular expression over the names in one directory."""
+        """Regular files that match, each once: by glob, or by a regular expression over the names in one directory. Listed anew after ``watchInterval``, each file at the scan rate."""
         import re
 
-        found = {os.path.abspath(p) for g in self.globs for p in glob.iglob(os.path.abspath(g), recursive=True)}
-        for pattern in self.regexes:
-            folder, name = os.path.split(os.path.abspath(pattern))
-            if os.path.isdir(folder):
-                found |= {os.path.join(folder, x) for x in os.listdir(folder) if re.fullmatch(name, x)}
-        if self.files_per_second > 0:
-            time.sleep(len(found) / self.files_per_second)
         now = time.time()
-        return sorted(p for p in found if os.path.isfile(p) and now - self.quarantine.get(p, 0) > 3600)
+        if now - self.listed_at >= self.watch or not self.listed:
+            found = {os.path.abspath(p) for g in self.globs for p in self.visited(glob.iglob(os.path.abspath(g), recursive=True))}
+            for pattern in self.regexes:
+                folder, name = os.path.split(os.path.abspath(pattern))
+                if os.path.isdir(folder):
+                    found |= {os.path.join(folder, x) for x in self.visited(os.listdir(folder)) if re.fullmatch(name, x)}
+            self.listed, self.listed_at = sorted(p for p in found if os.path.isfile(p)), now
+        return [p for p in self.listed if now - self.quarantine.get(p, 0) > 3600]
+
+    def visited(self, names: Iterable[str]) -> Iterator[str]:
+        for name in names:
+            if self.files_per_second > 0:
+                time.sleep(1 / self.files_per_second)
+            yield name
+
+    def encoded(self, offset: dict[str, list[int]]) -> dict:
+        return {"files": json.dumps(offset, sort_keys=True), "quarantine": json.dumps(self.quarantine, sort_keys=True)}
 
     def initialOffset(self) -> dict:
         start = {}
@@ -83,10 +128,11 @@ class TailReader(DataSourceStreamReader):
             except OSError:
                 continue
             start[p] = [s.st_ino, s.st_size if self.latest else 0, 0]
-        return {"files": json.dumps(start, sort_keys=True)}
+        return self.encoded(start)
 
     def advance(self, before: dict[str, list[int]]) -> dict[str, list[int]]:
-        """Where each file may be read up to. New files start at 0, rotated or truncated ones at 0 of a new generation; idle ones leave, and come back where they were only if they grow."""
+        """Where each file may be read up to, from sizes and the last block of what is new (with ``maxLinesPerTrigger``, from that many lines). New files start at 0, rotated or
+        truncated ones at 0 of a new generation; idle ones leave, and come back where they were only if they grow."""
         now, after = time.time(), {}
         for p in self.files():
             try:
@@ -96,56 +142,68 @@ class TailReader(DataSourceStreamReader):
                     continue
                 if inode != s.st_ino or s.st_size < at:
                     inode, at, generation = s.st_ino, 0, generation + 1
-                after[p] = [inode, last_line_end(p, at, s.st_size, self.most_lines), generation]
+                stop = last_line_end(p, at, min(s.st_size, at + self.most_bytes), s.st_size) if s.st_size > at else at
+                after[p] = [inode, after_lines(p, at, stop, self.most_lines) if self.most_lines else stop, generation]
             except OSError:
                 self.quarantine[p] = now
                 if p in before:
                     after[p] = before[p]
+        self.quarantine = {p: t for p, t in self.quarantine.items() if now - t <= 3600}
         return after
 
     def latestOffset(self) -> dict:
         self.offset = self.advance(self.offset or json.loads(self.initialOffset()["files"]))
-        return {"files": json.dumps(self.offset, sort_keys=True)}
+        return self.encoded(self.offset)
 
     def partitions(self, start: dict, end: dict) -> list[FilePart]:
+        """Parts by bytes; whose lines are whose is for the tasks to see."""
         before, after, out = json.loads(start["files"]), json.loads(end["files"]), []
+        self.quarantine = json.loads(end.get("quarantine", "{}")) | self.quarantine
         self.offset = self.offset or after
         for p, (inode, stop, generation) in after.items():
             old = before.get(p)
-            at = old[1] if old and old[0] == inode and old[2] == generation else 0
-            while at < stop:
-                cut = stop if stop - at <= self.part_bytes else max(last_line_end(p, at, at + self.part_bytes, 1 << 62), at + 1)
-                out.append(FilePart(p, at, min(cut, stop), generation))
-                at = min(cut, stop)
+            first = old[1] if old and old[0] == inode and old[2] == generation else 0
+            out += [FilePart(p, inode, first, at, min(at + self.part_bytes, stop), stop, generation) for at in range(first, stop, self.part_bytes)]
         return out
 
     def read(self, part: FilePart) -> Iterator[pa.RecordBatch]:
+        """The part's lines in batches; a file that was rotated meanwhile is read under its new name, one that is gone has no lines."""
+        path = find_inode(part.path, part.inode)
+        if path is None:
+            return
         try:
-            with open(part.path, "rb") as f:
-                f.seek(part.start)
-                data = f.read(part.end - part.start)
+            f = open(path, "rb")  # noqa: SIM115
         except OSError:
             return
-        lines = data.split(b"\n")[:-1]
-        at = part.start
-        pos = []
-        for line in lines:
-            pos.append(at)
-            at += len(line) + 1
-        n = len(lines)
-        texts = [x.removesuffix(b"\r").decode("utf-8", "replace") for x in lines]
-        split = part.generation * GENERATION
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([part.path] * n, pa.string()), pa.array([self.host] * n, pa.string()), pa.array([split] * n, pa.int64()), pa.array(pos, pa.int64()), pa.array(texts, pa.string())],
-            names=["path", "host", "split", "pos", "line"],
-        )
+        with f:
+            at = part.start
+            if at > part.first:  # a line that began in the part before belongs to it
+                f.seek(at - 1)
+                at += len(f.readline()) - 1
+            f.seek(at)
+            pos, texts, size = [], [], 0
+            while at < part.end and (line := f.readline(part.stop - at)).endswith(b"\n"):
+                pos.append(at)
+                texts.append(line[:-1].removesuffix(b"\r").decode("utf-8", "replace"))
+                at, size = at + len(line), size + len(line)
+                if len(pos) >= self.batch_lines or size >= self.buffer_bytes:
+                    yield self.rows(part, pos, texts)
+                    pos, texts, size = [], [], 0
+            if pos:
+                yield self.rows(part, pos, texts)
+
+    def rows(self, part: FilePart, pos: list[int], texts: list[str]) -> pa.RecordBatch:
+        n, split = len(pos), part.generation * GENERATION
+        columns = [pa.array([part.path] * n, pa.string()), pa.array([self.host] * n, pa.string()), pa.array([split] * n, pa.int64()), pa.array(pos, pa.int64()), pa.array(texts, pa.string())]
+        return pa.RecordBatch.from_arrays(columns, names=["path", "host", "split", "pos", "line"])
 
     def commit(self, end: dict) -> None:
         pass
 
 
 class TailSource(DataSource):
-    """Options: globs, regexes (comma-separated), host, startingOffsets (latest or earliest), maxLinesPerTrigger (per file), idleTimeout (ms), partitionBytes, scanFilesPerSecond (0: no limit)."""
+    """Options: globs, regexes (comma-separated), host, startingOffsets (latest or earliest), maxBytesPerTrigger and maxLinesPerTrigger (per file; lines 0: no limit), idleTimeout and watchInterval (ms),
+    partitionBytes, batchLines and bufferBytes (of what a task holds), scanFilesPerSecond (0: no limit)."""
 
     @classmethod
     def name(cls) -> str:

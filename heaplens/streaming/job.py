@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,17 +15,28 @@ from ..operators import aggregate as A
 from ..operators.dialect import diary
 from ..operators.events import dialects, parse_events
 from ..operators.observations import observe
+from ..plans.catalog import families
+
+VERSION = "1"
 
 
 class MetricJob:
-    """Keeps diary, metric state, line counts and unfinished lines as tables in ``folder``, which driver and executors share.
+    """Keeps diary, metric state, line counts, the last minute's durations and unfinished lines as tables in ``folder``, which driver and executors share.
 
     Each batch writes the tables of its epoch and reads those of the epoch before, so a batch that is run again after a failure gives the
-    same result. Lines of an event whose last line hasn't come yet are held for the next batch.
+    same result; older epochs are deleted. Lines of an event whose last line hasn't come yet are held for the next batch.
+
+    All series of a file that is idle for longer than ``idle_ms`` go: state, line count, info gauge, held lines. What is known of its dialect stays
+    for ``memory`` times as long, for the case that the file grows again.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, idle_ms: int = 3_600_000, strict_zgc: bool = False, publish: Callable[[int, DataFrame], None] | None = None) -> None:
+    def __init__(
+        self, spark: SparkSession, folder: str, idle_ms: int = 3_600_000, strict_zgc: bool = False, publish: Callable[[int, DataFrame], None] | None = None, host: str = "localhost", prefix: str = "gc_",
+        header_lines: int = 512, max_header_line: int = 1024, quantile_seconds: int = 60, memory: int = 24, clock: Callable[[], float] = time.time,
+    ) -> None:
         self.spark, self.folder, self.idle_ms, self.strict_zgc, self.publish = spark, folder.rstrip("/"), idle_ms, strict_zgc, publish
+        self.host, self.prefix, self.header_lines, self.max_header_line, self.quantile_seconds, self.memory, self.clock = host, prefix, header_lines, max_header_line, quantile_seconds, memory, clock
+        self.started, self.last_epoch = clock(), -1
 
     def _table(self, name: str, epoch: int) -> DataFrame | None:
         try:
@@ -38,38 +51,64 @@ class MetricJob:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _forget(self, epoch: int) -> None:
+        """Delete the tables of an epoch through Spark's own file system."""
+        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = fs_path(self.folder).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for name in ("lines", "seen", "diary", "held", "counts", "recent", "state"):
+            fs.delete(fs_path(f"{self.folder}/{name}/epoch={epoch}"), True)
+
+    def state(self) -> DataFrame | None:
+        """The metric state after the last batch of this job object."""
+        return self._table("state", self.last_epoch)
+
     def batch(self, lines: DataFrame, epoch: int) -> None:
         before = lambda name: self._table(name, epoch - 1) if epoch else None
+        now = F.lit(datetime.datetime.fromtimestamp(self.clock(), datetime.timezone.utc))
         lines = self._write(lines, "lines", epoch)
-        now = F.current_timestamp()
         seen = lines.select("path").distinct().withColumn("last_seen", now)
         if (old := before("seen")) is not None:
             seen = old.unionByName(seen).groupBy("path").agg(F.max("last_seen").alias("last_seen"))
-        seen = self._write(seen, "seen", epoch)
+        seen = self._write(seen.where(F.col("last_seen") >= now - F.make_dt_interval(secs=F.lit(self.memory * self.idle_ms / 1000))), "seen", epoch)
+        alive = lambda df: A.expire(df, seen, now, self.idle_ms)
         # a file's dialect is told once, by the first batch that has a signal of it
-        known = diary(lines.withColumn("split", F.lit(0).cast("bigint")))
+        known = diary(lines.withColumn("split", F.lit(0).cast("bigint")), self.header_lines, self.max_header_line)
         if (old := before("diary")) is not None:
-            known = old.unionByName(known.join(old.select("path", "host"), ["path", "host"], "left_anti"))
+            known = old.join(seen.select("path"), "path", "left_semi").unionByName(known.join(old.select("path", "host"), ["path", "host"], "left_anti"))
         known = self._write(known, "diary", epoch)
         work = lines if (old := before("held")) is None else old.unionByName(lines)
         ready, held = split_open(work, known)
-        self._write(held, "held", epoch)
+        self._write(alive(held), "held", epoch)
         kinds = dialects(known)
         counts = lines.groupBy("path", "host").agg(F.count("*").alias("n"))
         if (old := before("counts")) is not None:
             counts = old.unionByName(counts).groupBy("path", "host").agg(F.sum("n").alias("n"))
-        counts = self._write(counts, "counts", epoch)
-        state = before("state")
+        counts = self._write(alive(counts), "counts", epoch)
+        state, recent = before("state"), before("recent")
         if kinds:
-            fresh = A.metric_state(observe(parse_events(ready, known, kinds), self.strict_zgc))
+            observed = observe(parse_events(ready, known, kinds), self.strict_zgc)
+            fresh = A.metric_state(observed)
             state = fresh if state is None else A.merge_state(state, fresh)
-        if state is None:
-            return
-        state = self._write(A.expire(state, seen, now, self.idle_ms), "state", epoch)
+            # quantiles are over what came in the last minute, by the clock
+            last_minute = [f.name for f in families() if f.quantiles]
+            came = observed.where(F.col("name").isin(last_minute)).select("name", "path", "host", "value", now.alias("ts"))
+            recent = came if recent is None else recent.unionByName(came)
+        if state is not None:
+            state = self._write(alive(state), "state", epoch)
+            recent = self._write(alive(recent).where(F.col("ts") > now - F.make_dt_interval(secs=F.lit(self.quantile_seconds))), "recent", epoch)
+        self.last_epoch = epoch
+        self._forget(epoch - 2)
         if self.publish:
-            samples = A.samples(state, info=A.info_gauges(known, 0.0, "1", "localhost").where("name = 'collect_files'"))
-            counted = counts.select(F.lit("gc_log_lines_total").alias("family"), F.lit("counter").alias("type"), F.lit("gc_log_lines_total").alias("name"), F.create_map(F.lit("path"), "path", F.lit("host"), "host").alias("labels"), F.col("n").cast("double").alias("value"))
-            self.publish(epoch, samples.unionByName(counted))
+            self.publish(epoch, self._samples(state, recent, counts, alive(known), now))
+
+    def _samples(self, state, recent, counts, known, now) -> DataFrame:
+        if state is None:
+            state = self.spark.createDataFrame([], "name string, path string, host string, category string, n bigint, total double, last double, split bigint, pos bigint")
+        quantiles = None if recent is None else A.latest_quantiles(recent, now, self.quantile_seconds)
+        samples = A.samples(state, quantiles=quantiles, info=A.info_gauges(known, self.started, VERSION, self.host), prefix=self.prefix)
+        name = F.lit(f"{self.prefix}log_lines_total")
+        counted = counts.select(name.alias("family"), F.lit("counter").alias("type"), name.alias("name"), F.create_map(F.lit("path"), "path", F.lit("host"), "host").alias("labels"), F.col("n").cast("double").alias("value"))
+        return samples.unionByName(counted)
 
     def start(self, lines: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         """Run over a stream of lines; trigger as in ``DataStreamWriter.trigger``."""

@@ -2,7 +2,7 @@ import pathlib
 import urllib.request
 
 from heaplens.app import start
-from heaplens.config import LogConfig
+from heaplens.config import LogConfig, host_name
 
 FIXTURES = pathlib.Path(__file__).parent / "fixtures"
 
@@ -10,7 +10,8 @@ FIXTURES = pathlib.Path(__file__).parent / "fixtures"
 def test_app(spark, tmp_path):
     log = tmp_path / "gc.log"
     log.write_text("")
-    config = LogConfig(globs=[str(log)], port=5999)
+    config = LogConfig(globs=[str(log)], listen="127.0.0.1:5999", host="localhost")
+    assert (config.listen_host, config.port) == ("127.0.0.1", 5999) and LogConfig(globs="x").host == host_name()
     for k in range(2):  # from the end at first; what comes between runs is read by the next
         query, scrape = start(spark, config, f"file://{tmp_path}/state", f"file://{tmp_path}/checkpoint", availableNow=True)
         assert query.awaitTermination(120)
@@ -23,5 +24,6 @@ def test_app(spark, tmp_path):
     finally:
         server.shutdown()
     assert f'gc_log_lines_total{{host="localhost",path="{log}"}} 4.0' in picked and "gc_event" not in picked
+    assert 'gc_exporter_version_info{host="localhost",version="1"} 1.0' in whole and "gc_startup_timestamp_seconds{" in whole and 'quantile="0.75"' in whole
     assert 'category="DefNew"' in whole and "# TYPE gc_event_duration_seconds summary" in whole
     assert scrape.text({"none"}) == ""

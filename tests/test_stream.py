@@ -66,6 +66,41 @@ def test_reader_limit_latest_idle_regex(tmp_path):
     assert TailReader({"globs": f"{tmp_path}/none/*.log", "regexes": f"{tmp_path}/none/x"}).files() == []
 
 
+def test_reader_parts(tmp_path):
+    """Parts are cut by bytes, anywhere: each line is read once and whole, long ones too, and a file that rotates after planning is found again."""
+    log = tmp_path / "gc.log"
+    lines = [f"{k}:" + "x" * (k * 37 % 500) for k in range(60)] + ["y" * 5000, "", "", "end"]
+    log.write_text("".join(f"{x}\n" for x in lines) + "open")
+    for size in ("1", "7", "64", "100000"):
+        reader = TailReader({"globs": str(log), "startingOffsets": "earliest", "partitionBytes": size, "batchLines": "3", "maxBytesPerTrigger": "1000"})
+        start, seen = reader.initialOffset(), []
+        for _ in range(40):
+            end = reader.latestOffset()
+            parts = reader.partitions(start, end)
+            assert len(parts) <= 6000 // int(size) + 1
+            seen += [x for part in parts for batch in reader.read(part) for x in batch.column(4).to_pylist()]
+            start = end
+        assert seen == lines
+    start, end = reader.encoded({}), reader.encoded({str(log): [log.stat().st_ino, log.stat().st_size, 0]})
+    parts = reader.partitions(start, end)
+    os.rename(log, tmp_path / "gc.log.1")
+    log.write_text("another file\n")
+    assert [x for part in parts for batch in reader.read(part) for x in batch.column(4).to_pylist()] == lines
+
+
+def test_reader_quarantine_watch(tmp_path):
+    log = tmp_path / "gc.log"
+    log.write_text("a\n")
+    reader = TailReader({"globs": f"{tmp_path}/*.log", "watchInterval": "60000"})
+    assert reader.files() == [str(log)]
+    (tmp_path / "new.log").write_text("b\n")
+    assert reader.files() == [str(log)]  # listed anew after the interval only
+    reader.quarantine[str(log)] = time.time()
+    again = TailReader({"globs": f"{tmp_path}/*.log"})
+    again.partitions(reader.encoded({}), reader.encoded({}))  # what a restart reads back
+    assert again.files() == [str(tmp_path / "new.log")]
+
+
 def test_split_open(spark, tmp_path):
     (tmp_path / "a.log").write_text("[0.1s][info][gc] Using G1\n[1.0s][info][gc] GC(0) Eden regions: 2->0(1)\n[1.1s][info][gc] GC(0) Pause Remark 1M->1M(2M) 1.000ms\n[2.0s][info][gc] GC(1) Eden regions: 3->0(1)\n")
     (tmp_path / "b.log").write_text((FIXTURES / "g1-legacy.log").read_text())
@@ -98,6 +133,24 @@ def test_job(spark, tmp_path):
     assert last["gc_heap_occupancy_after_collection_bytes", None] == 2**20
 
 
+def test_job_forgets_idle_files(spark, tmp_path):
+    """All series of an idle file go; its dialect is known when it grows again; tables of old epochs are deleted."""
+    clock, pages = [1_700_000_000.0], {}
+    job = MetricJob(spark, f"file://{tmp_path}/state", idle_ms=3_600_000, host="h", publish=lambda epoch, s: pages.update({epoch: {(r["name"], r["labels"].get("path")) for r in s.collect()}}), clock=lambda: clock[0])
+    text = (FIXTURES / "serial.log").read_text().splitlines()
+    rows = lambda path, part: spark.createDataFrame([(path, "h", 0, k, x) for k, x in enumerate(part)], "path string, host string, split long, pos long, line string")
+    job.batch(rows("a", text).unionByName(rows("b", text)), 0)
+    assert {p for _, p in pages[0]} == {"a", "b", None} and ("gc_event_last_minute_duration_seconds", "a") in pages[0]
+    clock[0] += 7200
+    job.batch(rows("b", text[1:]), 1)
+    assert {p for _, p in pages[1]} == {"b", None}
+    clock[0] += 60
+    job.batch(rows("a", text[1:2]), 2)
+    assert {p for _, p in pages[2]} == {"a", "b", None} and ("gc_log_lines_total", "a") in pages[2]
+    assert sorted(p.name for p in (tmp_path / "state" / "state").iterdir()) == ["epoch=1", "epoch=2"]
+    assert {r.path: r.n for r in job.state().where("name = 'event_last_minute_duration_seconds'").collect()} == {"a": 1, "b": 6}
+
+
 def test_stream_quantiles(spark, tmp_path):
     lines = read_lines(spark, f"{FIXTURES}/parallel.log")
     observed = observe(parse_events(lines, diary(lines)), names={"event_last_minute_duration_seconds"})
