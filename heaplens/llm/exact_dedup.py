@@ -28,7 +28,7 @@ def _repeated(keys: DataFrame, columns: list[str], most: int = 1000) -> DataFram
     if not known:
         return keys.join(counts.select(*columns), columns, "left_semi")
     hot = value.isin([F.struct(*[F.lit(v[c]).cast(dict(keys.dtypes)[c]).alias(c) for c in columns]) for v in known])
-    return keys.where(hot).unionAll(keys.where(~hot).join(counts.select(*columns), columns, "left_semi"))
+    return keys.where(hot).unionByName(keys.where(~hot).join(counts.select(*columns), columns, "left_semi"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 256, digests: bool = False, survivors_only: bool = False) -> DataFrame:

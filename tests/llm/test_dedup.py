@@ -24,6 +24,19 @@ def test_exact_against_brute_force(docs, docs_pdf):
     assert got == want
 
 
+def test_exact_frequent_and_rare_lengths(spark):
+    """Lengths that many rows have and lengths that few have take different ways; both give all copies."""
+    texts = [f"common {k % 500:04d}" for k in range(4000)] + ["hot text of its own"] * 1500 + [f"r{'x' * (k % 300)}{k % 600}" for k in range(900)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    first = {}
+    for i, t in enumerate(texts):
+        first.setdefault(t, i)
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup(rows).collect()}
+    counts = {t: texts.count(t) for t in first}
+    assert got == {i: (first[t], counts[t]) for i, t in enumerate(texts)}
+    assert sorted(r.doc_id for r in exact_dedup(rows, survivors_only=True).collect()) == sorted(first.values())
+
+
 def test_exact_odd(odd, spark):
     rows = exact_dedup(odd, digests=True).collect()
     assert len(rows) == len(ODD)
