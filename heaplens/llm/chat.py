@@ -44,6 +44,7 @@ def chat_format(
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``chat_format`` over all of ``conversations``."""
     return chat_format(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 

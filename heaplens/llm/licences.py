@@ -112,6 +112,7 @@ def licence_scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, thre
 
 
 def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``licence_scan`` over all of ``documents``."""
     return licence_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

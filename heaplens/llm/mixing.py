@@ -112,6 +112,7 @@ DEFAULT_PARTS = 2
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``mix_sources`` over all of ``documents`` with the production mix."""
     return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"), PARTS, DEFAULT_PARTS)
 
 

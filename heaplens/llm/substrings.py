@@ -303,5 +303,6 @@ def substring_dedup(docs: DataFrame, length: int = 100, id_col: str = "doc_id",
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``substring_dedup`` over all of ``documents``, with the digest of what stays."""
     rows = substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
