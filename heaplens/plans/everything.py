@@ -264,7 +264,8 @@ def _written(spark, sf_dir) -> str:
     return folder
 
 
-_FILE_USER = F.regexp_extract("path", r"user=(\d+)/", 1).cast("bigint").alias("user_id")
+def _file_user() -> Column:
+    return F.regexp_extract("path", r"user=(\d+)/", 1).cast("bigint").alias("user_id")
 
 
 @query("SELECT user_id, CASE event_type WHEN 'click' THEN 'G1YoungGC' WHEN 'view' THEN 'G1Remark' WHEN 'purchase' THEN 'G1SystemGC' WHEN 'signup' THEN 'G1ConcurrentMark' ELSE 'G1MixedGC' END AS category, count(*) AS n, "
@@ -272,7 +273,7 @@ _FILE_USER = F.regexp_extract("path", r"user=(\d+)/", 1).cast("bigint").alias("u
 def text_files_events(spark, sf_dir):
     """Through real files: a glob, lines, the diary from their heads, events."""
     lines = read_lines(spark, f"{_written(spark, sf_dir)}/even=*/third=*/user=*/*.txt")
-    return parse_events(lines, diary(lines), [(True, "g1")]).groupBy(_FILE_USER, "category").agg(F.count("*").alias("n"), F.round(A._exact_sum(F.col("duration_s")), 6).alias("total"))
+    return parse_events(lines, diary(lines), [(True, "g1")]).groupBy(_file_user(), "category").agg(F.count("*").alias("n"), F.round(A._exact_sum(F.col("duration_s")), 6).alias("total"))
 
 
 @query("SELECT user_id, 2 + sum(CASE WHEN event_type = 'signup' THEN 2 ELSE 7 END)::BIGINT AS n FROM events WHERE user_id % 2 = 0 OR user_id % 3 = 0 GROUP BY user_id")
@@ -281,7 +282,7 @@ def text_files_multi_glob(spark, sf_dir):
     folder = _written(spark, sf_dir)
     files = list_files(spark, [f"{folder}/even=1/*/*/*.txt", f"{folder}/*/third=1/*/*.txt"])
     lines = read_lines(spark, [f"{folder}/even=1/*/*/*.txt", f"{folder}/even=0/third=1/*/*.txt"])
-    return lines.join(files.select(F.regexp_replace("path", "^file:/*", "/").alias("path")), "path", "left_semi").groupBy(_FILE_USER).agg(F.count("*").alias("n"))
+    return lines.join(files.select(F.regexp_replace("path", "^file:/*", "/").alias("path")), "path", "left_semi").groupBy(_file_user()).agg(F.count("*").alias("n"))
 
 
 @query("SELECT user_id, 1::BIGINT AS n FROM events WHERE user_id % 2 = 0 AND user_id % 3 = 0 AND user_id % 10 = 2 GROUP BY user_id")
@@ -289,7 +290,7 @@ def text_files_regex(spark, sf_dir):
     """A regular expression over the names of one folder, not of those below it."""
     folder = _written(spark, sf_dir)
     files = list_files(spark, f"{folder}/even=1/third=1/*/*.txt").withColumn("path", F.regexp_replace("path", "/[^/]*$", ""))
-    return match_names(files, re.sub("^file:/*", "/", f"{folder}/even=1/third=1"), r"user=\d*2").withColumn("path", F.concat("path", F.lit("/"))).groupBy(_FILE_USER).agg(F.count("*").alias("n"))
+    return match_names(files, re.sub("^file:/*", "/", f"{folder}/even=1/third=1"), r"user=\d*2").withColumn("path", F.concat("path", F.lit("/"))).groupBy(_file_user()).agg(F.count("*").alias("n"))
 
 
 @query(f"WITH f AS ({_FILES_SQL}) SELECT path FROM f WHERE modified + INTERVAL 6 HOUR >= (SELECT max(modified) FROM f)")
