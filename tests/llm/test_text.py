@@ -146,21 +146,33 @@ def dice(a, b):
 
 
 def test_licences(spark, odd):
+    import re
+
     mit = licences.TEMPLATES["MIT text"]
     texts = [(1, "intro\nReleased under the MIT License.\nend"), (2, mit), (3, "a b\n\n" + mit.replace(", ", ",\n", 3) + "\n\nx y"), (4, mit.replace("software", "program").replace("Software", "Program")), (5, "licensed UNDER cc by nc 4 0"), (6, "mit license"), (7, None)]
+    parts = lambda name, *ends: "\n\n".join(re.split("(?<=" + "|".join(ends) + ") ", licences.TEMPLATES[name]))
+    around = "\n".join(f"line {k} of a longer text, which says nothing of licences but goes on for a while" for k in range(12))
+    texts += [(8, f"{around}\n\n{parts('GPL-3.0 header', 'version[.]')}\n\n{around}".replace("useful, ", "useful,\n\n").replace("it under", "it\n\nunder").replace("but WITHOUT", "but\n\nWITHOUT"))]
+    texts += [(9, around + "\n" + licences.TEMPLATES["Apache-2.0 header"].replace("use this", "use\nthis").replace("to in", "to in\n# ").replace("WITHOUT", "\n# WITHOUT") + "\n" + around)]
+    texts += [(10, f"{around}\nReleased under the\nMIT License.\n{around}"), (11, around + "\r\n" + licences.TEMPLATES["BSD-2-Clause"].replace(" 1.", "\r\n\r\n1.").replace(" 2.", "\r\n\r\n2.") + "\r\n\r\n" + around)]
     df = spark.createDataFrame([(i, t, "x") for i, t in texts], "doc_id long, text string, passages string")
     grams = lambda t: {" ".join(p) for w in [licences._plain(t)] for p in zip(w, w[1:])}
-    import re
 
     want = {}
     for i, t in texts:
-        for p in {*re.split(r"[\r\n]+", t or ""), *re.split(r"\r?\n[ \t]*\r?\n", t or ""), t or ""}:
-            for name, template in licences.TEMPLATES.items():
-                if (d := dice(grams(p), grams(template))) >= 0.8:
-                    best, n = want.get((i, name), (0, 0))
-                    want[i, name] = (max(best, d), n + 1)
-    got = {(r.doc_id, r.licence): (r.dice, r.n_passages) for r in licences.licence_scan(df).collect()}
-    assert got.keys() == want.keys() and all(got[k][0] == pytest.approx(want[k][0]) and got[k][1] == want[k][1] for k in want)
+        lines = [w for line in re.split(r"[\r\n]+", t or "") if (w := licences._plain(line))]
+        runs = [" ".join(sum(lines[a:b], [])) for a in range(len(lines)) for b in range(a + 2, len(lines) + 1)]
+        for kind, passages in enumerate(({*re.split(r"[\r\n]+", t or ""), *re.split(r"\r?\n[ \t]*\r?\n", t or ""), t or ""}, runs)):
+            for p in passages:
+                for name, template in licences.TEMPLATES.items():
+                    if (d := dice(grams(p), grams(template))) >= 0.8 and (not kind or len(p.split()) <= 1.5 * len(grams(template)) + 1):
+                        best, *n = want.get((i, name), (0, 0, 0))
+                        n[kind] += 1
+                        want[i, name] = (max(best, d), *n)
+    got = {(r.doc_id, r.licence): (r.dice, r.n_passages, r.n_runs) for r in licences.licence_scan(df).collect()}
+    assert got.keys() == want.keys() and all(got[k][0] == pytest.approx(want[k][0]) and got[k][1:] == want[k][1:] for k in want)
+    # several paragraphs within a longer text, and a notice wrapped within a paragraph, are found by runs alone
+    assert {k for k, v in got.items() if k[0] > 7 and not v[1] and v[2]} == {(8, "GPL-3.0 header"), (9, "Apache-2.0 header"), (10, "MIT"), (11, "BSD-2-Clause")}
     assert {1, 2, 3, 5} <= {i for i, _ in got} and licences.licence_scan(odd).count() == 0 and licences.licence_scan(df.where("false")).count() == 0
 
 
