@@ -155,7 +155,7 @@ def test_embeddings_recall(spark):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((5500, 64))
     x = np.concatenate([base, base[:2000] + 0.25 * rng.standard_normal((2000, 64)), base[:1000] + 0.2 * rng.standard_normal((1000, 64)), base[0] + 0.1 * rng.standard_normal((1500, 64))]).astype(np.float32)
-    got = embedding_dedup(spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": list(x), "label": 1}), "vec_id long, embedding array<float>, label int")).toPandas().sort_values("vec_id")
+    got = embedding_dedup(spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist(), "label": 1}), "vec_id long, embedding array<float>, label int")).toPandas().sort_values("vec_id")
     y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
     link = y @ y.T >= 0.93
     np.fill_diagonal(link, False)
