@@ -9,14 +9,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Folders of our own, by application, for sessions on one machine that have none set.
+_own_folders: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, one of our own if everything runs in one process, and an error on a cluster."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir isn't set")
-        path = "file://" + tempfile.mkdtemp(prefix="heaplens-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        path = _own_folders.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="heaplens-shared-")
+        _own_folders[spark.sparkContext.applicationId] = path
     return path.rstrip("/")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, embedding, exact_dedup, html, licences, mixing, quality, simhash, substrings
+from . import bpe, chat, clusters, embedding, exact_dedup, html, licences, mixing, quality, simhash, substrings, token_files, whitening
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_html": html.op8_html,
         "op9_substring_dedup": substrings.op9_substring_dedup,
         "op10_chat_format": chat.op10_chat_format,
+        "op11_whitening": whitening.op11_whitening,
+        "op12_clusters": clusters.op12_clusters,
+        "op13_token_files": token_files.op13_token_files,
     }
 
 
