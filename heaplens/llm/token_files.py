@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -16,6 +17,16 @@ from pyspark.sql import functions as F
 
 from .common import shared_dir
 
+_SPACED = re.compile(r" (?:\s|\Z)|\s |\A ").search
+_MARKS = ".,;:!?"
+
+
+def _spaced(text: str) -> bool:
+    """Whether a text has a space at either end or beside other white space."""
+    if text.isascii() and not any(c in text for c in "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"):
+        return "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " "
+    return _SPACED(text) is not None
+
 
 class ChunkEncoder:
     """Encodes texts with the tokenizers library, each distinct chunk once.
@@ -24,7 +35,7 @@ class ChunkEncoder:
     Chunks not seen before are encoded together, joined at such spaces, and told apart by how many bytes each id stands for. ``most`` bounds the chunks that are remembered.
     """
 
-    def __init__(self, tokenizer_json: str, end_id: int | None, special_as_text: bool = True, most: int = 1 << 18) -> None:
+    def __init__(self, tokenizer_json: str, end_id: int | None, special_as_text: bool = True, most: int = 1 << 19) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are what runs side by side
         from tokenizers import Tokenizer
 
@@ -40,6 +51,9 @@ class ChunkEncoder:
             self.bytes_of[i] = len(piece)  # a byte-level piece has one character for each byte
         for t in kind.get("added_tokens", []):
             self.bytes_of[t["id"]] = len(t["content"].encode())
+        #: ids of single marks, where each is one id
+        marks = [self._encode([m])[0] for m in _MARKS]
+        self.marks = dict(zip(_MARKS, (m[0] for m in marks))) if all(len(m) == 1 for m in marks) else {}
         self.end, self.most = np.array([] if end_id is None else [end_id], np.int32), most
         self._forget()
 
@@ -51,47 +65,67 @@ class ChunkEncoder:
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _chunks(self, text: str) -> list[str]:
-        """The text cut before single spaces that stand between two other characters; pieces at other spaces stay together."""
-        out: list[str] = []
-        open_end = True  # whether the text so far is empty or ends in white space
-        for k, piece in enumerate(text.split(" ")):
+    def _keys(self, text: str) -> list[str]:
+        """Keys of the chunks of a text. A chunk of a space and a piece without spaces has that piece as its key, any other chunk has itself and a space."""
+        pieces = text.split(" ")
+        if not _spaced(text):
+            pieces[0] += " "
+            return pieces
+        out: list[str] = []  # chunks; pieces at spaces that stand beside other white space stay together
+        open_end = True
+        for k, piece in enumerate(pieces):
             if k and not open_end and piece and not piece[0].isspace():
                 out.append(" " + piece)
-            elif out:
+            elif k:
                 out[-1] += " " + piece
             else:
                 out.append(piece)
             open_end = not piece or piece[-1].isspace()
-        return out
+        return [c + " " if not k or " " in c[1:] else c[1:] for k, c in enumerate(out)]
 
-    def _learn(self, chunks: list[str]) -> None:
+    def _learn(self, keys: list[str]) -> None:
         """Ids of chunks not seen before."""
-        plain = [c for c in chunks if c[0] == " " and len(c) > 1 and not c[1].isspace() and not c[-1].isspace()]
-        if len(plain) < len(chunks):
-            others = set(plain)
-            others = [c for c in chunks if c not in others]
-        else:
-            others = []
-        ids, sizes = [], []
+        # a letter run and one mark behind it, in plain ASCII, are two pre-tokens, of which the mark is one id
+        marked = [k for k in keys if len(k) > 1 and k[-1] in _MARKS and k.isascii() and k[:-1].isalpha()] if self.marks else []
+        if marked:
+            rest = set(marked)
+            bases = [k for k in dict.fromkeys([k[:-1] for k in marked]) if k not in self.known]
+            keys = list(dict.fromkeys([*[k for k in keys if k not in rest], *bases]))
+        # a joined text may be cut at chunks whose last character isn't white space, which the next chunk's space follows
+        plain = [k for k in keys if not k[-1].isspace()]
+        others = [k for k in keys if k[-1].isspace()] if len(plain) < len(keys) else []
         for i in range(0, len(plain), 512):
             some = plain[i : i + 512]
-            own = np.array(self._encode(["".join(some)])[0], np.int32)
-            ends = np.cumsum([len(c.encode()) for c in some])
+            own = np.array(self._encode([" " + " ".join(some)])[0], np.int32)
+            ends = np.cumsum([1 + len(k.encode()) for k in some])
             cut = np.searchsorted(np.cumsum(self.bytes_of[own]), ends) + 1  # the ids up to the end of each chunk
-            ids.append(own)
-            sizes.append(np.diff(cut, prepend=0))
-        for own in self._encode(others) if others else []:
-            ids.append(np.array(own, np.int32))
-            sizes.append(np.array([len(own)]))
-        sizes = np.concatenate(sizes).astype(np.int64)
-        self.known.update(zip([*plain, *others], range(len(self.known), len(self.known) + len(chunks))))
+            self._add(some, own, np.diff(cut, prepend=0))
+        if others:
+            own = self._encode([k[:-1] if k[-1] == " " else " " + k for k in others])
+            self._add(others, np.array([i for x in own for i in x], np.int32), np.array([len(x) for x in own]))
+        self._settle()
+        if marked:
+            at = np.array([self.known[k[:-1]] for k in marked])
+            ids, sizes = self._gather(at)
+            self._add(marked, np.insert(ids, np.cumsum(sizes), [self.marks[k[-1]] for k in marked]), sizes + 1)
+            self._settle()
+
+    def _add(self, keys: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.known.update(zip(keys, range(len(self.known), len(self.known) + len(keys))))
+        self.flat.append(ids.astype(np.int32, copy=False))
         self.starts.append(self.length + np.cumsum(sizes) - sizes)
-        self.flat += ids
-        self.sizes.append(sizes)
-        self.length += int(sizes.sum())
+        self.sizes.append(sizes.astype(np.int64, copy=False))
+        self.length += len(ids)
+
+    def _settle(self) -> None:
         self.flat, self.starts, self.sizes = [np.concatenate(self.flat)], [np.concatenate(self.starts)], [np.concatenate(self.sizes)]
 
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of known chunks one after another, how many each has)."""
+        sizes, starts = self.sizes[0][at], self.starts[0][at]
+        before = np.cumsum(sizes) - sizes
+        return self.flat[0][np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))], sizes
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, each with the end id; how many each text has)."""
         if not self.cuts:
@@ -99,29 +133,24 @@ class ChunkEncoder:
             return np.concatenate(ids or [self.end[:0]]), np.array([len(x) for x in ids], np.int64)
         if len(self.known) > self.most:
             self._forget()
-        chunks: list[str] = []
+        keys: list[str] = []
         counts = np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
             if text:
-                own = text.split(" ")
-                spaced = "  " in text or " \n" in text or "\n " in text or own[0] == "" or own[-1] == "" or any(p[0].isspace() or p[-1].isspace() for p in own if not (p.isascii() and p.isprintable()))
-                own = self._chunks(text) if spaced else [own[0], *[" " + p for p in own[1:]]]
+                own = self._keys(text)
                 counts[i] = len(own)
-                chunks += own
-        at = list(map(self.known.get, chunks))
-        if None in at:
-            self._learn(list(dict.fromkeys(c for c, k in zip(chunks, at) if k is None)))
-            at = list(map(self.known.get, chunks))
-        at = np.array(at, np.int64)
-        sizes, starts, flat = self.sizes[0][at], self.starts[0][at], self.flat[0]
-        # a text's ids are followed by its end id: an item of its own behind its chunks
+                keys += own
+        at = list(map(self.known.get, keys))
+        new = {key: i for i, key in enumerate(keys) if at[i] is None} if None in at else {}
+        if new:
+            self._learn(list(new))
+            at = [self.known[key] if i is None else i for key, i in zip(keys, at)]
+        ids, sizes = self._gather(np.array(at, np.int64))
         ends = np.cumsum(counts)
-        per_text = np.add.reduceat(np.append(sizes, 0), np.minimum(ends - counts, len(sizes))) * (counts > 0) if len(texts) else counts
-        before = np.cumsum(sizes) - sizes
-        ids = flat[np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))] if len(sizes) else flat[:0]
+        per_text = np.diff(np.append(0, np.cumsum(sizes))[ends], prepend=0) if len(texts) else counts
         if len(self.end):
             ids = np.insert(ids, np.cumsum(per_text), self.end[0])
-        return ids.astype(np.int32, copy=False), per_text + len(self.end)
+        return ids, per_text + len(self.end)
 
 
 def write_tokens(
@@ -147,8 +176,8 @@ def write_tokens(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, offset, part = ChunkEncoder(shared.value, end_id, special_as_text), 0, TaskContext.get().partitionId()
         for batch in batches:
-            for start in range(0, batch.num_rows, 128):
-                ids, texts = batch.slice(start, 128).columns
+            for start in range(0, batch.num_rows, 256):
+                ids, texts = batch.slice(start, 256).columns
                 tokens, sizes = encoder.encode(texts.to_pylist())
                 stops = np.cumsum(sizes)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stops]).astype(np.int32)), pa.array(tokens))
