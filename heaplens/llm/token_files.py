@@ -18,14 +18,16 @@ from pyspark.sql import functions as F
 from .common import shared_dir
 
 _SPACED = re.compile(r" (?:\s|\Z)|\s |\A ").search
+#: White space but spaces and line ends.
+_OTHER_SPACE = re.compile(r"[^\S \n]").search
 _MARKS = ".,;:!?"
 
 
 def _spaced(text: str) -> bool:
     """Whether a text has a space at either end or beside other white space."""
-    if text.isascii() and not any(c in text for c in "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"):
-        return "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " "
-    return _SPACED(text) is not None
+    if _OTHER_SPACE(text):
+        return _SPACED(text) is not None
+    return "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " "
 
 
 class ChunkEncoder:
@@ -153,6 +155,17 @@ class ChunkEncoder:
         return ids, per_text + len(self.end)
 
 
+_encoders: dict[tuple, ChunkEncoder] = {}
+
+
+def _encoder(*args) -> ChunkEncoder:
+    """This worker's encoder, which keeps what it knows from task to task."""
+    if args not in _encoders:
+        _encoders.clear()
+        _encoders[args] = ChunkEncoder(*args)
+    return _encoders[args]
+
+
 def write_tokens(
     docs: DataFrame, folder: str, tokenizer_path: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", stripe_bytes: int = 64 << 20, index_rows: int = 1000, bloom_fpp: float = 0.01, special_as_text: bool = True,
 ) -> None:
@@ -174,7 +187,7 @@ def write_tokens(
     rows = rows.repartitionByRange("doc_id", "h", "row").sortWithinPartitions("doc_id", "h", "row")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, offset, part = ChunkEncoder(shared.value, end_id, special_as_text), 0, TaskContext.get().partitionId()
+        encoder, offset, part = _encoder(shared.value, end_id, special_as_text), 0, TaskContext.get().partitionId()
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 ids, texts = batch.slice(start, 256).columns
