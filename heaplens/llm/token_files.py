@@ -30,6 +30,22 @@ def _spaced(text: str) -> bool:
     return "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " "
 
 
+class Numbers(dict):
+    """Numbers of keys in the order in which they were first asked for; ``fresh`` are those asked for since it was emptied."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        self.fresh.append(key)
+        return n
+
+    def of(self, keys: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, keys), np.int64, len(keys))
+
+
 class ChunkEncoder:
     """Encodes texts with the tokenizers library, each distinct chunk once.
 
@@ -60,9 +76,8 @@ class ChunkEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.starts, self.sizes = [np.empty(0, np.int32)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        self.length = 0
+        self.known, self.length = Numbers(), 0
+        self.flat, self.starts, self.sizes = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -85,48 +100,47 @@ class ChunkEncoder:
             open_end = not piece or piece[-1].isspace()
         return [c + " " if not k or " " in c[1:] else c[1:] for k, c in enumerate(out)]
 
-    def _learn(self, keys: list[str]) -> None:
-        """Ids of chunks not seen before."""
+    def _learn(self) -> None:
+        """Ids of the chunks that have a number but no ids yet."""
+        keys, self.known.fresh = self.known.fresh, []
         # a letter run and one mark behind it, in plain ASCII, are two pre-tokens, of which the mark is one id
         marked = [k for k in keys if len(k) > 1 and k[-1] in _MARKS and k.isascii() and k[:-1].isalpha()] if self.marks else []
         if marked:
             rest = set(marked)
-            bases = [k for k in dict.fromkeys([k[:-1] for k in marked]) if k not in self.known]
-            keys = list(dict.fromkeys([*[k for k in keys if k not in rest], *bases]))
+            keys = [k for k in keys if k not in rest]
+            bases = self.known.of([k[:-1] for k in marked])  # new ones count as fresh
+            keys, self.known.fresh = keys + self.known.fresh, []
+        room = len(self.known) - len(self.sizes)
+        self.starts, self.sizes = np.append(self.starts, np.zeros(room, np.int64)), np.append(self.sizes, np.zeros(room, np.int64))
         # a joined text may be cut at chunks whose last character isn't white space, which the next chunk's space follows
         plain = [k for k in keys if not k[-1].isspace()]
         others = [k for k in keys if k[-1].isspace()] if len(plain) < len(keys) else []
+        found = []
         for i in range(0, len(plain), 512):
             some = plain[i : i + 512]
             own = np.array(self._encode([" " + " ".join(some)])[0], np.int32)
             ends = np.cumsum([1 + len(k.encode()) for k in some])
             cut = np.searchsorted(np.cumsum(self.bytes_of[own]), ends) + 1  # the ids up to the end of each chunk
-            self._add(some, own, np.diff(cut, prepend=0))
+            found.append((own, np.diff(cut, prepend=0)))
         if others:
             own = self._encode([k[:-1] if k[-1] == " " else " " + k for k in others])
-            self._add(others, np.array([i for x in own for i in x], np.int32), np.array([len(x) for x in own]))
-        self._settle()
+            found.append((np.array([i for x in own for i in x], np.int32), np.array([len(x) for x in own])))
+        if found:
+            self._add(self.known.of(plain + others), np.concatenate([x for x, _ in found]), np.concatenate([n for _, n in found]))
         if marked:
-            at = np.array([self.known[k[:-1]] for k in marked])
-            ids, sizes = self._gather(at)
-            self._add(marked, np.insert(ids, np.cumsum(sizes), [self.marks[k[-1]] for k in marked]), sizes + 1)
-            self._settle()
-
-    def _add(self, keys: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        self.known.update(zip(keys, range(len(self.known), len(self.known) + len(keys))))
-        self.flat.append(ids.astype(np.int32, copy=False))
-        self.starts.append(self.length + np.cumsum(sizes) - sizes)
-        self.sizes.append(sizes.astype(np.int64, copy=False))
-        self.length += len(ids)
+            ids, sizes = self._gather(bases)
+            self._add(self.known.of(marked), np.insert(ids, np.cumsum(sizes), [self.marks[k[-1]] for k in marked]), sizes + 1)
 
-    def _settle(self) -> None:
-        self.flat, self.starts, self.sizes = [np.concatenate(self.flat)], [np.concatenate(self.starts)], [np.concatenate(self.sizes)]
+    def _add(self, at: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.starts[at], self.sizes[at] = self.length + np.cumsum(sizes) - sizes, sizes
+        self.flat = np.append(self.flat, ids.astype(np.int32, copy=False))
+        self.length += len(ids)
 
     def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of known chunks one after another, how many each has)."""
-        sizes, starts = self.sizes[0][at], self.starts[0][at]
+        sizes = self.sizes[at]
         before = np.cumsum(sizes) - sizes
-        return self.flat[0][np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))], sizes
+        return self.flat[np.repeat(self.starts[at] - before, sizes) + np.arange(int(sizes.sum()))], sizes
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, each with the end id; how many each text has)."""
@@ -142,12 +156,10 @@ class ChunkEncoder:
                 own = self._keys(text)
                 counts[i] = len(own)
                 keys += own
-        at = list(map(self.known.get, keys))
-        new = {key: i for i, key in enumerate(keys) if at[i] is None} if None in at else {}
-        if new:
-            self._learn(list(new))
-            at = [self.known[key] if i is None else i for key, i in zip(keys, at)]
-        ids, sizes = self._gather(np.array(at, np.int64))
+        at = self.known.of(keys)
+        if self.known.fresh:
+            self._learn()
+        ids, sizes = self._gather(at)
         ends = np.cumsum(counts)
         per_text = np.diff(np.append(0, np.cumsum(sizes))[ends], prepend=0) if len(texts) else counts
         if len(self.end):

@@ -199,10 +199,10 @@ def finite(vector: Column) -> Column:
     return F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
 
 
-def whiten(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", components: int = 16, scale: int = 64, shift: int = 1_000_000, model_bytes: int = 64 << 20) -> DataFrame:
+def whiten(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", components: int = 16, scale: int = 64, model_bytes: int = 64 << 20) -> DataFrame:
     """For each usable row and principal component: ``id_col``, component (from 1), n, deviation decimal, whitened, explained, identity_error.
 
-    Entries become integers floor(scale * c) + shift. The fit list is each distinct integer vector once; distinct vectors are found with a combine before the shuffle, so copies
+    Entries become integers x = floor(scale * c); a constant added to each x would cancel out of all results. The fit list is each distinct integer vector once; distinct vectors are found with a combine before the shuffle, so copies
     of one vector, however many, don't meet. Each task streams its part of the list into one state (Welford), states are merged by the parallel update formula,
     and a symmetric QR solves for the components. n is the length of the fit list, S its sums; deviation is the sum over dimensions of (n * x - S)^2,
     exact (null beyond 38 digits); whitened is (x - S / n) on the component over the root of its eigenvalue; explained is the eigenvalue's share of the trace;
@@ -216,7 +216,7 @@ def whiten(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     spark = vectors.sparkSession
     doubles = F.col(vector_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).alias("id"), doubles.alias("vec")).where(finite(F.col("vec")))
-    whole = lambda c: F.when(F.abs(c) * scale < LARGEST - shift, F.floor(c * scale) + shift).otherwise(F.raise_error(F.lit("an entry is too large to whiten")).cast("bigint"))
+    whole = lambda c: F.when(F.abs(c) * scale < LARGEST - 1, F.floor(c * scale)).otherwise(F.raise_error(F.lit("an entry is too large to whiten")).cast("bigint"))
     rows = rows.select("id", F.transform("vec", whole).alias("x"))
     fit = materialise(rows.select("x").distinct(), "whiten")
     id_type = dict(rows.dtypes)["id"]
@@ -263,5 +263,5 @@ def whiten(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
 
 
 def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``whiten`` over all of ``embeddings``; deviation is null where a long doesn't hold it."""
+    """``whiten`` over all of ``embeddings``, whose integers need no offset; deviation is null where a long doesn't hold it."""
     return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).withColumn("deviation", F.col("deviation").try_cast("bigint"))
