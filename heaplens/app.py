@@ -24,9 +24,8 @@ log = logging.getLogger("heaplens")
 def start(spark: SparkSession, config: LogConfig, state: str, checkpoint: str, **trigger) -> tuple[StreamingQuery, Scrape]:
     """Register the tail source and start the job; the caller serves the scrape."""
     spark.dataSource.register(TailSource)
-    lines = config.lines_per_second * max(1, config.read_interval // 1000)
     options = {
-        "globs": ",".join(config.globs), "regexes": ",".join(config.regexes), "host": config.host, "maxLinesPerTrigger": 0 if lines >= 2**31 - 1 else lines, "idleTimeout": config.idle_timeout,
+        "globs": ",".join(config.globs), "regexes": ",".join(config.regexes), "host": config.host, "linesPerSecond": 0 if config.lines_per_second >= 2**31 - 1 else config.lines_per_second, "idleTimeout": config.idle_timeout,
         "watchInterval": config.watch_interval, "scanFilesPerSecond": config.scan_files_per_second, "batchLines": config.batch_size, "bufferBytes": config.buffer_size,
     }
     reader = spark.readStream.format("gclog_tail").options(**options)

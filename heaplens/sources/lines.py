@@ -2,20 +2,63 @@
 
 from __future__ import annotations
 
+import bz2
 import datetime
+import functools
+import gzip
+import io
+import os
+import re
+import zlib
+from collections.abc import Iterator
 
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .globs import MAX_DEPTH, Glob, strip_scheme
+
 #: path, host, split and pos give the order of lines within a path: by split, then by pos.
 LINE_SCHEMA = "path string, host string, split bigint, pos bigint, line string"
 
 
+def _listed(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """path, length, modified of all files at or below ``roots``; roots without any are passed over."""
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).load(roots)
+        return files.select("path", "length", F.col("modificationTime").alias("modified"))
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        if len(roots) > 1:
+            return functools.reduce(DataFrame.unionByName, [_listed(spark, [r]) for r in roots])
+        return spark.createDataFrame([], "path string, length bigint, modified timestamp")
+
+
 def list_files(spark: SparkSession, patterns: list[str] | str) -> DataFrame:
-    """path, length, modified of all files that match any of the glob patterns, each once. Contents are not read."""
-    patterns = [patterns] if isinstance(patterns, str) else list(patterns)
-    files = spark.read.format("binaryFile").option("ignoreMissingFiles", True).option("recursiveFileLookup", False).load(patterns)
-    return files.select("path", "length", F.col("modificationTime").alias("modified")).dropDuplicates(["path"])
+    """path, length, modified of all files that match any of the glob patterns (see ``Glob``), each file once. Contents are not read.
+
+    Patterns may overlap or repeat, and links may lead to a file on several ways: local files are told apart by their canonical path, and of several paths the one that is no link, else the smallest, stays. Local paths have no scheme,
+    others are as Spark writes them. Spark lists what is below each pattern's first ``**``, and names that begin with ``_`` or ``.`` are hidden from it.
+    """
+    globs = [Glob(p) for p in ([patterns] if isinstance(patterns, str) else patterns)]
+    if not globs:
+        return spark.createDataFrame([], "path string, length bigint, modified timestamp")
+    files = _listed(spark, sorted({r for g in globs for r in g.roots()})).withColumn("path", F.regexp_replace("path", "^file:/*", "/"))
+    bare = F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.-]+:(//[^/]*)?(?=/)", "")
+    levels = F.length(bare) - F.length(F.replace(bare, F.lit("/"), F.lit("")))
+    bases = [strip_scheme(b) for g in globs for b in g.bases]
+    near = functools.reduce(lambda x, y: x | y, [bare.startswith(b) & (levels < b.count("/") + MAX_DEPTH) for b in dict.fromkeys(bases)])
+    files = files.where(bare.rlike("^(?:" + "|".join(g.text for g in globs) + ")$") & near)
+
+    def resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(real=[os.path.realpath(p) if p.startswith("/") else p for p in pdf["path"]])
+
+    files = files.mapInPandas(resolve, "path string, length bigint, modified timestamp, real string")
+    best = files.groupBy("real").agg(F.min(F.struct(F.col("path") != F.col("real"), "path", "length", "modified")).alias("f"))
+    return best.select("f.path", "f.length", "f.modified")
 
 
 def match_names(files: DataFrame, directory: str, regex: str) -> DataFrame:
@@ -35,19 +78,80 @@ def admit(files: DataFrame, now: datetime.datetime, idle_ms: int = 3_600_000, op
     return files
 
 
+def _escaped(path: str) -> str:
+    """A path for a reader that takes patterns."""
+    return ("file://" if path.startswith("/") else "") + re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+
+
+def lines_of(spark: SparkSession, paths: list[str], host: str = "localhost") -> DataFrame:
+    """All lines of the files with these paths, as (path, host, split, pos, line); see ``read_lines``."""
+    if not paths:
+        return spark.createDataFrame([], LINE_SCHEMA)
+    lines = spark.read.option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True).text([_escaped(p) for p in paths])
+    # the name is given as part of a URL
+    path = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:/*", "/")
+    return lines.select(path.alias("path"), F.lit(host).alias("host"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("pos"), F.col("value").alias("line"))
+
+
 def read_lines(spark: SparkSession, patterns: list[str] | str, host: str = "localhost", modified_after: str | None = None) -> DataFrame:
     """All lines of the files that match, as (path, host, split, pos, line).
 
+    Patterns are resolved to a list of files first (see ``list_files``), so that a file that several patterns or links lead to is read once; as with any reader of files, the list is on the driver.
     Files are split by blocks like any text table, so one file of any size is read by many tasks. ``split`` is where the block begins,
     ``pos`` grows within it. Lines end at LF, CR or CRLF; a last line without an end counts. Files that vanish or can't be read are
-    passed over.
+    passed over; ``probe_files`` tells which.
     """
-    patterns = [patterns] if isinstance(patterns, str) else list(patterns)
-    reader = spark.read.option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True)
+    files = list_files(spark, patterns)
     if modified_after:
-        reader = reader.option("modifiedAfter", modified_after)
-    lines = reader.text(patterns)
-    return lines.select(
-        F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/").alias("path"), F.lit(host).alias("host"),
-        F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("pos"), F.col("value").alias("line"),
-    )
+        files = files.where(F.col("modified") > F.lit(modified_after).cast("timestamp"))
+    return lines_of(spark, [r.path for r in files.select("path").collect()], host)
+
+
+def _head(path: str, count: int, max_line: int) -> list[str]:
+    """The first ``count`` lines of a local file, or those up to the first one of over ``max_line`` characters. Reads ``count`` times ``max_line`` characters at most, however large the file is."""
+    opened = {".gz": gzip.open, ".bz2": bz2.open}.get(os.path.splitext(path)[1], open)
+    lines: list[str] = []
+    with opened(path, "rb") as raw, io.TextIOWrapper(raw, "utf-8", "replace", newline=None) as f:
+        while len(lines) < count and (line := f.readline(max_line + 2)):
+            lines.append(line.removesuffix("\n"))
+            if len(lines[-1]) > max_line:
+                break
+    return lines
+
+
+def probe_files(files: DataFrame, host: str = "localhost", count: int = 512, max_line: int = 1024) -> DataFrame:
+    """One row for each file of ``list_files``: path, host, length, modified, error, head.
+
+    head has the first ``count`` lines, less what follows a line of over ``max_line`` characters, which comes as its first ``max_line`` + 1 or 2. Tasks read no more of a file than that. error tells why
+    a file can't be read (it is unreadable, gone, or its compression is broken); then head is null. Nothing stops the others. Only local files are opened; of others head is null without an error.
+    """
+
+    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for path in pdf["path"]:
+                try:
+                    rows.append((None, _head(path, count, max_line) if path.startswith("/") else None))
+                except (OSError, EOFError, zlib.error) as error:
+                    rows.append((f"{type(error).__name__}: {error}", None))
+            yield pdf.assign(host=host, error=[r[0] for r in rows], head=[r[1] for r in rows])[["path", "host", "length", "modified", "error", "head"]]
+
+    return files.mapInPandas(probe, "path string, host string, length bigint, modified timestamp, error string, head array<string>")
+
+
+def read_heads(spark: SparkSession, patterns: list[str] | str, host: str = "localhost", count: int = 512, max_line: int = 1024) -> DataFrame:
+    """The first lines of the files that match, in the form of ``read_lines``: what the diary needs. Local files are opened up to there only; of remote ones Spark reads all and keeps the head."""
+    files = list_files(spark, patterns)
+    own = probe_files(files.where("path LIKE '/%'"), host, count, max_line).select("path", "host", F.lit(0).cast("bigint").alias("split"), F.posexplode("head").alias("pos", "line"))
+    own = own.withColumn("pos", F.col("pos").cast("bigint"))
+    remote = [r.path for r in files.where("path NOT LIKE '/%'").select("path").collect()]
+    return own.unionByName(lines_of(spark, remote, host).where("split = 0")) if remote else own
+
+
+def quarantined(outcomes: DataFrame, now: datetime.datetime, before: DataFrame | None = None, most: int = 512, keep_ms: int = 3_600_000) -> DataFrame:
+    """path, error, since: files that couldn't be read now, or were put here within ``keep_ms``; the ``most`` latest. A file that fails again is as of now."""
+    rows = outcomes.where("error IS NOT NULL").select("path", "error", F.lit(now).alias("since"))
+    if before is not None:
+        rows = rows.unionByName(before.where(F.col("since") + F.make_dt_interval(secs=F.lit(keep_ms / 1000)) > F.lit(now)).select("path", "error", "since"))
+    rows = rows.groupBy("path").agg(F.max_by("error", "since").alias("error"), F.max("since").alias("since"))
+    return rows.orderBy(F.desc("since"), "path").limit(most)

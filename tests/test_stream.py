@@ -49,11 +49,13 @@ def test_reader(tmp_path):
 def test_reader_limit_latest_idle_regex(tmp_path):
     log = tmp_path / "gc-1.log"
     log.write_text("a\nb\nc\n")
-    reader = TailReader({"regexes": f"{tmp_path}/gc-\\d\\.log", "startingOffsets": "earliest", "maxLinesPerTrigger": "1"})
+    now = [time.time()]
+    reader = TailReader({"regexes": f"{tmp_path}/gc-\\d\\.log", "startingOffsets": "earliest", "linesPerSecond": "1"}, clock=lambda: now[0])
     start, seen = reader.initialOffset(), []
     for _ in range(4):
         start, lines = pull(reader, start)
         seen.append(lines)
+        now[0] += 1
     assert seen == [["a"], ["b"], ["c"], []]
     latest = TailReader({"globs": str(log)})
     start = latest.initialOffset()
@@ -62,7 +64,7 @@ def test_reader_limit_latest_idle_regex(tmp_path):
     old.write_text("x\n")
     os.utime(old, (time.time() - 9999, time.time() - 9999))
     idle = TailReader({"globs": f"{tmp_path}/gc-2.log", "idleTimeout": "1000"})
-    assert idle.advance({}) == {}
+    assert idle.advance(idle.empty())["files"] == {}
     assert TailReader({"globs": f"{tmp_path}/none/*.log", "regexes": f"{tmp_path}/none/x"}).files() == []
 
 
@@ -81,7 +83,7 @@ def test_reader_parts(tmp_path):
             seen += [x for part in parts for batch in reader.read(part) for x in batch.column(4).to_pylist()]
             start = end
         assert seen == lines
-    start, end = reader.encoded({}), reader.encoded({str(log): [log.stat().st_ino, log.stat().st_size, 0]})
+    start, end = reader.encoded(reader.empty()), reader.encoded(reader.empty() | {"files": {str(log): [log.stat().st_ino, log.stat().st_size, 0, 0]}})
     parts = reader.partitions(start, end)
     os.rename(log, tmp_path / "gc.log.1")
     log.write_text("another file\n")
@@ -97,10 +99,167 @@ def test_reader_quarantine_watch(tmp_path):
     assert reader.files() == [str(log)]  # listed anew after the interval only
     reader.quarantine[str(log)] = time.time()
     again = TailReader({"globs": f"{tmp_path}/*.log"})
-    again.partitions(reader.encoded({}), reader.encoded({}))  # what a restart reads back
+    again.partitions(reader.encoded(reader.empty()), reader.encoded(reader.empty() | {"quarantine": reader.quarantine}))  # what a restart reads back
     assert again.files() == [str(tmp_path / "new.log")]
 
 
+def test_idle_files_leave_and_come_back(tmp_path):
+    """Offsets shrink when files are idle; a file that grows again goes on where it was, also after a restart, and old positions age out."""
+    now = [time.time()]
+    options = {"globs": f"{tmp_path}/*.log", "startingOffsets": "earliest", "idleTimeout": "60000", "positionMemory": "1000000", "maxPositions": "3"}
+    reader = TailReader(options, clock=lambda: now[0])
+    for k in range(5):
+        (tmp_path / f"{k}.log").write_text(f"first {k}\n")
+    end, lines = pull(reader, reader.initialOffset())
+    assert len(lines) == 5
+    now[0] += 100  # all idle but one
+    os.utime(tmp_path / "0.log", (now[0], now[0]))
+    end, lines = pull(reader, end)
+    state = reader.decoded(end)
+    assert lines == [] and list(state["files"]) == [f"{tmp_path}/0.log"] and list(state["left"]) == [f"{tmp_path}/{k}.log" for k in (1, 2, 3)]  # of equal age the first stay
+    with (tmp_path / "2.log").open("a") as f:
+        f.write("second\n")
+    os.utime(tmp_path / "2.log", (now[0], now[0]))
+    again = TailReader(options, clock=lambda: now[0])
+    assert pull(again, end)[1] == ["second"]
+    end, lines = pull(reader, end)
+    assert lines == ["second"] and set(reader.decoded(end)["files"]) == {f"{tmp_path}/0.log", f"{tmp_path}/2.log"}
+    now[0] += 2_000_000  # beyond the memory of positions
+    end, lines = pull(reader, end)
+    state = reader.decoded(end)
+    assert lines == [] and state["files"] == {} and set(state["left"]) == {f"{tmp_path}/0.log", f"{tmp_path}/2.log"}
+    now[0] += 2_000_000
+    end, _ = pull(reader, end)
+    assert reader.decoded(end)["left"] == {}
+
+
+def test_deleted_and_unread_files(tmp_path):
+    """A file that vanishes for a while goes on where it was; one with lines yet to be read doesn't leave as idle."""
+    now = [time.time()]
+    log = tmp_path / "gc.log"
+    log.write_text("a\nb\nc\n")
+    reader = TailReader({"globs": f"{tmp_path}/*.log", "startingOffsets": "earliest", "idleTimeout": "1000", "linesPerSecond": "1"}, clock=lambda: now[0])
+    end, lines = pull(reader, reader.initialOffset())
+    assert lines == ["a"]
+    now[0] += 5
+    end, lines = pull(reader, end)
+    assert lines == ["b"]
+    os.rename(log, tmp_path / "away")
+    end, lines = pull(reader, end)
+    assert lines == [] and list(reader.decoded(end)["left"]) == [str(log)]
+    os.rename(tmp_path / "away", log)
+    os.utime(log, (now[0], now[0]))
+    now[0] += 1
+    assert pull(reader, end)[1] == ["c"]
+
+
+def test_renamed_and_new_at_end(tmp_path):
+    log = tmp_path / "gc.log"
+    log.write_text("a\n")
+    reader = TailReader({"globs": f"{tmp_path}/gc.log*", "startingOffsets": "earliest"})
+    end, lines = pull(reader, reader.initialOffset())
+    os.rename(log, tmp_path / "gc.log.1")  # also matched: what was read isn't read again
+    with (tmp_path / "gc.log.1").open("a") as f:
+        f.write("late\n")
+    log.write_text("b\n")
+    end, lines = pull(reader, end)
+    assert sorted(lines) == ["b", "late"]
+    at_end = TailReader({"globs": f"{tmp_path}/*", "newFileOffsets": "latest"})
+    end, _ = pull(at_end, at_end.initialOffset())
+    new = tmp_path / "new.log"
+    new.write_text("before it was found\n")
+    end, lines = pull(at_end, end)
+    assert lines == []
+    with new.open("a") as f:
+        f.write("after\n")
+    assert pull(at_end, end)[1] == ["after"]
+
+
+def test_restart_keeps_generations(tmp_path):
+    """A reader made anew goes on from the committed offset, with files that came while it was away from their beginning and generations where they were."""
+    log = tmp_path / "gc.log"
+    log.write_text("a\n")
+    options = {"globs": f"{tmp_path}/*.log"}
+    reader = TailReader(options)
+    end, _ = pull(reader, reader.initialOffset())
+    log.write_text("")
+    end, _ = pull(reader, end)
+    log.write_text("b\n")
+    end, lines = pull(reader, end)
+    assert lines == ["b"] and reader.decoded(end)["files"][str(log)][2] == 1
+    with log.open("a") as f:
+        f.write("c\n")
+    (tmp_path / "new.log").write_text("d\n")
+    again = TailReader(options)
+    end, lines = pull(again, end)
+    assert lines == ["c", "d"] and again.state["files"][str(log)][2] == 1
+    with log.open("a") as f:
+        f.write("e\n")
+    after, lines = pull(again, end)
+    assert lines == ["e"] and again.decoded(after)["files"][str(log)][2] == 1
+
+
+def test_line_rate(tmp_path):
+    """Tokens carry over triggers of any distance up to a second's worth, the rate holds in the long run, and nothing is lost."""
+    now = [time.time()]
+    log = tmp_path / "gc.log"
+    lines = [f"line {k} " + "x" * (k * 13 % 90) for k in range(5000)]
+    log.write_text("".join(f"{x}\n" for x in lines))
+    for rate, steps in ((10, [0.05, 0.35, 0.6, 1.0]), (400, [0.25, 0.5, 0.9])):
+        reader = TailReader({"globs": str(log), "startingOffsets": "earliest", "linesPerSecond": str(rate)}, clock=lambda: now[0])
+        began, end, seen, step = now[0], reader.initialOffset(), [], 0
+        while len(seen) < min(len(lines), 40 * rate):
+            step += 1
+            end, got = pull(reader, end)
+            seen += got
+            assert len(seen) <= rate * (1 + now[0] - began) * 1.1 + 1
+            now[0] += steps[step % len(steps)]
+            assert now[0] - began < 500
+        assert seen == lines[: len(seen)] and now[0] - began <= 1.1 * len(seen) / rate + 2
+        assert all(t <= rate for t in reader.decoded(end)["tokens"].values())
+    # a reader made anew has the tokens of the offset, not a full bucket
+    reader = TailReader({"globs": str(log), "startingOffsets": "earliest", "linesPerSecond": "5"}, clock=lambda: now[0])
+    end, got = pull(reader, reader.initialOffset())
+    assert len(got) == 5
+    end, got = pull(reader, end)
+    assert got == []
+    now[0] += 0.5
+    assert len(pull(reader, end)[1]) == 2
+
+
+def test_scan_rate(tmp_path):
+    """A listing goes on over as many triggers as its rate asks for, without sleeping; files found late start as those found at once."""
+    now = [time.time()]
+    for k in range(10):
+        (tmp_path / f"{k}.log").write_text("old\n")
+    reader = TailReader({"globs": f"{tmp_path}/*.log", "scanFilesPerSecond": "3"}, clock=lambda: now[0])
+    began, end, counts = time.time(), reader.initialOffset(), []
+    for _ in range(6):
+        end, lines = pull(reader, end)
+        assert lines == []
+        counts.append(len(reader.decoded(end)["files"]))
+        now[0] += 1
+    assert counts == [3, 6, 9, 10, 10, 10] and time.time() - began < 2
+    (tmp_path / "99.log").write_text("new\n")
+    seen = []
+    for _ in range(8):
+        end, lines = pull(reader, end)
+        seen += lines
+        now[0] += 1
+    assert seen == ["new"]
+
+
+def test_quarantine_is_bounded(tmp_path):
+    now = [1_000_000.0]
+    reader = TailReader({"globs": f"{tmp_path}/*.log", "maxQuarantined": "3", "quarantineTimeout": "10000"}, clock=lambda: now[0])
+    for k in range(5):
+        (tmp_path / f"{k}.log").write_text("x\n")
+        reader.quarantine[f"{tmp_path}/{k}.log"] = now[0] - k
+    assert [os.path.basename(p) for p in reader.files()] == ["3.log", "4.log"] and len(reader.quarantine) == 3
+    now[0] += 9
+    assert [os.path.basename(p) for p in reader.files()] == ["2.log", "3.log", "4.log"]
+
+
 def test_split_open(spark, tmp_path):
     (tmp_path / "a.log").write_text("[0.1s][info][gc] Using G1\n[1.0s][info][gc] GC(0) Eden regions: 2->0(1)\n[1.1s][info][gc] GC(0) Pause Remark 1M->1M(2M) 1.000ms\n[2.0s][info][gc] GC(1) Eden regions: 3->0(1)\n")
     (tmp_path / "b.log").write_text((FIXTURES / "g1-legacy.log").read_text())
