@@ -19,11 +19,11 @@ def _exact_sum(value: Column) -> Column:
     return F.sum(value.cast("decimal(38,12)")).cast("double")
 
 
-def metric_state(observations: DataFrame) -> DataFrame:
-    """name, path, host, category, n, total, last, split, pos: one shuffle for all families; counts, sums and last values are combined before it."""
+def metric_state(observations: DataFrame, **more: Column) -> DataFrame:
+    """name, path, host, category, n, total, last, split, pos: one shuffle for all families; counts, sums and last values are combined before it. ``more`` are further aggregates of value, by name."""
     at = F.struct("split", "pos")
-    grouped = observations.groupBy("name", "path", "host", "category").agg(F.count("value").alias("n"), _exact_sum(F.col("value")).alias("total"), F.max_by("value", at).alias("last"), F.max(at).alias("at"))
-    return grouped.select("name", "path", "host", "category", "n", "total", "last", "at.split", "at.pos")
+    grouped = observations.groupBy("name", "path", "host", "category").agg(F.count("value").alias("n"), _exact_sum(F.col("value")).alias("total"), F.max_by("value", at).alias("last"), F.max(at).alias("at"), *[x.alias(name) for name, x in more.items()])
+    return grouped.select("name", "path", "host", "category", "n", "total", "last", "at.split", "at.pos", *more)
 
 
 def merge_state(before: DataFrame, now: DataFrame) -> DataFrame:
@@ -92,6 +92,47 @@ def trailing_quantiles(observations: DataFrame, seconds: int = 60, quantiles: Se
     return rows.select("name", "path", "host", "split", "pos", "ts", F.size("recent").cast("bigint").alias("n"), *[at(q).alias(f"q{round(q * 100)}") for q in quantiles])
 
 
+#: A ring has this many buckets, of equal length, for what a summary of quantiles looks back on.
+RING = 6
+
+
+def ring_sketches(observations: DataFrame, at: Column, seconds: int = 60, size: int = 200) -> DataFrame:
+    """name, path, host, bucket, sketch: the values of each series within each bucket of ``seconds`` / 6, numbered by time ``at``, as a mergeable sketch.
+
+    A sketch (KLL) takes a bounded number of bytes however many values it has seen; with ``size`` 200 the rank of a quantile is off by some 0.013, least and largest values are exact.
+    """
+    bucket = F.floor(at.cast("double") / (seconds / RING)).cast("bigint")
+    return observations.groupBy("name", "path", "host", bucket.alias("bucket")).agg(F.kll_sketch_agg_double("value", size).alias("sketch"))
+
+
+def merge_rings(before: DataFrame, now: DataFrame) -> DataFrame:
+    """Sketches of equal series and bucket as one."""
+    return before.unionByName(now).groupBy("name", "path", "host", "bucket").agg(F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def in_ring(now: Column, seconds: int = 60) -> Column:
+    """Whether a bucket is one of the latest six at ``now``."""
+    current = F.floor(now.cast("double") / (seconds / RING)).cast("bigint")
+    return (F.col("bucket") > current - RING) & (F.col("bucket") <= current)
+
+
+def ring_quantiles(ring: DataFrame, now: Column, seconds: int = 60, quantiles: Sequence[float] = QUANTILES) -> DataFrame:
+    """name, path, host, quantile, value over the latest six buckets: what a scrape shows. The values come from merged sketches."""
+    merged = ring.where(in_ring(now, seconds)).groupBy("name", "path", "host").agg(F.kll_merge_agg_double("sketch").alias("sketch"))
+    at = F.kll_sketch_get_quantile_double("sketch", F.array(*[F.lit(float(q)) for q in quantiles]))
+    return merged.select("name", "path", "host", F.explode(F.map_from_arrays(F.array(*[F.lit(str(q)) for q in quantiles]), at)).alias("quantile", "value"))
+
+
+def hop_quantiles(observations: DataFrame, seconds: int = 60, quantiles: Sequence[float] = QUANTILES, size: int = 200) -> DataFrame:
+    """As ``window_quantiles`` over windows of ``seconds`` in steps of a sixth, from sketches: each observation goes into one sketch, and a window merges six of them, so rows aren't multiplied by the windows they are in."""
+    sketches = ring_sketches(observations, F.col("ts"), seconds, size)
+    ends = sketches.select("name", "path", "host", F.explode(F.sequence(F.col("bucket") + 1, F.col("bucket") + RING)).alias("end"), "sketch")
+    merged = ends.groupBy("name", "path", "host", "end").agg(F.kll_merge_agg_double("sketch").alias("sketch"))
+    at = lambda q: F.kll_sketch_get_quantile_double("sketch", F.lit(float(q))).alias(f"q{round(q * 100)}")
+    end = F.timestamp_millis((F.col("end") * F.lit(round(1000 * seconds / RING))).cast("bigint")).alias("window_end")
+    return merged.select("name", "path", "host", end, F.kll_sketch_get_n_double("sketch").alias("n"), *[at(q) for q in quantiles])
+
+
 def latest_quantiles(observations: DataFrame, now: Column, seconds: int = 60, quantiles: Sequence[float] = QUANTILES) -> DataFrame:
     """name, path, host, quantile, value over the last ``seconds`` before ``now``: what a scrape shows."""
     recent = observations.where((F.col("ts") > now - F.make_dt_interval(secs=F.lit(float(seconds)))) & (F.col("ts") <= now))

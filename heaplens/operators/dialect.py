@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,3 +37,22 @@ def diary(lines: DataFrame, count: int = 512, max_line: int = 1024) -> DataFrame
     signals = signals.where(F.col("longest") <= max_line).withColumn("collector", collector).where("collector IS NOT NULL")
     family = F.when(F.col("collector").isin("g1", "zgc"), F.col("collector")).otherwise("classic")
     return signals.select("path", "host", "unified", "collector", family.alias("family"), (F.col("region_mb") * 1024).alias("region_kib"))
+
+
+_UNIFIED, _REGION = re.compile(G.UNIFIED, re.ASCII), re.compile(G.REGION_SIZE, re.ASCII)
+_SIGNALS = {name: re.compile(pattern, re.ASCII) for name, pattern in G.SIGNALS.items()}
+
+
+def tell(head: Sequence[str], max_line: int = 1024) -> tuple[bool, str, str, int | None] | None:
+    """The diary of one file from its first lines: (unified, collector, family, region_kib), or None if it is unsupported; the rules of ``diary``, for code that has one file's lines at hand."""
+    head = [x for x in head if x.strip(" ")]
+    if not head or max(map(len, head)) > max_line:
+        return None
+    has = {name: any(map(signal.search, head)) for name, signal in _SIGNALS.items()}
+    rules = (("g1", has["g1"]), ("zgc", has["zgc"]), ("cms", has["cms"] or has["parnew"]), ("serial", has["defnew"] or has["serial_full"]), ("parallel", has["parallel"]))
+    collector = next((name for name, fits in rules if fits), None)
+    if collector is None:
+        return None
+    sizes = [int(m[1] or m[2]) for m in map(_REGION.search, head) if m]
+    family = collector if collector in ("g1", "zgc") else "classic"
+    return any(map(_UNIFIED.search, head)), collector, family, max(sizes) * 1024 if sizes else None

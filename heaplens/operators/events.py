@@ -258,7 +258,15 @@ def parse_events(lines: DataFrame, diaries: DataFrame, only: list[tuple[bool, st
     calls Python, and a line that no pattern fits yields nothing and stops nothing. ``only`` plans the branches of some dialects, as from
     ``dialects``; lines of other dialects then go too.
     """
-    known = lines.join(_bounded(diaries.select("path", "host", "unified", "collector", "family", "region_kib")), ["path", "host"])
+    return parse_known(lines.join(_bounded(diaries.select("path", "host", *DIALECT)), ["path", "host"]), only)
+
+
+#: What the diary tells of a file, beside its path and host.
+DIALECT = ("unified", "collector", "family", "region_kib")
+
+
+def parse_known(known: DataFrame, only: list[tuple[bool, str]] | None = None) -> DataFrame:
+    """As ``parse_events``, for lines that have the columns of their file's dialect with them."""
     wanted: dict = {}
     for key in BRANCHES if only is None else only:
         wanted.setdefault(BRANCHES[key], []).append(key)

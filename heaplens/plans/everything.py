@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import re
 import tempfile
 import uuid
@@ -13,7 +14,7 @@ from ..operators import aggregate as A
 from ..operators.dialect import diary
 from ..operators.events import parse_events
 from ..operators.observations import observe
-from ..sources.lines import admit, list_files, match_names, read_lines
+from ..sources.lines import admit, list_files, match_names, probe_files, quarantined, read_heads, read_lines
 from . import synth
 from .catalog import MMU_MS, ZGC_PHASES
 from .queries import _FILES_SQL, _SUM, _files, _user, query
@@ -313,11 +314,11 @@ def startup_and_version(spark, sf_dir):
 
 
 def _stream(spark: SparkSession, parts: list[DataFrame]) -> tuple[DataFrame, str]:
-    """A stream that gives one of the tables in each micro-batch, and the folder it is in."""
-    folder = _shared(spark)
-    for k, df in enumerate(parts):
-        df.coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"), folder
+    """A stream that gives one of the tables in each micro-batch, in several files each, and the folder it is in."""
+    folder, files = _shared(spark), 4
+    for df in parts:
+        df.repartition(files).write.mode("append").parquet(f"{folder}/in")
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in"), folder
 
 
 @query(f"""SELECT user_id, 'event_last_minute_duration_seconds' AS name, count(*) AS n, round({_SUM}, 6) AS total, arg_max(value, event_id) / 1000 AS last FROM events GROUP BY user_id
@@ -338,11 +339,71 @@ def continuous_job(spark, sf_dir):
 
 @query("""SELECT user_id, epoch(time_bucket(INTERVAL 1 HOUR, ts))::BIGINT AS hour, count(*) AS n, round(CAST(sum(CAST(value / 1000 AS DECIMAL(38, 12))) AS DOUBLE), 6) AS total FROM events GROUP BY ALL""")
 def events_stream_tumbling(spark, sf_dir):
-    """A stream of observations, summed by hour with a watermark; the result is the last state of the windows."""
+    """A stream of observations in order of time, summed by hour. The watermark lets windows go once they are behind it; each batch writes the windows that it changed, and the last row of each counts."""
     obs = observe(parse_events(lines := synth.unified_g1(synth.events_table(spark, sf_dir)), diary(lines), [(True, "g1")]), names={"event_last_minute_duration_seconds"})
-    stream, folder = _stream(spark, [obs])
+    cut = synth.events_table(spark, sf_dir).agg(*[F.percentile(F.col("ts").cast("double"), k / 3).alias(f"c{k}") for k in (1, 2)]).first()
+    at = F.col("ts").cast("double")
+    stream, folder = _stream(spark, [obs.where(at < cut.c1), obs.where((at >= cut.c1) & (at < cut.c2)), obs.where(at >= cut.c2)])
     windows = stream.withWatermark("ts", "1 hour").groupBy(_user(), F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.round(A._exact_sum(F.col("value")), 6).alias("total"))
     rows = windows.select("user_id", F.col("w.start").cast("bigint").alias("hour"), "n", "total")
-    write = lambda df, epoch: df.write.mode("overwrite").parquet(f"{folder}/out")
-    rows.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(rows.schema).parquet(f"{folder}/out")
+    write = lambda df, epoch: df.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{folder}/out/batch={epoch}")
+    rows.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    changed = spark.read.parquet(f"{folder}/out")
+    return changed.groupBy("user_id", "hour").agg(F.max_by("n", "epoch").alias("n"), F.max_by("total", "epoch").alias("total"))
+
+
+# Files: each once, heads, errors
+
+
+@query("SELECT user_id, 2 + sum(CASE WHEN event_type = 'signup' THEN 2 ELSE 7 END)::BIGINT AS n FROM events WHERE user_id % 2 = 0 OR user_id % 3 = 0 GROUP BY user_id")
+def text_files_overlapping_globs(spark, sf_dir):
+    """Globs that overlap, repeat and hold braces, handed to the reader as they are: each file is read once."""
+    folder = _written(spark, sf_dir)
+    globs = [f"{folder}/even=1/*/*/*.txt", f"{folder}/*/third=1/*/*.txt", f"{folder}/even=1/**.txt", f"{folder}/even={{0,1}}/third=1/user=*/part-*", f"{folder}/even=1/*/*/*.txt"]
+    return read_lines(spark, globs).groupBy(_file_user()).agg(F.count("*").alias("n"))
+
+
+@query("""WITH l AS (SELECT user_id, 2 + sum(CASE WHEN event_type = 'signup' THEN 2 ELSE 7 END) AS n FROM events GROUP BY user_id)
+SELECT user_id, least(n, 512)::BIGINT AS lines, 'g1' AS collector, true AS unified FROM l""")
+def text_files_heads(spark, sf_dir):
+    """The diary from the heads of files, which are all that is read of them."""
+    heads = read_heads(spark, f"{_written(spark, sf_dir)}/**.txt")
+    counts = heads.groupBy(_file_user()).agg(F.count("*").alias("lines"))
+    return counts.join(diary(heads).select(_file_user(), "collector", "unified"), "user_id")
+
+
+@query("""WITH l AS (SELECT user_id, user_id % 5 = 0 AS broken, 2 + sum(CASE WHEN event_type = 'signup' THEN 2 ELSE 7 END)::BIGINT AS n FROM events GROUP BY user_id)
+SELECT user_id, broken AS failed, CASE WHEN NOT broken THEN least(n, 512)::BIGINT END AS lines, broken AS quarantined FROM l""")
+def text_files_outcomes(spark, sf_dir):
+    """Every fifth file's compression is broken: its error is a row that puts it in quarantine, and the others are read."""
+    folder = _shared(spark)
+    user = F.regexp_extract("path", r"-(\d+)/", 1).cast("bigint")
+    lines = synth.unified_g1(synth.events_table(spark, sf_dir)).withColumn("user", user)
+    good, broken = lines.where("user % 5 <> 0"), lines.where("user % 5 = 0")
+    ordered = lambda df: df.repartition("user").sortWithinPartitions("user", "split", "pos").select("user", F.col("line").alias("value")).write.partitionBy("user")
+    ordered(good).option("compression", "gzip").text(f"{folder}/good")
+    ordered(broken).option("compression", "none").text(f"{folder}/plain")
+    # plain text under a name that promises compression
+    jvm = spark._jvm.org.apache.hadoop.fs
+    fs = jvm.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for row in list_files(spark, f"{folder}/plain/**.txt").select("path").collect():
+        fs.rename(jvm.Path(row.path), jvm.Path(f"{row.path}.gz"))
+    outcomes = probe_files(list_files(spark, [f"{folder}/good/**.gz", f"{folder}/plain/**.gz"]))
+    now = datetime.datetime.now(datetime.timezone.utc)
+    shut = quarantined(outcomes, now, most=10**6).select("path", F.lit(True).alias("quarantined"))
+    return outcomes.join(shut, "path", "left").select(_file_user(), F.col("error").isNotNull().alias("failed"), F.when(F.col("head").isNotNull(), F.size("head")).cast("bigint").alias("lines"), F.coalesce("quarantined", F.lit(False)).alias("quarantined"))
+
+
+# Quantiles from sketches
+
+
+@query("""WITH w AS (SELECT user_id, value / 1000 AS v, unnest(generate_series(time_bucket(INTERVAL 10 MINUTE, date_trunc('millisecond', ts)) + INTERVAL 10 MINUTE, time_bucket(INTERVAL 10 MINUTE, date_trunc('millisecond', ts)) + INTERVAL 60 MINUTE, INTERVAL 10 MINUTE)) AS window_end FROM events)
+SELECT user_id, epoch(window_end)::BIGINT AS window_end, count(*) AS n, min(v) AS q0, max(v) AS q100, true AS close FROM w GROUP BY ALL""")
+def sketch_quantiles_hop(spark, sf_dir):
+    """Windows from rings of sketches: number, least and largest are exact, and the ranks of the quantiles between are off by at most 0.05 of what the window holds."""
+    obs = observe(parse_events(lines := synth.unified_g1(synth.events_table(spark, sf_dir)), diary(lines), [(True, "g1")]), names={"event_last_minute_duration_seconds"})
+    got = A.hop_quantiles(obs, 3600)
+    ends = obs.select("path", "value", F.window("ts", "60 minutes", "10 minutes").getField("end").alias("window_end"))
+    ranks = ends.join(got, ["path", "window_end"]).groupBy("path", "window_end").agg(*[F.struct(F.avg((F.col("value") < F.col(q)).cast("double")).alias("below"), F.avg((F.col("value") <= F.col(q)).cast("double")).alias("up_to")).alias(f"r{q}") for q in ("q50", "q75")])
+    close = lambda q, rank: (F.col(f"r{q}.below") <= rank + 0.05) & (F.col(f"r{q}.up_to") >= rank - 0.05)
+    return got.join(ranks, ["path", "window_end"]).select(_user(), F.col("window_end").cast("bigint").alias("window_end"), "n", "q0", "q100", (close("q50", 0.5) & close("q75", 0.75)).alias("close"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime
 import time
 from collections.abc import Callable
 
@@ -10,125 +9,120 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from ..functions import grammar as G
 from ..operators import aggregate as A
-from ..operators.dialect import diary
-from ..operators.events import dialects, parse_events
+from ..operators.events import parse_known
 from ..operators.observations import observe
 from ..plans.catalog import families
+from .changes import ChangeLog
+from .files import follow
 
 VERSION = "1"
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_SERIES = ["name", "path", "host", "category"]
 
 
 class MetricJob:
-    """Keeps diary, metric state, line counts, the last minute's durations and unfinished lines as tables in ``folder``, which driver and executors share.
+    """Dialect and unfinished lines of each file are in Spark's state store, by file (see ``FileState``); series, sketches of the last minute and line counts are in ``folder``, as tables of which each batch writes the rows that it changes.
 
-    Each batch writes the tables of its epoch and reads those of the epoch before, so a batch that is run again after a failure gives the
-    same result; older epochs are deleted. Lines of an event whose last line hasn't come yet are held for the next batch.
-
-    All series of a file that is idle for longer than ``idle_ms`` go: state, line count, info gauge, held lines. What is known of its dialect stays
-    for ``memory`` times as long, for the case that the file grows again.
+    A batch's lines are parsed once; what they sum up to, a row for each series that they touch, is merged with those rows of before. A batch that is run again gives the same: its time is that of Spark's own log of batches. Lines of an event whose last line hasn't come yet wait in
+    the state store. All series of a file that is idle for longer than ``idle_ms`` go when its timer runs out: state, sketches, line count, info gauge, held lines. What is known of its dialect stays for ``memory`` times as long.
     """
 
     def __init__(
         self, spark: SparkSession, folder: str, idle_ms: int = 3_600_000, strict_zgc: bool = False, publish: Callable[[int, DataFrame], None] | None = None, host: str = "localhost", prefix: str = "gc_",
-        header_lines: int = 512, max_header_line: int = 1024, quantile_seconds: int = 60, memory: int = 24, clock: Callable[[], float] = time.time,
+        header_lines: int = 512, max_header_line: int = 1024, quantile_seconds: int = 60, memory: int = 24, clock: Callable[[], float] = time.time, snapshot_every: int = 32,
     ) -> None:
         self.spark, self.folder, self.idle_ms, self.strict_zgc, self.publish = spark, folder.rstrip("/"), idle_ms, strict_zgc, publish
-        self.host, self.prefix, self.header_lines, self.max_header_line, self.quantile_seconds, self.memory, self.clock = host, prefix, header_lines, max_header_line, quantile_seconds, memory, clock
+        self.host, self.prefix, self.header_lines, self.max_header_line, self.quantile_seconds, self.memory = host, prefix, header_lines, max_header_line, quantile_seconds, memory
         self.started, self.last_epoch = clock(), -1
+        log = lambda name, keys, schema: ChangeLog(spark, f"{self.folder}/{name}", keys, schema, snapshot_every)
+        self.series = log("series", _SERIES, "name string, path string, host string, category string, n bigint, total double, last double, split bigint, pos bigint")
+        self.rings = log("rings", ["name", "path", "host", "bucket"], "name string, path string, host string, bucket bigint, sketch binary")
+        self.files = log("files", ["path", "host"], "path string, host string, n bigint, collector string")
 
-    def _table(self, name: str, epoch: int) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(f"{self.folder}/{name}/epoch={epoch}")
-        except Exception as error:
-            if "PATH_NOT_FOUND" in str(error):
-                return None
-            raise
-
-    def _write(self, df: DataFrame, name: str, epoch: int) -> DataFrame:
-        path = f"{self.folder}/{name}/epoch={epoch}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def _forget(self, epoch: int) -> None:
-        """Delete the tables of an epoch through Spark's own file system."""
-        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path
-        fs = fs_path(self.folder).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        for name in ("lines", "seen", "diary", "held", "counts", "recent", "state"):
-            fs.delete(fs_path(f"{self.folder}/{name}/epoch={epoch}"), True)
-
-    def state(self) -> DataFrame | None:
+    def state(self) -> DataFrame:
         """The metric state after the last batch of this job object."""
-        return self._table("state", self.last_epoch)
-
-    def batch(self, lines: DataFrame, epoch: int) -> None:
-        before = lambda name: self._table(name, epoch - 1) if epoch else None
-        now = F.lit(datetime.datetime.fromtimestamp(self.clock(), datetime.timezone.utc))
-        lines = self._write(lines, "lines", epoch)
-        seen = lines.select("path").distinct().withColumn("last_seen", now)
-        if (old := before("seen")) is not None:
-            seen = old.unionByName(seen).groupBy("path").agg(F.max("last_seen").alias("last_seen"))
-        seen = self._write(seen.where(F.col("last_seen") >= now - F.make_dt_interval(secs=F.lit(self.memory * self.idle_ms / 1000))), "seen", epoch)
-        alive = lambda df: A.expire(df, seen, now, self.idle_ms)
-        # a file's dialect is told once, by the first batch that has a signal of it
-        known = diary(lines.withColumn("split", F.lit(0).cast("bigint")), self.header_lines, self.max_header_line)
-        if (old := before("diary")) is not None:
-            known = old.join(seen.select("path"), "path", "left_semi").unionByName(known.join(old.select("path", "host"), ["path", "host"], "left_anti"))
-        known = self._write(known, "diary", epoch)
-        work = lines if (old := before("held")) is None else old.unionByName(lines)
-        ready, held = split_open(work, known)
-        self._write(alive(held), "held", epoch)
-        kinds = dialects(known)
-        counts = lines.groupBy("path", "host").agg(F.count("*").alias("n"))
-        if (old := before("counts")) is not None:
-            counts = old.unionByName(counts).groupBy("path", "host").agg(F.sum("n").alias("n"))
-        counts = self._write(alive(counts), "counts", epoch)
-        state, recent = before("state"), before("recent")
-        if kinds:
-            observed = observe(parse_events(ready, known, kinds), self.strict_zgc)
-            fresh = A.metric_state(observed)
-            state = fresh if state is None else A.merge_state(state, fresh)
-            # quantiles are over what came in the last minute, by the clock
+        return self.series.as_of(self.last_epoch)
+
+    def batch(self, rows: DataFrame, epoch: int) -> None:
+        """Merge a batch of ``follow`` into the tables and publish them."""
+        path = f"{self.folder}/batches/epoch={epoch}"
+        rows.write.mode("overwrite").parquet(path)  # runs the stateful operator, once
+        rows = self.spark.read.schema(rows.schema).parquet(path)
+        told = rows.groupBy("unified", "family").agg(F.max("at_ms").alias("at"), F.count_if(F.col("kind") == "line").alias("lines")).collect()  # a row for each dialect
+        if not told:
+            return
+        now = F.timestamp_millis(F.lit(max(r.at for r in told)).cast("bigint"))
+        closed = rows.where("kind = 'closed'").select("path", "host").distinct()
+        seen = rows.where("kind = 'file'").groupBy("path", "host").agg(F.sum("n").alias("n"), F.max("collector").alias("collector"))
+        partial = ring = None
+        if kinds := sorted((r.unified, r.family) for r in told if r.lines):
+            lines = rows.where("kind = 'line'").select("path", "host", "split", "pos", "line", "unified", "collector", "family", "region_kib")
+            partial = f"{self.folder}/observed/epoch={epoch}"
+            # a row for each series touched; those of the last minute's families also bring a sketch
             last_minute = [f.name for f in families() if f.quantiles]
-            came = observed.where(F.col("name").isin(last_minute)).select("name", "path", "host", "value", now.alias("ts"))
-            recent = came if recent is None else recent.unionByName(came)
-        if state is not None:
-            state = self._write(alive(state), "state", epoch)
-            recent = self._write(alive(recent).where(F.col("ts") > now - F.make_dt_interval(secs=F.lit(self.quantile_seconds))), "recent", epoch)
+            sketch = F.kll_sketch_agg_double(F.when(F.col("name").isin(last_minute), F.col("value")))
+            A.metric_state(observe(parse_known(lines, kinds), self.strict_zgc), sketch=sketch).write.mode("overwrite").parquet(partial)
+            found = self.spark.read.parquet(partial)
+            partial = found.drop("sketch")
+            bucket = F.floor(now.cast("double") / (self.quantile_seconds / A.RING)).cast("bigint")
+            ring = found.where(F.col("name").isin(last_minute)).select("name", "path", "host", bucket.alias("bucket"), "sketch")
+        series = self._merge(self.series, partial, closed, epoch, A.merge_state)
+        rings = self._merge(self.rings, ring, closed, epoch, A.merge_rings, A.in_ring(now, self.quantile_seconds))
+        files = self._merge(self.files, seen, closed, epoch, lambda old, new: old.unionByName(new).groupBy("path", "host").agg(F.sum("n").alias("n"), F.max("collector").alias("collector")))
         self.last_epoch = epoch
         self._forget(epoch - 2)
         if self.publish:
-            self.publish(epoch, self._samples(state, recent, counts, alive(known), now))
+            self.publish(epoch, self._samples(series, rings, files, now))
+
+    def _merge(self, log: ChangeLog, new: DataFrame | None, closed: DataFrame, epoch: int, merge, keep=None) -> DataFrame:
+        """Merge the rows of before that a batch touches with its own; rows of closed files go, as do those without ``keep`` (of touched series) when they are next read."""
+        before = log.as_of(epoch - 1)
+        if keep is not None:
+            before = before.where(keep)
+        gone = before.join(closed, ["path", "host"], "left_semi")
+        if new is None:
+            return log.write(before.where("false"), gone, epoch)
+        # a file that is closed and seen in one batch begins anew
+        kept = before.join(closed, ["path", "host"], "left_anti").join(new.select(*[F.col(k).alias(f"k_{k}") for k in log.keys]), _same(log.keys), "left_semi")
+        again = gone.join(new.select(*[F.col(k).alias(f"k_{k}") for k in log.keys]), _same(log.keys), "left_anti")
+        return log.write(merge(kept, new), again, epoch)
 
-    def _samples(self, state, recent, counts, known, now) -> DataFrame:
-        if state is None:
-            state = self.spark.createDataFrame([], "name string, path string, host string, category string, n bigint, total double, last double, split bigint, pos bigint")
-        quantiles = None if recent is None else A.latest_quantiles(recent, now, self.quantile_seconds)
-        samples = A.samples(state, quantiles=quantiles, info=A.info_gauges(known, self.started, VERSION, self.host), prefix=self.prefix)
+    def _forget(self, epoch: int) -> None:
+        """Delete a batch's own folders through Spark's own file system."""
+        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = fs_path(self.folder).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for name in ("batches", "observed"):
+            fs.delete(fs_path(f"{self.folder}/{name}/epoch={epoch}"), True)
+
+    def _samples(self, series: DataFrame, rings: DataFrame, files: DataFrame, now) -> DataFrame:
+        known = files.where("collector IS NOT NULL")
+        samples = A.samples(series, quantiles=A.ring_quantiles(rings, now, self.quantile_seconds), info=A.info_gauges(known, self.started, VERSION, self.host), prefix=self.prefix)
         name = F.lit(f"{self.prefix}log_lines_total")
-        counted = counts.select(name.alias("family"), F.lit("counter").alias("type"), name.alias("name"), F.create_map(F.lit("path"), "path", F.lit("host"), "host").alias("labels"), F.col("n").cast("double").alias("value"))
+        counted = files.select(name.alias("family"), F.lit("counter").alias("type"), name.alias("name"), F.create_map(F.lit("path"), "path", F.lit("host"), "host").alias("labels"), F.col("n").cast("double").alias("value"))
         return samples.unionByName(counted)
 
     def start(self, lines: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
-        """Run over a stream of lines; trigger as in ``DataStreamWriter.trigger``."""
-        return lines.writeStream.foreachBatch(self.batch).option("checkpointLocation", checkpoint).trigger(**trigger or {"processingTime": "1 second"}).start()
-
-
-def split_open(lines: DataFrame, diaries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(lines that can be parsed now, lines to hold): those after the last line that ends an event of their gc_id, or of the last block of a legacy G1 log."""
-    rows = lines.join(diaries.select("path", "host", "unified", "family"), ["path", "host"])
-    line = F.col("line")
-    ends = F.when(F.col("family") == "zgc", line.rlike(f"{G.GC_ID} *{G.ZGC_END}")).when(F.col("unified"), line.rlike(f"{G.GC_ID} *(?:{G.UNIFIED_PAUSE}|{G.UNIFIED_CONCURRENT})")).when(F.col("family") == "g1", line.rlike(G.G1_HEAD)).otherwise(True)
-    rows = rows.withColumn("ends", ends).withColumn("gc_id", F.when(F.col("unified") | (F.col("family") == "zgc"), G.number(F.regexp_extract("line", G.GC_ID, 1))))
-    last = rows.where("ends").groupBy("path", "host", "gc_id").agg(F.max(F.struct("split", "pos")).alias("last"))
-    marked = rows.alias("r").join(last.alias("l"), (F.col("r.path") == F.col("l.path")) & (F.col("r.host") == F.col("l.host")) & F.col("r.gc_id").eqNullSafe(F.col("l.gc_id")), "left")
-    at = F.struct("r.split", "r.pos")
-    block = (F.col("r.family") == "g1") & ~F.col("r.unified")
-    needs = F.col("r.unified") & F.col("r.gc_id").isNotNull() | (F.col("r.family") == "zgc") & F.col("r.gc_id").isNotNull() | block
-    waits = F.coalesce(needs & F.when(block, F.col("last").isNull() | (at >= F.col("last"))).otherwise(F.col("last").isNull() | (at > F.col("last"))), F.lit(False))
-    cols = [F.col(f"r.{c}").alias(c) for c in lines.columns]
-    return marked.where(~waits).select(*cols), marked.where(waits).select(*cols)
+        """Run over a stream of lines (path, host, split, pos, line); trigger as in ``DataStreamWriter.trigger``. The query keeps its state in the RocksDB store; the session's own settings are left as they were. Timers run out in batches without data too, but not with a trigger that ends."""
+        # a trigger that ends would never do so with batches without data, which timers ask for
+        ends = bool({"availableNow", "once"} & set(trigger))
+        settings = {_STORE: "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.noDataMicroBatches.enabled": str(not ends).lower()}
+        before = {k: self.spark.conf.get(k) for k in settings}
+        try:
+            for k, v in settings.items():
+                self.spark.conf.set(k, v)
+            rows = follow(lines.select("path", "host", "split", "pos", "line"), self.idle_ms, self.memory, self.header_lines, self.max_header_line)
+            return rows.writeStream.outputMode("update").foreachBatch(self.batch).option("checkpointLocation", checkpoint).trigger(**trigger or {"processingTime": "1 second"}).start()
+        finally:
+            for k, v in before.items():
+                self.spark.conf.set(k, v)
+
+
+def _same(keys: list[str]):
+    out = F.lit(True)
+    for k in keys:
+        out = out & F.col(k).eqNullSafe(F.col(f"k_{k}"))
+    return out
 
 
 def stream_quantiles(observations: DataFrame, width: str = "60 seconds", step: str = "10 seconds", late: str = "1 minute", accuracy: int = 10_000) -> DataFrame:

@@ -2,6 +2,9 @@ import os
 import pathlib
 import time
 
+import numpy as np
+import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +13,11 @@ from heaplens.operators.events import parse_events
 from heaplens.operators.observations import observe
 from heaplens.sources.lines import read_lines
 from heaplens.sources.tail import TailReader, TailSource
-from heaplens.streaming.job import MetricJob, split_open, stream_quantiles
+from heaplens.operators.aggregate import merge_rings, ring_quantiles, ring_sketches
+from heaplens.operators.dialect import tell
+from heaplens.streaming.changes import ChangeLog
+from heaplens.streaming.files import waiting
+from heaplens.streaming.job import MetricJob, stream_quantiles
 
 FIXTURES = pathlib.Path(__file__).parent / "fixtures"
 
@@ -260,13 +267,65 @@ def test_quarantine_is_bounded(tmp_path):
     assert [os.path.basename(p) for p in reader.files()] == ["2.log", "3.log", "4.log"]
 
 
-def test_split_open(spark, tmp_path):
-    (tmp_path / "a.log").write_text("[0.1s][info][gc] Using G1\n[1.0s][info][gc] GC(0) Eden regions: 2->0(1)\n[1.1s][info][gc] GC(0) Pause Remark 1M->1M(2M) 1.000ms\n[2.0s][info][gc] GC(1) Eden regions: 3->0(1)\n")
-    (tmp_path / "b.log").write_text((FIXTURES / "g1-legacy.log").read_text())
-    lines = read_lines(spark, f"{tmp_path}/*.log")
-    ready, held = split_open(lines, diary(lines))
-    assert sorted(r.line.strip()[:24] for r in held.where("path LIKE '%a.log'").collect()) == ["[2.0s][info][gc] GC(1) E"]
-    assert held.where("path LIKE '%b.log'").count() == 3 and ready.where("path LIKE '%a.log'").count() == 3
+def test_waiting_lines():
+    """Lines of an event wait for its last line; those of a legacy G1 log wait from the last head on; other lines don't wait."""
+    lines = ["[0.1s][info][gc] Using G1", "[1.0s][info][gc] GC(0) Eden regions: 2->0(1)", "[1.1s][info][gc] GC(0) Pause Remark 1M->1M(2M) 1.000ms", "[1.2s][info][gc] GC(0) after", "[2.0s][info][gc] GC(1) Eden regions: 3->0(1)"]
+    assert waiting(lines, True, "g1") == [False, False, False, True, True] == waiting(lines, True, "classic")
+    assert waiting(["[1s] GC(3) Load: 1/2/3", "[2s] GC(3) Garbage Collection (Timer) 10M(1%)->5M(1%)", "[3s] GC(4) Load: 1/2/3"], True, "zgc") == [False, False, True]
+    legacy = (FIXTURES / "g1-legacy.log").read_text().splitlines()
+    waits = waiting(legacy, False, "g1")
+    assert waits == sorted(waits) and waits[-1] and not waits[0]
+    assert waiting(["no head at all"], False, "g1") == [True] and waiting(["a", "b"], False, "classic") == [False, False] and waiting([], True, "g1") == []
+
+
+def test_tell_agrees_with_the_diary(spark):
+    known = {r.path.rsplit("/", 1)[1]: (r.unified, r.collector, r.family, r.region_kib) for r in diary(read_lines(spark, f"{FIXTURES}/*.log")).collect()}
+    own = {p.name: tell(p.read_text().splitlines()[:512]) for p in FIXTURES.glob("*.log")}
+    assert known == {name: told for name, told in own.items() if told} and len(known) > 5
+    assert tell([]) is None and tell(["", "  "]) is None and tell(["Using G1", "x" * 1025]) is None and tell(["nothing"]) is None
+
+
+def rows_written(folder, epoch):
+    return sum(pq.read_metadata(p).num_rows for p in pathlib.Path(folder, f"changes={epoch}").glob("*.parquet"))
+
+
+def test_change_log(spark, tmp_path):
+    """An epoch writes the rows that it changes; one that is run again gives the same; snapshots let old folders go."""
+    log = ChangeLog(spark, f"file://{tmp_path}/t", ["k"], "k string, v bigint", every=3)
+    rows = lambda *kv: spark.createDataFrame(list(kv), "k string, v bigint")
+    now = lambda e: {r.k: r.v for r in log.as_of(e).collect()}
+    assert now(5) == {}
+    log.write(rows(*[(f"k{i}", i) for i in range(50)], (None, -1)), None, 0)
+    for _ in range(2):
+        assert {r.k: r.v for r in log.write(rows(("k1", 100)), rows(("k2", 0)), 1).collect()} == {f"k{i}": 100 if i == 1 else i for i in range(50) if i != 2} | {None: -1}
+    assert rows_written(f"{tmp_path}/t", 1) == 2 and len(now(0)) == 51
+    log.write(rows(("k2", 7)), None, 2)
+    want = now(2)
+    assert want["k2"] == 7
+    for e in (3, 4, 5, 6):
+        log.write(rows(("new", e)), None, e)
+    assert now(6) == want | {"new": 6} and now(5) == want | {"new": 5}
+    assert log.folders() == [("changes", e) for e in (4, 5, 6)] + [("snapshot", 3), ("snapshot", 6)]
+
+
+def test_ring_of_sketches(spark):
+    """Quantiles from the ring are within 0.05 of the rank asked for, however many values come and in how many batches; a sketch doesn't grow with them."""
+    rng = np.random.default_rng(3)
+    values = rng.exponential(size=60_000)
+    obs = spark.createDataFrame(pd.DataFrame({"name": "m", "path": "p", "host": "h", "value": values, "at": np.arange(60_000) // 1000}))
+    ts = F.timestamp_seconds(F.lit(1_000_000_000).cast("bigint") + F.col("at"))
+    ring = ring_sketches(obs, ts)
+    parts = [ring_sketches(obs.where(F.col("at") % 7 == k), ts) for k in range(7)]
+    merged = parts[0]
+    for part in parts[1:]:
+        merged = merge_rings(merged, part)
+    for sketches in (ring, merged):
+        got = {r.quantile: r.value for r in ring_quantiles(sketches, F.timestamp_seconds(F.lit(1_000_000_059))).collect()}
+        assert got["0.0"] == values.min() and got["1.0"] == values.max()
+        assert all(abs((values <= got[str(q)]).mean() - q) <= 0.05 for q in (0.5, 0.75))
+        late = {r.quantile: r.value for r in ring_quantiles(sketches, F.timestamp_seconds(F.lit(1_000_000_080))).collect()}
+        assert late["1.0"] == values[-30_000:].max()  # what is older than a minute has left in steps of ten seconds
+    assert ring.agg(F.max(F.octet_length("sketch"))).first()[0] < 8192 and ring_quantiles(ring, F.timestamp_seconds(F.lit(1_000_000_500))).count() == 0
 
 
 def test_job(spark, tmp_path):
@@ -293,21 +352,43 @@ def test_job(spark, tmp_path):
 
 
 def test_job_forgets_idle_files(spark, tmp_path):
-    """All series of an idle file go; its dialect is known when it grows again; tables of old epochs are deleted."""
-    clock, pages = [1_700_000_000.0], {}
-    job = MetricJob(spark, f"file://{tmp_path}/state", idle_ms=3_600_000, host="h", publish=lambda epoch, s: pages.update({epoch: {(r["name"], r["labels"].get("path")) for r in s.collect()}}), clock=lambda: clock[0])
+    """All series of an idle file go when its timer runs out; its dialect is known when it grows again. A batch writes the series that it touches and no others, and files are dealt to several tasks."""
     text = (FIXTURES / "serial.log").read_text().splitlines()
-    rows = lambda path, part: spark.createDataFrame([(path, "h", 0, k, x) for k, x in enumerate(part)], "path string, host string, split long, pos long, line string")
-    job.batch(rows("a", text).unionByName(rows("b", text)), 0)
-    assert {p for _, p in pages[0]} == {"a", "b", None} and ("gc_event_last_minute_duration_seconds", "a") in pages[0]
-    clock[0] += 7200
-    job.batch(rows("b", text[1:]), 1)
-    assert {p for _, p in pages[1]} == {"b", None}
-    clock[0] += 60
-    job.batch(rows("a", text[1:2]), 2)
-    assert {p for _, p in pages[2]} == {"a", "b", None} and ("gc_log_lines_total", "a") in pages[2]
-    assert sorted(p.name for p in (tmp_path / "state" / "state").iterdir()) == ["epoch=1", "epoch=2"]
-    assert {r.path: r.n for r in job.state().where("name = 'event_last_minute_duration_seconds'").collect()} == {"a": 1, "b": 6}
+    schema = "path string, host string, split long, pos long, line string"
+
+    def feeder(name, **options):
+        pages, folder = {}, tmp_path / name
+        (folder / "in").mkdir(parents=True)
+        job = MetricJob(spark, f"file://{folder}/state", host="h", publish=lambda epoch, s: pages.update({epoch: {(r["name"], r["labels"].get("path")): r["value"] for r in s.collect()}}), **options)
+        stream = spark.readStream.schema(schema).parquet(f"{folder}/in")
+
+        def feed(*parts):
+            rows = [(path, "h", 0, k, x) for path, part in parts for k, x in enumerate(part)]
+            spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{folder}/in")
+            query = job.start(stream, f"file://{folder}/checkpoint", availableNow=True)
+            assert query.awaitTermination(120)
+            if query.exception():
+                raise query.exception()
+            return pages[max(pages)]
+
+        return job, folder, feed
+
+    job, folder, feed = feeder("steady")
+    page = feed(*[(p, text) for p in "abcdef"])
+    assert {p for _, p in page} == {*"abcdef", None} and ("gc_event_last_minute_duration_seconds", "a") in page
+    first = rows_written(folder / "state" / "series", job.last_epoch)
+    assert len([p for p in pathlib.Path(folder, "checkpoint", "state", "0").iterdir() if p.name.isdigit()]) >= 4  # a store for each task
+    page = feed(("b", text[1:]))
+    assert 0 < rows_written(folder / "state" / "series", job.last_epoch) <= first / 6 and page["gc_log_lines_total", "b"] == 2 * len(text) - 1
+    assert {p for _, p in page} == {*"abcdef", None} and len(list((folder / "state" / "batches").iterdir())) == 2
+    # here each batch finds the files of the batch before idle
+    job, folder, feed = feeder("hasty", idle_ms=1, memory=10**9)
+    feed(*[(p, text) for p in "abc"])
+    page = feed(("b", text[1:]))
+    assert {p for _, p in page} == {"b", None} and page["gc_log_lines_total", "b"] == len(text) - 1  # b was idle as well, and begins anew
+    page = feed(("a", text[1:2]))
+    assert {p for _, p in page} == {"a", None} and page["gc_log_lines_total", "a"] == 1
+    assert {r.path: r.n for r in job.state().where("name = 'event_last_minute_duration_seconds'").collect()} == {"a": 1}
 
 
 def test_stream_quantiles(spark, tmp_path):
