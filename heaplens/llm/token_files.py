@@ -25,7 +25,7 @@ _MARKS = ".,;:!?"
 
 def _spaced(text: str) -> bool:
     """Whether a text has a space at either end or beside other white space."""
-    if _OTHER_SPACE(text):
+    if any(c in text for c in "\t\r\x0b\x0c\x1c\x1d\x1e\x1f") if text.isascii() else _OTHER_SPACE(text):
         return _SPACED(text) is not None
     return "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " "
 
@@ -211,7 +211,7 @@ def write_tokens(
                 yield pa.RecordBatch.from_arrays(columns, names=["part", "doc_id", "offset", "n_tokens", "ids"])
 
     tokens = rows.select("doc_id", "text").mapInArrow(encode, f"part bigint, doc_id {id_type}, offset bigint, n_tokens bigint, ids array<int>")
-    orc = {"orc.stripe.size": stripe_bytes, "orc.row.index.stride": index_rows, "orc.create.index": "true", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": bloom_fpp}
+    orc = {"orc.stripe.size": stripe_bytes, "orc.row.index.stride": index_rows, "orc.create.index": "true", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": bloom_fpp, "orc.compress": "LZ4"}  # packed integers leave little for a slower codec
     tokens.write.options(**orc).orc(f"{folder}/files")
     parts = spark.read.orc(f"{folder}/files").groupBy("part").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     # running sums over one row for each part: pairs of parts, a number each
