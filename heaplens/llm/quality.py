@@ -130,13 +130,13 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 32, gate: int
 
 
 def train_quality(
-    docs: DataFrame, labels: DataFrame, max_train: int = 8000, max_passages: int = 128, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", words_each: int = 48,
+    docs: DataFrame, labels: DataFrame, max_train: int = 8000, max_passages: int = 400_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", words_each: int = 48,
 ) -> Model:
     """Fits the model on at most ``max_train`` labelled documents (those with the smallest hashes of the id), never on held-out ones.
 
     Held out are ids whose crc32 (of the id as text) leaves 2 when divided by 4. Null labels and labels of unknown ids are passed over; without
-    labels of both kinds every score is the mean label (0.5 without any). Rows that repeat an id count on their own, up to ``max_train`` in all. A
-    document of more than ``max_passages`` passages is learned from that many of them, evenly spread over its whole text; scoring takes all. Features are made
+    labels of both kinds every score is the mean label (0.5 without any). Rows that repeat an id count on their own, up to ``max_train`` in all. Documents are learned from whole; of those chosen, the
+    first (by hash) with up to ``max_passages`` passages together are, and one at least, so what one task holds is bounded however long texts are. Features are made
     on all executors; one task learns from these bounded rows, and only the weights come to the driver.
     """
     bounded_batches(docs.sparkSession)
@@ -147,17 +147,18 @@ def train_quality(
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             bags = [passages(t, words_each) for t in pdf["text"]]
-            bags = [b[np.linspace(0, len(b) - 1, max_passages).astype(int)] if len(b) > max_passages else b for b in bags]
             yield pd.DataFrame({"id": pdf["id"], "y": pdf["y"], "x": pd.Series([b.tobytes() for b in bags], dtype=object)})
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got = pd.concat([pd.DataFrame({"id": [], "y": [], "x": []}), *batches]).sort_values(["id", "y", "x"])
+        got = pd.concat([pd.DataFrame({"h": [], "id": [], "y": [], "x": []}), *batches]).sort_values(["h", "id", "y", "x"])
+        held = np.cumsum([len(x) // (4 * FEATURES) for x in got["x"]])
+        got = got[(held <= max_passages) | (np.arange(len(got)) == 0)].sort_values(["id", "y", "x"])
         model = fit([np.frombuffer(x, np.float32).reshape(-1, FEATURES) for x in got["x"]], got["y"].to_numpy(float))
         yield pd.DataFrame({"model": [pickle.dumps(model)]})
 
     encoded = rows.mapInPandas(encode, "id bigint, y double, x binary")
     # as many rows as are learned from at most, which one task takes
-    bounded = encoded.orderBy(F.xxhash64("id", "y"), "x").limit(max_train)
+    bounded = encoded.withColumn("h", F.xxhash64("id", "y")).orderBy("h", "x").limit(max_train)
     return pickle.loads(bounded.repartition(1).mapInPandas(learn, "model binary").first()["model"])
 
 

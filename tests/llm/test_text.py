@@ -76,6 +76,29 @@ def test_html_rules():
     assert html.blocks(None) == [] and html.blocks("plain & <b>text") == [(html.OTHER, "plain & text")]
 
 
+@pytest.mark.parametrize("named, within, around", [
+    ("ad", True, True), ("site-footer", False, True), ("ad-slot", False, True), ("comment_list", False, True), ("nav main-nav", False, True), ("related-work", True, False), ("related-work", False, False), ("side note", True, False),
+    ("header-note", True, False), ("header-note", False, False), ("share-count", True, False), ("banner-story", False, False), ("banner", True, False), ("banner", False, True), ("sidebar", True, True), ("newsletter-box", True, False), ("", True, False),
+])
+def test_html_class_words(named, within, around):
+    assert html.names_chrome(named, within) == around
+
+
+def test_html_parts_of_articles_stay():
+    page = "<main><h1>T</h1>" + "".join(f'<div class="{c}"><p>{c} stays</p></div>' for c in ("related-work", "side note", "header-note", "share-count", "banner-story")) + '<div class="ad">goes</div><div class="comments">goes</div></main>'
+    assert [t for r, t in html.blocks(page) if r == html.ARTICLE] == ["T", "related-work stays", "side note stays", "header-note stays", "share-count stays", "banner-story stays"]
+
+
+def test_html_repeated_pages(spark):
+    """A page that is there several times is one page: what it has alone stays, however often the row is repeated, and what three different pages have goes."""
+    own = lambda k: f"<div><p>words of page number {k} that no other page of this host has at all</p></div>"
+    shared = "<div><p>the same long line of text on every page of this very host</p></div>"
+    rows = [(1, "http://a/1", own(1))] * 3 + [(2, "http://a/2", own(2) + shared)] * 2 + [(3, "http://a/3", own(3) + shared), (4, "http://a/4", own(4) + shared), (5, "http://b/1", own(1))]
+    for keys in (1 << 21, -1):
+        got = html.extract_html(spark.createDataFrame(rows, "page_id long, url string, html string"), table_keys=keys).collect()
+        assert sorted((r.page_id, r.text) for r in got) == sorted((i, f"words of page number {1 if i == 5 else i} that no other page of this host has at all") for i, *_ in rows)
+
+
 def test_html_host(spark):
     shell = "<body><div>Welcome to our site it has many nice pages for you</div><p>{}</p><div>Contact us by mail or by phone at any time of day</div>"
     rows = [(k, "http://h.example/" + str(k), shell.format(f"Story number {k} tells of item{k} and thing{k} only"), "x") for k in range(6)]
