@@ -61,7 +61,7 @@ def _first(label: Column, rules, otherwise: str) -> Column:
     out = None
     for pattern, name in rules:
         out = F.when(label.rlike(pattern), name) if out is None else out.when(label.rlike(pattern), name)
-    return out.otherwise(otherwise)
+    return F.lit(otherwise) if out is None else out.otherwise(otherwise)
 
 
 def classic_category(label: Column) -> Column:
@@ -78,7 +78,10 @@ def zgc_category(cause: Column) -> Column:
 
 def category(family: Column, label: Column, families: tuple[str, ...] = ("g1", "zgc", "classic")) -> Column:
     """Category by family (classic, g1, zgc) and label; null for another family. ``families`` plans the rules of some only."""
+    from ..registry import DIALECTS
+
     rules = {"g1": g1_category, "zgc": zgc_category, "classic": classic_category}
+    rules |= {d.name: lambda label, d=d: _first(label, d.categories, d.otherwise) for d in DIALECTS.values()}
     out = F.lit(None).cast("string")
     for name in families:
         out = F.when(family == name, rules[name](label)).otherwise(out)
@@ -87,5 +90,9 @@ def category(family: Column, label: Column, families: tuple[str, ...] = ("g1", "
 
 def is_pause(family: Column, label: Column) -> Column:
     """Concurrent phases aren't pauses; every cycle of the Z collector has its share of pause."""
+    from ..registry import DIALECTS
+
     concurrent = label.rlike(r"^Concurrent |^CMS-concurrent-|^GC concurrent-") & ~label.rlike("concurrent mode")
+    for d in DIALECTS.values():
+        concurrent = F.when(family == d.name, label.rlike(d.concurrent) if d.concurrent else F.lit(False)).otherwise(concurrent)
     return F.when(family == "zgc", True).otherwise(~concurrent)

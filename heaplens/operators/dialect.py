@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import grammar as G
+from ..registry import DIALECTS
 
 
 def head_lines(lines: DataFrame, count: int = 512) -> DataFrame:
@@ -27,15 +28,17 @@ def diary(lines: DataFrame, count: int = 512, max_line: int = 1024) -> DataFrame
     head = head_lines(lines, count)
     any_of = lambda pattern: F.max(F.col("line").rlike(pattern))
     signals = head.groupBy("path", "host").agg(
-        any_of(G.UNIFIED).alias("unified"), *[any_of(p).alias(k) for k, p in G.SIGNALS.items()],
+        any_of(G.UNIFIED).alias("unified"), *[any_of(p).alias(k) for k, p in G.SIGNALS.items()], *[any_of(d.signal).alias(f"added_{d.name}") for d in DIALECTS.values()],
         F.max(G.number(F.coalesce(F.nullif(F.regexp_extract("line", G.REGION_SIZE, 1), F.lit("")), F.regexp_extract("line", G.REGION_SIZE, 2)))).alias("region_mb"),
         F.max(F.length("line")).alias("longest"),
     )
     collector = (
         F.when(F.col("g1"), "g1").when(F.col("zgc"), "zgc").when(F.col("cms") | F.col("parnew"), "cms").when(F.col("defnew") | F.col("serial_full"), "serial").when(F.col("parallel"), "parallel")
     )
+    for d in DIALECTS.values():
+        collector = collector.when(F.col(f"added_{d.name}"), d.name)
     signals = signals.where(F.col("longest") <= max_line).withColumn("collector", collector).where("collector IS NOT NULL")
-    family = F.when(F.col("collector").isin("g1", "zgc"), F.col("collector")).otherwise("classic")
+    family = F.when(F.col("collector").isin("g1", "zgc", *DIALECTS), F.col("collector")).otherwise("classic")
     return signals.select("path", "host", "unified", "collector", family.alias("family"), (F.col("region_mb") * 1024).alias("region_kib"))
 
 
@@ -43,16 +46,16 @@ _UNIFIED, _REGION = re.compile(G.UNIFIED, re.ASCII), re.compile(G.REGION_SIZE, r
 _SIGNALS = {name: re.compile(pattern, re.ASCII) for name, pattern in G.SIGNALS.items()}
 
 
-def tell(head: Sequence[str], max_line: int = 1024) -> tuple[bool, str, str, int | None] | None:
-    """The diary of one file from its first lines: (unified, collector, family, region_kib), or None if it is unsupported; the rules of ``diary``, for code that has one file's lines at hand."""
+def tell(head: Sequence[str], max_line: int = 1024, added: Sequence[tuple[str, str]] = ()) -> tuple[bool, str, str, int | None] | None:
+    """The diary of one file from its first lines: (unified, collector, family, region_kib), or None if it is unsupported; ``added`` has name and signal of dialects that a user has added; the rules of ``diary``, for code that has one file's lines at hand."""
     head = [x for x in head if x.strip(" ")]
     if not head or max(map(len, head)) > max_line:
         return None
     has = {name: any(map(signal.search, head)) for name, signal in _SIGNALS.items()}
-    rules = (("g1", has["g1"]), ("zgc", has["zgc"]), ("cms", has["cms"] or has["parnew"]), ("serial", has["defnew"] or has["serial_full"]), ("parallel", has["parallel"]))
+    rules = (("g1", has["g1"]), ("zgc", has["zgc"]), ("cms", has["cms"] or has["parnew"]), ("serial", has["defnew"] or has["serial_full"]), ("parallel", has["parallel"]), *((name, any(re.search(signal, x, re.ASCII) for x in head)) for name, signal in added))
     collector = next((name for name, fits in rules if fits), None)
     if collector is None:
         return None
     sizes = [int(m[1] or m[2]) for m in map(_REGION.search, head) if m]
-    family = collector if collector in ("g1", "zgc") else "classic"
+    family = collector if collector in ("g1", "zgc", *(name for name, _ in added)) else "classic"
     return any(map(_UNIFIED.search, head)), collector, family, max(sizes) * 1024 if sizes else None

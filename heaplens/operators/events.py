@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import grammar as G
 from ..functions.category import category, is_pause
+from ..registry import DIALECTS
 from ..plans.catalog import MMU_MS, ZGC_PHASES
 
 POOL = "struct<occ_before:bigint,size_before:bigint,occ_after:bigint,size_after:bigint>"
@@ -237,7 +238,7 @@ BRANCHES = {(True, "g1"): unified, (True, "classic"): unified, (True, "zgc"): zg
 
 
 def dialects(diaries: DataFrame) -> list[tuple[bool, str]]:
-    """The dialects present, six at most."""
+    """The dialects present: six at most, and those that were added."""
     return sorted((row.unified, row.family) for row in diaries.select("unified", "family").distinct().collect())
 
 
@@ -245,7 +246,7 @@ def dialects(diaries: DataFrame) -> list[tuple[bool, str]]:
 BROADCAST_FILES = 10_000
 
 
-def _bounded(diaries: DataFrame) -> DataFrame:
+def bounded_diary(diaries: DataFrame) -> DataFrame:
     """The diary, told once; broadcast if it has at most ``BROADCAST_FILES`` rows, so that lines needn't be shuffled by file."""
     rows = diaries.limit(BROADCAST_FILES + 1).collect()
     return F.broadcast(diaries.sparkSession.createDataFrame(rows, diaries.schema)) if len(rows) <= BROADCAST_FILES else diaries
@@ -258,7 +259,7 @@ def parse_events(lines: DataFrame, diaries: DataFrame, only: list[tuple[bool, st
     calls Python, and a line that no pattern fits yields nothing and stops nothing. ``only`` plans the branches of some dialects, as from
     ``dialects``; lines of other dialects then go too.
     """
-    return parse_known(lines.join(_bounded(diaries.select("path", "host", *DIALECT)), ["path", "host"]), only)
+    return parse_known(lines.join(bounded_diary(diaries.select("path", "host", *DIALECT)), ["path", "host"]), only)
 
 
 #: What the diary tells of a file, beside its path and host.
@@ -267,9 +268,13 @@ DIALECT = ("unified", "collector", "family", "region_kib")
 
 def parse_known(known: DataFrame, only: list[tuple[bool, str]] | None = None) -> DataFrame:
     """As ``parse_events``, for lines that have the columns of their file's dialect with them."""
+    branches = dict(BRANCHES)
+    for d in DIALECTS.values():
+        own = lambda lines, d=d: _finish(d.parse(lines), d.name)
+        branches |= {(True, d.name): own, (False, d.name): own}
     wanted: dict = {}
-    for key in BRANCHES if only is None else only:
-        wanted.setdefault(BRANCHES[key], []).append(key)
+    for key in branches if only is None else only:
+        wanted.setdefault(branches[key], []).append(key)
     out = None
     for branch, keys in wanted.items():
         test = " OR ".join(f"({'' if u else 'NOT '}unified AND family = '{f}')" for u, f in keys)

@@ -13,7 +13,7 @@ def observe(events: DataFrame, strict_zgc: bool = False, names: set[str] | None
 
     Families without a value for an event (a missing pool, a negative count, a time of zero) have no row.
     """
-    chosen = [f for f in families(strict_zgc) if (f.classic or f.g1 or f.zgc) and (names is None or f.name in names)]
+    chosen = [f for f in families(strict_zgc) if (f.classic or f.g1 or f.zgc or f.others) and (names is None or f.name in names)]
     pairs = F.array(*[F.struct(F.lit(prefix + f.name).alias("name"), F.lit("category" in f.labels).alias("by_category"), value(f).alias("value")) for f in chosen])
     rows = events.select("path", "host", "category", "split", "pos", "ts", F.explode(F.filter(pairs, lambda x: x["value"].isNotNull())).alias("o"))
     return rows.select("o.name", "path", "host", F.when(F.col("o.by_category"), F.col("category")).alias("category"), "split", "pos", "ts", "o.value")

@@ -20,6 +20,7 @@ class Family:
     zgc: str | None = None
     pause_only: bool = False
     quantiles: bool = False
+    others: tuple[tuple[str, str], ...] = ()  # (dialect, SQL) of dialects that a user has added
 
     @property
     def help(self) -> str:
@@ -145,14 +146,18 @@ def families(strict_zgc: bool = False) -> list[Family]:
             out.append(Family(f"zgc_{kind}_{at}_bytes", "gauge", zgc=_bytes(f"zgc.{kind}.{at}")))
     for part in ("used", "committed", "reserved"):
         out.append(Family(f"zgc_metaspace_{part}_bytes", "gauge", zgc=_bytes(f"zgc.metaspace.{part}")))
-    return out
+    return out + ADDED
+
+
+#: Families that a user has added (see ``registry``).
+ADDED: list[Family] = []
 
 
 def value(family: Family) -> Column:
     """The observation of a family for one event, null if there is none."""
     out = None
-    for source in ("classic", "g1", "zgc"):
-        if expr := getattr(family, source):
+    for source, expr in (("classic", family.classic), ("g1", family.g1), ("zgc", family.zgc), *family.others):
+        if expr:
             test = (F.col("family") == source) & (F.col("is_pause") if family.pause_only else F.lit(True))
             x = F.expr(expr).cast("double")
             out = F.when(test, x) if out is None else out.when(test, x)

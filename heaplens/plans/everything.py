@@ -11,9 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import aggregate as A
+from ..operators import exposition
 from ..operators.dialect import diary
 from ..operators.events import parse_events
 from ..operators.observations import observe
+from ..operators.rejects import outcomes, parse_with_rejects
 from ..sources.lines import admit, list_files, match_names, probe_files, quarantined, read_heads, read_lines
 from . import synth
 from .catalog import MMU_MS, ZGC_PHASES
@@ -407,3 +409,43 @@ def sketch_quantiles_hop(spark, sf_dir):
     ranks = ends.join(got, ["path", "window_end"]).groupBy("path", "window_end").agg(*[F.struct(F.avg((F.col("value") < F.col(q)).cast("double")).alias("below"), F.avg((F.col("value") <= F.col(q)).cast("double")).alias("up_to")).alias(f"r{q}") for q in ("q50", "q75")])
     close = lambda q, rank: (F.col(f"r{q}.below") <= rank + 0.05) & (F.col(f"r{q}.up_to") >= rank - 0.05)
     return got.join(ranks, ["path", "window_end"]).select(_user(), F.col("window_end").cast("bigint").alias("window_end"), "n", "q0", "q100", (close("q50", 0.5) & close("q75", 0.75)).alias("close"))
+
+
+# Lines by what became of them
+
+
+@query("""SELECT user_id, 'taken' AS outcome, NULL::VARCHAR AS reason, count(*) FILTER (event_id % 4 <> 0 AND user_id % 6 < 5) AS n FROM events GROUP BY user_id HAVING n > 0
+UNION ALL SELECT user_id, 'rejected', 'no rule', count(*) FILTER (event_id % 4 = 0 AND event_id % 8 <> 0) + 1 FROM events WHERE user_id % 6 < 5 GROUP BY user_id
+UNION ALL SELECT user_id, 'rejected', 'unsupported file', count(*) FILTER (event_id % 8 <> 0) AS n FROM events WHERE user_id % 6 = 5 GROUP BY user_id HAVING n > 0
+UNION ALL SELECT user_id, 'blank', NULL, count(*) FILTER (event_id % 8 = 0) AS n FROM events GROUP BY user_id HAVING n > 0""")
+def line_outcomes(spark, sf_dir):
+    """Each line is taken, blank or rejected for a reason: of each file every fourth line is cut in the middle, every eighth is blank, and every sixth file is of no known dialect."""
+    lines = synth.legacy_parallel(synth.events_table(spark, sf_dir))
+    k = F.when(F.col("pos") >= 0, F.col("pos") / 100)
+    user = F.regexp_extract("path", r"-(\d+)/", 1).cast("bigint")
+    line = F.when(k % 8 == 0, "  ").when(user % 6 == 5, F.concat(F.lit("request "), F.substring("line", 1, 20))).when(k % 4 == 0, F.substring("line", 1, 70)).otherwise(F.col("line"))
+    lines = lines.where((user % 6 != 5) | (F.col("pos") >= 0)).withColumn("line", line)
+    return outcomes(lines, diary(lines)).groupBy(_user(), "outcome", "reason").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT count(*) FILTER (event_id % 4 <> 0) AS events, count(*) FILTER (event_id % 4 = 0) + count(DISTINCT user_id) AS rejects, count(*) + count(DISTINCT user_id) AS lines FROM events""")
+def events_and_rejects(spark, sf_dir):
+    """One call gives both the events and the lines that no rule took; together they are all lines."""
+    lines = synth.legacy_parallel(synth.events_table(spark, sf_dir))
+    lines = lines.withColumn("line", F.when((F.col("pos") >= 0) & (F.col("pos") / 100 % 4 == 0), F.substring("line", 1, 70)).otherwise(F.col("line")))
+    events, rejects = parse_with_rejects(lines, diary(lines), [(False, "classic")])
+    told = [events.select(F.lit("events").alias("what")), rejects.select(F.lit("rejects").alias("what")), lines.select(F.lit("lines").alias("what"))]
+    counted = told[0].unionByName(told[1]).unionByName(told[2])
+    return counted.agg(*[F.count_if(F.col("what") == w).alias(w) for w in ("events", "rejects", "lines")])
+
+
+# The page in OpenMetrics
+
+
+@query("""WITH l AS (SELECT user_id, 2 + sum(CASE WHEN event_type = 'signup' THEN 2 ELSE 7 END) AS n FROM events GROUP BY user_id)
+SELECT 'gc_log_lines_total' AS family, 'gc_log_lines_total{host="localhost",path="/var/log/app-' || user_id || '/gc.log"} ' || n || '.0' AS line FROM l
+UNION ALL SELECT 'gc_log_lines_total', '# TYPE gc_log_lines counter' UNION ALL SELECT 'gc_log_lines_total', '# HELP gc_log_lines gc log lines' UNION ALL SELECT '', '# EOF'""")
+def openmetrics_page(spark, sf_dir):
+    lines = synth.unified_g1(synth.events_table(spark, sf_dir))
+    none = spark.createDataFrame([], "name string, path string, host string, category string, n bigint, total double, last double, split bigint, pos bigint")
+    return exposition.render(A.samples(none, lines), openmetrics=True)

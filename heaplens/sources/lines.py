@@ -40,7 +40,7 @@ def list_files(spark: SparkSession, patterns: list[str] | str) -> DataFrame:
     """path, length, modified of all files that match any of the glob patterns (see ``Glob``), each file once. Contents are not read.
 
     Patterns may overlap or repeat, and links may lead to a file on several ways: local files are told apart by their canonical path, and of several paths the one that is no link, else the smallest, stays. Local paths have no scheme,
-    others are as Spark writes them. Spark lists what is below each pattern's first ``**``, and names that begin with ``_`` or ``.`` are hidden from it.
+    others are as Spark writes them. Spark lists what is below each pattern's first ``**``, names that begin with ``_`` or ``.`` are hidden from it, and empty files, which have no lines, aren't listed.
     """
     globs = [Glob(p) for p in ([patterns] if isinstance(patterns, str) else patterns)]
     if not globs:

@@ -12,6 +12,7 @@ from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValu
 
 from ..functions import grammar as G
 from ..operators.dialect import tell
+from ..registry import DIALECTS
 
 #: kind is "line" (a line that can be parsed, with its file's dialect), "file" (what a batch had of a file: n lines) or "closed" (a file has become idle).
 SCHEMA = "kind string, path string, host string, split bigint, pos bigint, line string, unified boolean, collector string, family string, region_kib bigint, n bigint, at_ms bigint"
@@ -45,8 +46,8 @@ class FileState(StatefulProcessor):
     batch, which its log keeps, so a batch that is run again gives the same rows. What one key holds at a time is what a trigger admits of a file.
     """
 
-    def __init__(self, idle_ms: int, memory: int, header_lines: int, max_header_line: int) -> None:
-        self.idle_ms, self.memory, self.header_lines, self.max_header_line = idle_ms, memory, header_lines, max_header_line
+    def __init__(self, idle_ms: int, memory: int, header_lines: int, max_header_line: int, added: tuple[tuple[str, str], ...] = ()) -> None:
+        self.idle_ms, self.memory, self.header_lines, self.max_header_line, self.added = idle_ms, memory, header_lines, max_header_line, added
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -65,7 +66,7 @@ class FileState(StatefulProcessor):
         self.handle.registerTimer(now + self.idle_ms)
         self.timer.update((now + self.idle_ms,))
         new = sorted((r for pdf in rows for r in zip(pdf["split"].tolist(), pdf["pos"].tolist(), pdf["line"].tolist())), key=lambda r: r[:2])
-        dialect = tuple(self.dialect.get()) if self.dialect.exists() else tell([r[2] for r in new[: self.header_lines]], self.max_header_line)
+        dialect = tuple(self.dialect.get()) if self.dialect.exists() else tell([r[2] for r in new[: self.header_lines]], self.max_header_line, self.added)
         yield self.rows(key, now, [("file", None, None, None)], dialect, len(new))
         if dialect is None:
             return
@@ -102,5 +103,5 @@ class FileState(StatefulProcessor):
 
 def follow(lines: DataFrame, idle_ms: int = 3_600_000, memory: int = 24, header_lines: int = 512, max_header_line: int = 1024) -> DataFrame:
     """A stream of lines (path, host, split, pos, line) as a stream of ``SCHEMA``, by ``FileState``; files are dealt to all tasks. Needs the RocksDB state store."""
-    state = FileState(idle_ms, memory, header_lines, max_header_line)
+    state = FileState(idle_ms, memory, header_lines, max_header_line, tuple((d.name, d.signal) for d in DIALECTS.values()))
     return lines.groupBy("path", "host").transformWithStateInPandas(state, SCHEMA, outputMode="Update", timeMode="ProcessingTime")
