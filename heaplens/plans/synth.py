@@ -12,8 +12,10 @@ HOST = "localhost"
 
 
 def events_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return rows.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
+    """The columns that lines are made of. A row becomes up to thirty lines, so rows of fewer files than there are cores are first dealt to all of them."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def path(kind: str = "app") -> Column:

@@ -102,8 +102,7 @@ def test_heads_and_outcomes_of_files(spark, tmp_path):
     (tmp_path / "empty.log").write_text("")
     with gzip.open(tmp_path / "ok.log.gz", "wt") as f:
         f.write("packed\n")
-    whole = gzip.compress(b"x" * 100_000)
-    (tmp_path / "cut.log.gz").write_bytes(whole[: len(whole) // 2])
+    (tmp_path / "cut.log.gz").write_bytes(gzip.compress(b"line\n" * 50)[:-10])
     (tmp_path / "not.log.gz").write_text("no compression here")
     files = list_files(spark, f"{tmp_path}/*.log*")
     gone = files.limit(1).withColumn("path", F.lit(f"{tmp_path}/gone.log"))
