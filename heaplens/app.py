@@ -26,7 +26,7 @@ def start(spark: SparkSession, config: LogConfig, state: str, checkpoint: str, *
     spark.dataSource.register(TailSource)
     options = {
         "globs": ",".join(config.globs), "regexes": ",".join(config.regexes), "host": config.host, "linesPerSecond": 0 if config.lines_per_second >= 2**31 - 1 else config.lines_per_second, "idleTimeout": config.idle_timeout,
-        "watchInterval": config.watch_interval, "scanFilesPerSecond": config.scan_files_per_second, "batchLines": config.batch_size, "bufferBytes": config.buffer_size,
+        "watchInterval": config.watch_interval, "scanFilesPerSecond": config.scan_files_per_second, "batchLines": config.batch_size, "bufferBytes": config.buffer_size, "maxBytesPerTrigger": config.max_bytes_per_trigger, "newFileOffsets": config.new_file_offsets,
     }
     reader = spark.readStream.format("gclog_tail").options(**options)
     scrape = Scrape()

@@ -32,6 +32,7 @@ def host_name() -> str:
 class LogConfig:
     """globs and regexes may be lists or comma-separated text. Times are in milliseconds.
 
+    max_bytes_per_trigger is what a batch takes of one file, which one task holds; new_file_offsets says where files begin that come, or rotate, after the start: "earliest" (nothing is lost) or "latest".
     host labels the series (default: the machine's name); listen is where the page is served, as "host:port" or "port", and takes the place of ``port``.
     """
 
@@ -48,6 +49,8 @@ class LogConfig:
     watch_interval: int = 30_000
     read_interval: int = 1_000
     scan_files_per_second: int = 0
+    max_bytes_per_trigger: int = 64 << 20
+    new_file_offsets: str = "earliest"
     header_lines: int = 512
     max_header_line: int = 1024
     strict_zgc: bool = False
@@ -64,9 +67,11 @@ class LogConfig:
             raise ValueError("at least one pattern is needed")
         if not 1000 <= self.port <= 65535:
             raise ValueError("port must be from 1000 to 65535")
-        for name in ("idle_timeout", "batch_size", "buffer_size", "lines_per_second", "watch_interval", "read_interval", "header_lines", "max_header_line"):
+        for name in ("idle_timeout", "batch_size", "buffer_size", "lines_per_second", "watch_interval", "read_interval", "header_lines", "max_header_line", "max_bytes_per_trigger"):
             if getattr(self, name) <= 0:
                 raise ValueError(f"{name} must be positive")
+        if self.new_file_offsets not in ("earliest", "latest"):
+            raise ValueError("new_file_offsets must be earliest or latest")
         if self.scan_files_per_second < 0:
             raise ValueError("scan_files_per_second must not be negative")
         for pattern in self.regexes:

@@ -449,3 +449,27 @@ def openmetrics_page(spark, sf_dir):
     lines = synth.unified_g1(synth.events_table(spark, sf_dir))
     none = spark.createDataFrame([], "name string, path string, host string, category string, n bigint, total double, last double, split bigint, pos bigint")
     return exposition.render(A.samples(none, lines), openmetrics=True)
+
+
+# SQL views over files
+
+
+@query(f"""SELECT 'gc_startup_timestamp_seconds' AS name, 1::BIGINT AS n, true AS plausible UNION ALL SELECT 'gc_collect_files', count(DISTINCT user_id), true FROM events
+UNION ALL SELECT 'gc_log_lines_total', count(DISTINCT user_id), true FROM events UNION ALL SELECT 'gc_event_duration_seconds_count', count(DISTINCT (user_id, event_type)), true FROM events""")
+def sql_views_samples(spark, sf_dir):
+    """The views that SQL sees over real files, with the start time of the session that registered them."""
+    from ..sql import register
+
+    register(spark, f"{_written(spark, sf_dir)}/**.txt")
+    return spark.sql("""SELECT name, count(*) AS n, bool_and(name <> 'gc_startup_timestamp_seconds' OR abs(value - unix_timestamp()) < 3600) AS plausible FROM gc_samples
+        WHERE name IN ('gc_startup_timestamp_seconds', 'gc_collect_files', 'gc_log_lines_total', 'gc_event_duration_seconds_count') GROUP BY name""")
+
+
+@query("""SELECT user_id, category, count(*) AS n, round(max(value) / 1000, 6) AS longest FROM (
+SELECT user_id, value, CASE event_type WHEN 'click' THEN 'G1YoungGC' WHEN 'view' THEN 'G1Remark' WHEN 'purchase' THEN 'G1SystemGC' WHEN 'signup' THEN 'G1ConcurrentMark' ELSE 'G1MixedGC' END AS category FROM events) GROUP BY ALL""")
+def sql_views_events(spark, sf_dir):
+    """The table of events in SQL."""
+    from ..sql import register
+
+    register(spark, f"{_written(spark, sf_dir)}/even=*/third=*/user=*/part-*")
+    return spark.sql(r"SELECT CAST(regexp_extract(path, 'user=([0-9]+)/', 1) AS BIGINT) AS user_id, category, count(*) AS n, round(max(duration_s), 6) AS longest FROM gc_events GROUP BY ALL")

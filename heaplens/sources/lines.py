@@ -107,7 +107,7 @@ def read_lines(spark: SparkSession, patterns: list[str] | str, host: str = "loca
     return lines_of(spark, [r.path for r in files.select("path").collect()], host)
 
 
-def _head(path: str, count: int, max_line: int) -> list[str]:
+def _head(path: str, count: int, max_line: int, whole: bool = False) -> list[str]:
     """The first ``count`` lines of a local file, or those up to the first one of over ``max_line`` characters. Reads ``count`` times ``max_line`` characters at most, however large the file is."""
     opened = {".gz": gzip.open, ".bz2": bz2.open}.get(os.path.splitext(path)[1], open)
     lines: list[str] = []
@@ -116,14 +116,16 @@ def _head(path: str, count: int, max_line: int) -> list[str]:
             lines.append(line.removesuffix("\n"))
             if len(lines[-1]) > max_line:
                 break
+        while whole and opened is not open and f.read(1 << 20):
+            pass
     return lines
 
 
-def probe_files(files: DataFrame, host: str = "localhost", count: int = 512, max_line: int = 1024) -> DataFrame:
+def probe_files(files: DataFrame, host: str = "localhost", count: int = 512, max_line: int = 1024, whole: bool = False) -> DataFrame:
     """One row for each file of ``list_files``: path, host, length, modified, error, head.
 
     head has the first ``count`` lines, less what follows a line of over ``max_line`` characters, which comes as its first ``max_line`` + 1 or 2. Tasks read no more of a file than that. error tells why
-    a file can't be read (it is unreadable, gone, or its compression is broken); then head is null. Nothing stops the others. Only local files are opened; of others head is null without an error.
+    a file can't be read (it is unreadable, gone, or its compression is broken; with ``whole`` compressed files are read to their end to see that); then head is null. Nothing stops the others. Only local files are opened; of others head is null without an error.
     """
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -131,7 +133,7 @@ def probe_files(files: DataFrame, host: str = "localhost", count: int = 512, max
             rows = []
             for path in pdf["path"]:
                 try:
-                    rows.append((None, _head(path, count, max_line) if path.startswith("/") else None))
+                    rows.append((None, _head(path, count, max_line, whole) if path.startswith("/") else None))
                 except (OSError, EOFError, zlib.error) as error:
                     rows.append((f"{type(error).__name__}: {error}", None))
             yield pdf.assign(host=host, error=[r[0] for r in rows], head=[r[1] for r in rows])[["path", "host", "length", "modified", "error", "head"]]

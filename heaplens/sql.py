@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import SparkSession
 
 from .operators.aggregate import info_gauges, metric_state, samples
 from .operators.dialect import diary
 from .operators.events import dialects, parse_events
 from .operators.observations import observe
-from .sources.lines import read_lines
+from .operators.rejects import outcomes
+from .sources.lines import read_heads, read_lines
 
 
-def register(spark: SparkSession, patterns: list[str] | str, host: str = "localhost", strict_zgc: bool = False, prefix: str = "gc_") -> None:
-    """Create the temporary views gc_lines, gc_diary, gc_events, gc_observations and gc_samples."""
+def register(spark: SparkSession, patterns: list[str] | str, host: str = "localhost", strict_zgc: bool = False, prefix: str = "gc_", started: float | None = None) -> None:
+    """Create the temporary views gc_lines, gc_diary, gc_events, gc_rejects, gc_observations and gc_samples. The diary comes from the heads of the files; ``started`` (default: now) is the start time that the samples tell."""
     lines = read_lines(spark, patterns, host)
-    known = diary(lines)
+    known = diary(read_heads(spark, patterns, host))
     events = parse_events(lines, known, dialects(known))
     observed = observe(events, strict_zgc)
-    views = {"gc_lines": lines, "gc_diary": known, "gc_events": events, "gc_observations": observed, "gc_samples": samples(metric_state(observed), lines, info=info_gauges(known, 0.0, "1", host), prefix=prefix)}
+    views = {"gc_lines": lines, "gc_diary": known, "gc_events": events, "gc_rejects": outcomes(lines, known).where("outcome = 'rejected'").drop("outcome"), "gc_observations": observed, "gc_samples": samples(metric_state(observed), lines, info=info_gauges(known, time.time() if started is None else started, "1", host), prefix=prefix)}
     for name, df in views.items():
         df.createOrReplaceTempView(name)

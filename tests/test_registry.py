@@ -119,6 +119,10 @@ def test_heads_and_outcomes_of_files(spark, tmp_path):
     assert later.count() == 3 and quarantined(outcomes_.where("false"), now + datetime.timedelta(minutes=60), shut).count() == 0
     assert quarantined(outcomes_, now, most=2).count() == 2
     assert admit(files, now, idle_ms=10**14, quarantine=shut).count() == 4
+    # broken beyond the head
+    (tmp_path / "late.log.gz").write_bytes(gzip.compress("".join(f"line {k * k}\n" for k in range(100_000)).encode())[:-5000])
+    late = list_files(spark, f"{tmp_path}/late*")
+    assert probe_files(late).first().error is None and probe_files(late, whole=True).first().error.startswith("EOFError")
     # bytes that the head of a file takes don't grow with the file
     from heaplens.sources import lines as source
 
