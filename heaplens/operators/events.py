@@ -86,10 +86,13 @@ def _assemble(rows: DataFrame, ends: list[str], values: dict[str, tuple[int, int
     by (file, gc_id) serves both steps; it moves numbers, no lines. What is gathered in one row is the lines of one event.
     """
     order = W.partitionBy("path", "host", "gc_id").orderBy(F.desc("split"), F.desc("pos"))
-    end = F.last(F.when(F.col("code") == 0, F.struct("split", "pos", "ts", "uptime_s", *ends)), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
-    rows = rows.select("path", "host", "family", "collector", "region_kib", "gc_id", "code", "v", "split", "pos", end.alias("end"), (-F.row_number().over(order)).alias("k"))
-    rows = rows.where("end IS NOT NULL").select("path", "host", "family", "collector", "region_kib", "gc_id", "end.*", F.struct("k", "code", "v").alias("line"))
-    events = rows.groupBy("path", "host", "family", "collector", "region_kib", "gc_id", "split", "pos", "ts", "uptime_s", *ends).agg(F.sort_array(F.collect_list("line"), asc=False).alias("told"))
+    of = ["family", "collector", "region_kib", "ts", "uptime_s", *ends]
+    end = F.last(F.when(F.col("code") == 0, F.struct("split", "pos", *of)), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
+    rows = rows.select("path", "host", "gc_id", "code", "v", end.alias("end"), (-F.row_number().over(order)).alias("k")).where("end IS NOT NULL")
+    # an event goes by the place of its last line; what that line tells comes along
+    rows = rows.select("path", "host", "gc_id", "end.split", "end.pos", F.struct("k", "code", "v").alias("line"), F.struct(*[F.col(f"end.{c}").alias(c) for c in of]).alias("of"))
+    events = rows.groupBy("path", "host", "gc_id", "split", "pos").agg(F.sort_array(F.collect_list("line"), asc=False).alias("told"), F.any_value("of").alias("of"))
+    events = events.select("path", "host", "gc_id", "split", "pos", "of.*", "told")
     told = lambda code: F.get(F.filter("told", lambda x: x["code"] == code), F.lit(0))["v"]
     events = events.withColumns({f"told{code}": told(code) for code, _ in values.values()})
     return events.withColumns({name: F.get(f"told{code}", F.lit(i)) for name, (code, i) in values.items()})
