@@ -189,3 +189,32 @@ def cluster(vectors: DataFrame, k: int = 8, rounds: int = 10, scale: int = 1024,
 def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``cluster`` over all of ``embeddings``."""
     return cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+OP12_SQL = """
+WITH RECURSIVE kept AS (
+  SELECT vec_id, [floor(1024 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len([1 FOR x IN embedding IF x IS NOT NULL AND isfinite(x::DOUBLE)]) = 64
+), starts AS (
+  SELECT list(v ORDER BY h, v) AS c FROM (SELECT v, sha256('3:' || vec_id) AS h FROM kept ORDER BY h, v LIMIT 8)
+), rounds AS (
+  SELECT 0 AS r, c FROM starts
+  UNION ALL
+  SELECT r + 1, [coalesce(m[k], c[k]) FOR k IN range(1, len(c) + 1)] FROM (
+    SELECT r, any_value(c) AS c, map_from_entries(list((k, mean))) AS m FROM (
+      SELECT r, any_value(c) AS c, k, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS mean FROM (
+        SELECT r, any_value(c) AS c, k, i, sum(v[i]) AS s, count(*) AS n FROM (
+          SELECT r, c, v, list_position(d, list_min(d)) AS k, unnest(range(1, 65)) AS i FROM (
+            SELECT r, c, v, [list_sum([(v[i] - q[i]) * (v[i] - q[i]) FOR i IN range(1, 65)]) FOR q IN c] AS d FROM rounds, kept WHERE r < 10
+          )
+        ) GROUP BY r, k, i
+      ) GROUP BY r, k
+    ) GROUP BY r
+  )
+), final AS (
+  SELECT vec_id, d, c, list_position(d, list_min(d)) AS k FROM (
+    SELECT vec_id, c, [list_sum([(v[i] - q[i]) * (v[i] - q[i]) FOR i IN range(1, 65)]) FOR q IN c] AS d FROM (SELECT c FROM rounds WHERE r = 10), kept
+  )
+)
+SELECT vec_id, (k - 1)::INT AS cluster, d[k]::BIGINT AS distance, sum(d[k]) OVER (PARTITION BY k)::BIGINT AS cluster_inertia, sum(d[k]) OVER ()::BIGINT AS inertia, sha256(array_to_string([x::BIGINT FOR x IN c[k]], ',')) AS centroid_sha256 FROM final
+"""

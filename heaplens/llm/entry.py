@@ -24,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_mix_sources": mixing.OP1_SQL, "op3_exact_dedup": exact_dedup.OP3_SQL, "op4_licence_scan": licences.oracle_sql(), "op10_chat_format": chat.OP10_SQL}
+    return {"op1_mix_sources": mixing.OP1_SQL, "op3_exact_dedup": exact_dedup.OP3_SQL, "op4_licence_scan": licences.oracle_sql(), "op10_chat_format": chat.OP10_SQL, "op12_clusters": clusters.OP12_SQL}
