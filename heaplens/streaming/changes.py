@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 class ChangeLog:
-    """A table by key in a folder that driver and executors share: ``changes=E`` has the rows that epoch E changed or deleted, ``snapshot=E`` all rows as of E, each ``every`` epochs.
+    """A table by key in a folder that driver and executors share: ``changes=E`` has the rows that epoch E changed or deleted, ``snapshot=E`` all rows as of E, after each ``every`` epochs with changes.
 
     An epoch reads what is as of the epoch before and writes its own folders, so one that is run again gives the same. What an epoch writes follows the keys that it changes;
     a snapshot is the only time that all rows are written. Folders that no epoch needs any more are deleted after a snapshot.
@@ -50,7 +50,9 @@ class ChangeLog:
         if gone is not None:
             rows = rows.unionByName(gone.select(*self.columns).withColumn("deleted", F.lit(True)))
         rows.withColumn("epoch", F.lit(epoch).cast("bigint")).write.mode("overwrite").parquet(f"{self.folder}/changes={epoch}")
-        if epoch and epoch % self.every == 0:
+        found = self.folders()
+        base = max((e for kind, e in found if kind == "snapshot" and e < epoch), default=-1)
+        if sum(kind == "changes" and base < e <= epoch for kind, e in found) >= self.every:
             self.as_of(epoch).withColumns({"deleted": F.lit(False), "epoch": F.lit(epoch).cast("bigint")}).write.mode("overwrite").parquet(f"{self.folder}/snapshot={epoch}")
             self.forget(epoch - 1)
         return self.as_of(epoch)

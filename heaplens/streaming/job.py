@@ -50,8 +50,8 @@ class MetricJob:
         rows.write.mode("overwrite").parquet(path)  # runs the stateful operator, once
         rows = self.spark.read.schema(rows.schema).parquet(path)
         told = rows.groupBy("unified", "family").agg(F.max("at_ms").alias("at"), F.count_if(F.col("kind") == "line").alias("lines")).collect()  # a row for each dialect
-        if not told:
-            return
+        if not told:  # a batch without data, for timers
+            return self._forget(epoch)
         now = F.timestamp_millis(F.lit(max(r.at for r in told)).cast("bigint"))
         closed = rows.where("kind = 'closed'").select("path", "host").distinct()
         seen = rows.where("kind = 'file'").groupBy("path", "host").agg(F.sum("n").alias("n"), F.max("collector").alias("collector"))

@@ -302,10 +302,10 @@ def test_change_log(spark, tmp_path):
     log.write(rows(("k2", 7)), None, 2)
     want = now(2)
     assert want["k2"] == 7
-    for e in (3, 4, 5, 6):
+    for e in (3, 4, 5, 5, 6):
         log.write(rows(("new", e)), None, e)
-    assert now(6) == want | {"new": 6} and now(5) == want | {"new": 5}
-    assert log.folders() == [("changes", e) for e in (4, 5, 6)] + [("snapshot", 3), ("snapshot", 6)]
+    assert now(6) == want | {"new": 6} and now(5) == want | {"new": 5} and now(4) == want | {"new": 4}
+    assert log.folders() == [("changes", e) for e in (3, 4, 5, 6)] + [("snapshot", 2), ("snapshot", 5)]
 
 
 def test_ring_of_sketches(spark):
