@@ -219,6 +219,7 @@ def _tokenizer() -> tuple[str, str]:
 
 
 def bpe_digests(docs: DataFrame) -> DataFrame:
+    """For each row: doc_id, n_tokens, ids_sha256 (of the ids as little-endian unsigned 32-bit integers), decoded_sha256 (of the bytes that they decode to). Null and empty texts have no ids and the digest of nothing; null ids and repeated rows pass through; other columns aren't read; an empty table gives no rows."""
     path, pattern = _tokenizer()
     rows = bpe_encode(docs.select("doc_id", "text"), path, pattern).select("doc_id", "ids")
     rows = bpe_decode(rows, path)
@@ -226,4 +227,5 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``bpe_digests`` over all of ``documents``."""
     return bpe_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))

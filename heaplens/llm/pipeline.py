@@ -41,6 +41,6 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokens of each document as digests, those of the decoded bytes, and mix_pos, as files that are read again come in any order."""
+    """Tokens of each document as digests, those of the decoded bytes, and mix_pos, as files that are read again come in any order. Null texts have no ids; a null id is an id like any other here, and rows that repeat an id meet each of its places; an empty table gives an empty result."""
     digests = bpe_digests(docs).alias("d")
     return digests.join(_places(docs).alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id"))).select("d.*", "p.mix_pos")
