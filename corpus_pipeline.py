@@ -19,7 +19,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written to the shared folder and read again as the next one's docs."""
+    """All stages over ``documents``; each result is written to the shared folder and read again as the next one's docs.
+
+    Each stage's docstring says what it does with nulls, ties and repeated rows; null texts count as empty throughout. An empty table gives an empty result.
+    """
     from heaplens.llm.common import materialise
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
