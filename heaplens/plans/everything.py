@@ -263,7 +263,8 @@ def _written(spark, sf_dir) -> str:
     """Each user's unified G1 log as one text file, in folders by what divides the user's number."""
     folder, user = _shared(spark), F.regexp_extract("path", r"-(\d+)/", 1).cast("bigint")
     lines = synth.unified_g1(synth.events_table(spark, sf_dir)).withColumns({"even": (user % 2 == 0).cast("int"), "third": (user % 3 == 0).cast("int"), "user": user})
-    lines.repartition("user").sortWithinPartitions("user", "split", "pos").select("even", "third", "user", F.col("line").alias("value")).write.partitionBy("even", "third", "user").text(folder)
+    # the order begins with the folders: else the writer sorts by them anew, and beyond what its memory holds it loses the order of lines
+    lines.repartition("user").sortWithinPartitions("even", "third", "user", "split", "pos").select("even", "third", "user", F.col("line").alias("value")).write.partitionBy("even", "third", "user").text(folder)
     return folder
 
 
