@@ -55,6 +55,8 @@ SIGNALS = {
     "serial_full": r"Using Serial|-XX:\+UseSerialGC|\[Tenured",
     "parallel": r"Using Parallel|-XX:\+UseParallel(?:Old)?GC|\[PSYoungGen|\[ParOldGen|\[PSOldGen",
 }
+#: One of these is in every line with a signal.
+SIGNAL_MARKS = ("Using ", "-XX:+Use", "[ParNew", "[DefNew", "[Tenured", "[PSYoungGen", "[ParOldGen", "[PSOldGen")
 REGION_SIZE = r"Heap region size: (\d+)M|-XX:G1HeapRegionSize=(\d+)m"
 UNIFIED = r"^(?:\[[^\]]*\])+ *(?:Using |Heap region|GC\(|Initializing|Version|CPUs|Memory)|^\[[\d.]+s\]|^\[\d{4}-"
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import grammar as G
 from ..registry import DIALECTS
-from .events import DIALECT, bounded_diary, parse_known
+from .dialect import bounded
+from .events import DIALECT, parse_known
 
 
 def taken(line: Column, unified: Column, family: Column) -> Column:
@@ -31,7 +32,7 @@ def outcomes(lines: DataFrame, diaries: DataFrame) -> DataFrame:
     outcome is "taken", "blank" or "rejected", so that the three add up to all lines. A rejected line has a reason: "unsupported file" (its file has no diary) or "no rule" (none of its dialect takes it: it is malformed, of a kind that no metric needs, or
     cut short). One pass over the lines; the diary goes to the tasks as for ``parse_events``.
     """
-    known = lines.join(bounded_diary(diaries.select("path", "host", *DIALECT)), ["path", "host"], "left")
+    known = lines.join(bounded(diaries.select("path", "host", *DIALECT)), ["path", "host"], "left")
     outcome = F.when(F.trim("line") == "", "blank").when(taken(F.col("line"), F.col("unified"), F.col("family")), "taken").otherwise("rejected")
     reason = F.when(F.col("outcome") == "rejected", F.when(F.col("family").isNull(), "unsupported file").otherwise("no rule"))
     return known.withColumn("outcome", outcome).withColumn("reason", reason)

@@ -280,8 +280,9 @@ def family_merge_exposition(spark, sf_dir):
 @query("SELECT 'gc_event_duration_seconds_sum' AS name, count(DISTINCT (user_id, event_type)) AS n FROM events UNION ALL SELECT 'gc_event_duration_seconds_count', count(DISTINCT (user_id, event_type)) FROM events")
 def created_filter(spark, sf_dir):
     samples = A.samples(_state(spark, sf_dir, {"event_duration_seconds"}))
-    created = samples.where(F.col("name").endswith("_count")).withColumn("name", F.replace("name", F.lit("_count"), F.lit("_created")))
-    return exposition.visible(samples.unionByName(created)).groupBy("name").agg(F.count("*").alias("n"))
+    created = F.when(F.col("name").endswith("_count"), F.replace("name", F.lit("_count"), F.lit("_created")))
+    both = samples.withColumn("name", F.explode(F.array_compact(F.array("name", created))))
+    return exposition.visible(both).groupBy("name").agg(F.count("*").alias("n"))
 
 
 @query("SELECT count(*) AS lines, count(*) FILTER (event_id % 4 <> 0) AS events FROM events")
