@@ -405,7 +405,11 @@ SELECT user_id, epoch(window_end)::BIGINT AS window_end, count(*) AS n, min(v) A
 def sketch_quantiles_hop(spark, sf_dir):
     """Windows from rings of sketches: number, least and largest are exact, and the ranks of the quantiles between are off by at most 0.05 of what the window holds."""
     obs = observe(parse_events(lines := synth.unified_g1(synth.events_table(spark, sf_dir)), diary(lines), [(True, "g1")]), names={"event_last_minute_duration_seconds"})
-    got = A.hop_quantiles(obs, 3600)
+    folder = _shared(spark)
+    obs.select("name", "path", "host", "ts", "value").write.parquet(f"{folder}/observed")  # they are read three times
+    obs = spark.read.parquet(f"{folder}/observed")
+    A.hop_quantiles(obs, 3600).write.parquet(f"{folder}/windows")
+    got = spark.read.parquet(f"{folder}/windows")
     ends = obs.select("path", "value", F.window("ts", "60 minutes", "10 minutes").getField("end").alias("window_end"))
     ranks = ends.join(got, ["path", "window_end"]).groupBy("path", "window_end").agg(*[F.struct(F.avg((F.col("value") < F.col(q)).cast("double")).alias("below"), F.avg((F.col("value") <= F.col(q)).cast("double")).alias("up_to")).alias(f"r{q}") for q in ("q50", "q75")])
     close = lambda q, rank: (F.col(f"r{q}.below") <= rank + 0.05) & (F.col(f"r{q}.up_to") >= rank - 0.05)
