@@ -143,7 +143,11 @@ def probe_files(files: DataFrame, host: str = "localhost", count: int = 512, max
 
 def read_heads(spark: SparkSession, patterns: list[str] | str, host: str = "localhost", count: int = 512, max_line: int = 1024) -> DataFrame:
     """The first lines of the files that match, in the form of ``read_lines``: what the diary needs. Local files are opened up to there only; of remote ones Spark reads all and keeps the head."""
-    files = list_files(spark, patterns)
+    return heads_of(spark, list_files(spark, patterns), host, count, max_line)
+
+
+def heads_of(spark: SparkSession, files: DataFrame, host: str = "localhost", count: int = 512, max_line: int = 1024) -> DataFrame:
+    """As ``read_heads``, of files as from ``list_files``."""
     own = probe_files(files.where("path LIKE '/%'"), host, count, max_line).select("path", "host", F.lit(0).cast("bigint").alias("split"), F.posexplode("head").alias("pos", "line"))
     own = own.withColumn("pos", F.col("pos").cast("bigint"))
     remote = [r.path for r in files.where("path NOT LIKE '/%'").select("path").collect()]

@@ -40,3 +40,29 @@ def test_a_diary_of_many_files_goes_to_the_tasks(spark):
     assert events.count() == 12_000
     plan = events._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_legacy_blocks_move_no_lines(spark):
+    """What a line of a legacy G1 block tells is read before anything is shuffled."""
+    from heaplens.operators.events import legacy_g1
+
+    lines = spark.createDataFrame([("f", "h", 0, 1, "1.000: [GC pause (young), 0.1 secs]", "g1", "g1", 1024)], SCHEMA + ", family string, collector string, region_kib bigint")
+    events = legacy_g1(lines)
+    plan = events._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    windows = [k for k, x in enumerate(plan) if "Window [count(head" in x]
+    assert windows and all("line#" not in plan[k + 1] for k in windows)
+
+
+def test_views_list_files_once(spark, tmp_path, monkeypatch):
+    from heaplens import sql
+    from heaplens.sources import lines
+
+    (tmp_path / "gc.log").write_text("[0.1s][info][gc] Using G1\n[0.2s][info][gc] GC(1) Pause Remark 3M->2M(9M) 1.000ms\n")
+    calls = []
+    listed = lines._listed
+    monkeypatch.setattr(lines, "_listed", lambda *x: calls.append(x) or listed(*x))
+    sql.register(spark, f"{tmp_path}/*.log")
+    assert len(calls) == 1 and spark.table("gc_events").count() == 1
+    # the view of the diary is told: its file may go
+    (tmp_path / "gc.log").unlink()
+    assert [r.collector for r in spark.table("gc_diary").collect()] == ["g1"]
