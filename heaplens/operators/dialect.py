@@ -24,9 +24,22 @@ def bounded(files: DataFrame) -> DataFrame:
 
 
 def head_lines(lines: DataFrame, count: int = 512) -> DataFrame:
-    """The first ``count`` lines of each file, less the blank ones (which count)."""
-    first = lines.where("split = 0").withColumn("n", F.row_number().over(W.partitionBy("path", "host").orderBy("split", "pos")))
-    return first.where(F.col("n") <= count).where(F.trim("line") != "").drop("n")
+    """The first ``count`` lines of each file, less the blank ones (which count).
+
+    Lines of files of at most ``count`` lines needn't be put in order. Those of files of up to eight times as many are dealt by file, a bounded number of lines each, and put in order there;
+    of larger files each task keeps its own first ``count`` lines before they are dealt.
+    """
+    lines = lines.where("split = 0")
+    sizes = lines.groupBy("path", "host").agg(F.count("*").alias("size")).localCheckpoint()
+    rows = lines.join(bounded(sizes), ["path", "host"])
+    text = F.trim("line") != ""
+    first = lambda df: df.withColumn("n", F.row_number().over(W.partitionBy("path", "host").orderBy("split", "pos"))).where(F.col("n") <= count).where(text).select(*lines.columns)
+    out = rows.where(F.col("size") <= count).where(text).select(*lines.columns)
+    if not sizes.where(f"size > {count} AND size <= {8 * count}").isEmpty():
+        out = out.unionByName(first(rows.where(f"size > {count} AND size <= {8 * count}").repartition("path", "host")))
+    if not sizes.where(F.col("size") > 8 * count).isEmpty():
+        out = out.unionByName(first(rows.where(F.col("size") > 8 * count)))
+    return out
 
 
 def _told(signals: DataFrame, max_line: int) -> DataFrame:

@@ -66,3 +66,12 @@ def test_views_list_files_once(spark, tmp_path, monkeypatch):
     # the view of the diary is told: its file may go
     (tmp_path / "gc.log").unlink()
     assert [r.collector for r in spark.table("gc_diary").collect()] == ["g1"]
+
+
+def test_lines_of_short_files_are_not_sorted_for_heads(spark):
+    lines = spark.range(5000).select(F.concat(F.lit("f"), F.col("id") % 50).alias("path"), F.lit("h").alias("host"), F.lit(0).cast("bigint").alias("split"), F.col("id").alias("pos"), F.lit("x").alias("line"))
+    assert head_lines(lines).count() == 5000
+    assert "Window" not in head_lines(lines)._jdf.queryExecution().toString()
+    for count in (20, 10):  # files of 100 lines: dealt by file, or cut in tasks first
+        got = head_lines(lines, count).groupBy("path").agg(F.count("*").alias("n"), F.max("pos").alias("last")).collect()
+        assert all(r.n == count and r.last == int(r.path[1:]) + 50 * (count - 1) for r in got) and len(got) == 50
