@@ -14,7 +14,7 @@ from ..operators import aggregate as A
 from ..operators import exposition
 from ..operators.dialect import diary
 from ..operators.events import parse_events
-from ..operators.observations import observe
+from ..operators.observations import asked, observe
 from ..operators.rejects import outcomes, parse_with_rejects
 from ..sources.lines import admit, list_files, match_names, probe_files, quarantined, read_heads, read_lines
 from . import synth
@@ -145,7 +145,7 @@ def _family_sql(values: dict[str, str], where: str = "true") -> str:
 
 def _family_state(spark: SparkSession, sf_dir: str, make, dialect: tuple[bool, str], names: dict[str, str]) -> DataFrame:
     lines = make(synth.events_table(spark, sf_dir))
-    state = A.metric_state(observe(parse_events(lines, diary(lines), [dialect]), names=set(names)))
+    state = A.metric_state(observe(parse_events(lines, diary(lines), [dialect], asked(set(names))), names=set(names)))
     return state.select(_user(), "name", "n", F.round("total", 6).alias("total"), F.round("last", 9).alias("last"))
 
 
@@ -228,7 +228,7 @@ def _category_sql(names: list[str], pauses: str) -> str:
 
 def _categories(spark, sf_dir, make, dialects) -> DataFrame:
     lines = make(synth.events_table(spark, sf_dir))
-    return parse_events(lines, diary(lines), dialects).groupBy("category").agg(F.count("*").alias("n"), F.count_if("is_pause").alias("pauses"))
+    return parse_events(lines, diary(lines), dialects, ()).groupBy("category").agg(F.count("*").alias("n"), F.count_if("is_pause").alias("pauses"))
 
 
 @query(_category_sql(list(G1_LABELS.values()), f"event_id % {len(G1_LABELS)} < 8"))
@@ -277,7 +277,7 @@ def _file_user() -> Column:
 def text_files_events(spark, sf_dir):
     """Through real files: a glob, lines, the diary from their heads, events."""
     lines = read_lines(spark, f"{_written(spark, sf_dir)}/even=*/third=*/user=*/*.txt")
-    return parse_events(lines, diary(lines), [(True, "g1")]).groupBy(_file_user(), "category").agg(F.count("*").alias("n"), F.round(A._exact_sum(F.col("duration_s")), 6).alias("total"))
+    return parse_events(lines, diary(lines), [(True, "g1")], ("duration_s",)).groupBy(_file_user(), "category").agg(F.count("*").alias("n"), F.round(A._exact_sum(F.col("duration_s")), 6).alias("total"))
 
 
 @query("SELECT user_id, 2 + sum(CASE WHEN event_type = 'signup' THEN 2 ELSE 7 END)::BIGINT AS n FROM events WHERE user_id % 2 = 0 OR user_id % 3 = 0 GROUP BY user_id")
@@ -343,7 +343,7 @@ def continuous_job(spark, sf_dir):
 @query("""SELECT user_id, epoch(time_bucket(INTERVAL 1 HOUR, ts))::BIGINT AS hour, count(*) AS n, round(CAST(sum(CAST(value / 1000 AS DECIMAL(38, 12))) AS DOUBLE), 6) AS total FROM events GROUP BY ALL""")
 def events_stream_tumbling(spark, sf_dir):
     """A stream of observations in order of time, summed by hour. The watermark lets windows go once they are behind it; each batch writes the windows that it changed, and the last row of each counts."""
-    obs = observe(parse_events(lines := synth.unified_g1(synth.events_table(spark, sf_dir)), diary(lines), [(True, "g1")]), names={"event_last_minute_duration_seconds"})
+    obs = observe(parse_events(lines := synth.unified_g1(synth.events_table(spark, sf_dir)), diary(lines), [(True, "g1")], ("duration_s",)), names={"event_last_minute_duration_seconds"})
     cut = synth.events_table(spark, sf_dir).agg(*[F.percentile(F.col("ts").cast("double"), k / 3).alias(f"c{k}") for k in (1, 2)]).first()
     at = F.col("ts").cast("double")
     stream, folder = _stream(spark, [obs.where(at < cut.c1), obs.where((at >= cut.c1) & (at < cut.c2)), obs.where(at >= cut.c2)])
@@ -404,7 +404,7 @@ def text_files_outcomes(spark, sf_dir):
 SELECT user_id, epoch(window_end)::BIGINT AS window_end, count(*) AS n, min(v) AS q0, max(v) AS q100, true AS close FROM w GROUP BY ALL""")
 def sketch_quantiles_hop(spark, sf_dir):
     """Windows from rings of sketches: number, least and largest are exact, and the ranks of the quantiles between are off by at most 0.05 of what the window holds."""
-    obs = observe(parse_events(lines := synth.unified_g1(synth.events_table(spark, sf_dir)), diary(lines), [(True, "g1")]), names={"event_last_minute_duration_seconds"})
+    obs = observe(parse_events(lines := synth.unified_g1(synth.events_table(spark, sf_dir)), diary(lines), [(True, "g1")], ("duration_s",)), names={"event_last_minute_duration_seconds"})
     folder = _shared(spark)
     obs.select("name", "path", "host", "ts", "value").write.parquet(f"{folder}/observed")  # they are read three times
     obs = spark.read.parquet(f"{folder}/observed")

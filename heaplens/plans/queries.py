@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from ..operators import aggregate as A
 from ..operators import exposition
 from ..operators.dialect import diary, head_lines
 from ..operators.events import parse_events
-from ..operators.observations import observe
+from ..operators.observations import asked, observe
 from . import synth
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,9 +32,13 @@ def query(sql: str | None):
 _DIALECTS = {synth.unified_g1: (True, "g1"), synth.unified_zgc: (True, "zgc"), synth.legacy_parallel: (False, "classic"), synth.legacy_cms: (False, "classic"), synth.legacy_g1: (False, "g1")}
 
 
-def _events(spark: SparkSession, sf_dir: str, make=synth.unified_g1) -> DataFrame:
+def _events(spark: SparkSession, sf_dir: str, make=synth.unified_g1, columns: Collection[str] | None = None) -> DataFrame:
     lines = make(synth.events_table(spark, sf_dir))
-    return parse_events(lines, diary(lines), [_DIALECTS[make]])
+    return parse_events(lines, diary(lines), [_DIALECTS[make]], columns)
+
+
+def _observed(spark: SparkSession, sf_dir: str, names: set[str], make=synth.unified_g1) -> DataFrame:
+    return observe(_events(spark, sf_dir, make, asked(names)), names=names)
 
 
 def _user(column: str = "path"):
@@ -42,7 +46,7 @@ def _user(column: str = "path"):
 
 
 def _state(spark, sf_dir, names: set[str], make=synth.unified_g1) -> DataFrame:
-    return A.metric_state(observe(_events(spark, sf_dir, make), names=names))
+    return A.metric_state(_observed(spark, sf_dir, names, make))
 
 
 def _last(spark, sf_dir, names: dict[str, str], make=synth.unified_g1) -> DataFrame:
@@ -138,7 +142,7 @@ def _category_counts(rows: DataFrame) -> DataFrame:
 
 @query(f"SELECT {_G1_CATEGORY} AS category, count(*) AS n, count(*) FILTER (event_type <> 'signup') AS pauses FROM events GROUP BY 1")
 def category_g1(spark, sf_dir):
-    return _category_counts(_events(spark, sf_dir))
+    return _category_counts(_events(spark, sf_dir, columns=()))
 
 
 @query("""SELECT CASE event_type WHEN 'click' THEN 'ParNew' WHEN 'view' THEN 'CMSInitialMark' WHEN 'purchase' THEN 'CMSRemark' WHEN 'signup' THEN 'CMSConcurrentSweep' ELSE 'CMSConcurrentModeFailure' END AS category,
@@ -149,7 +153,7 @@ def category_classic(spark, sf_dir):
 
 @query("""SELECT CASE event_type WHEN 'click' THEN 'ZGCAllocRate' WHEN 'view' THEN 'ZGCTimer' WHEN 'purchase' THEN 'ZGCSystemGc' WHEN 'signup' THEN 'ZGCWarmup' ELSE 'ZGCAllocStall' END AS category, count(*) AS n, count(*) AS pauses FROM events GROUP BY 1""")
 def category_zgc(spark, sf_dir):
-    return _category_counts(_events(spark, sf_dir, synth.unified_zgc))
+    return _category_counts(_events(spark, sf_dir, synth.unified_zgc, ()))
 
 
 @query("""SELECT event_id, CASE WHEN event_type IN ('purchase', 'error') THEN 'PSFullGC' ELSE 'PSYoungGC' END AS category, round(value / 1000, 7) AS duration_s, 9000 + event_id % 1000 AS heap_before, 6000 + event_id % 500 AS heap_after, 2000 + event_id % 900 AS young_before,
@@ -175,7 +179,7 @@ def legacy_g1_block_assembly(spark, sf_dir):
 
 @query("""SELECT event_id, CASE WHEN event_type <> 'signup' THEN event_id % 50 END AS eden_before, CASE WHEN event_type <> 'signup' THEN event_id % 41 END AS old_after, CASE WHEN event_type <> 'signup' THEN 1000 + event_id % 100 END AS metaspace_before, CAST(event_id AS BIGINT) AS gc_id FROM events""")
 def multiline_segmentation(spark, sf_dir):
-    rows = _events(spark, sf_dir)
+    rows = _events(spark, sf_dir, columns=("r_eden", "r_old", "metaspace"))
     return rows.select((F.col("pos") / 100).cast("bigint").alias("event_id"), F.col("r_eden.before").alias("eden_before"), F.col("r_old.after").alias("old_after"), F.col("metaspace.occ_before").alias("metaspace_before"), "gc_id")
 
 
@@ -201,7 +205,7 @@ def dialect_dispatch(spark, sf_dir):
 @query("SELECT count(*) FILTER (user_id % 6 < 5) AS events, count(DISTINCT user_id) FILTER (user_id % 6 < 5) AS files FROM events")
 def unregistered_lines_dropped(spark, sf_dir):
     lines = _mixed_lines(spark, sf_dir)
-    return parse_events(lines, diary(lines)).agg(F.count("*").alias("events"), F.count_distinct("path").alias("files"))
+    return parse_events(lines, diary(lines), columns=()).agg(F.count("*").alias("events"), F.count_distinct("path").alias("files"))
 
 
 @query("""WITH l AS (SELECT user_id, 2 + sum(CASE WHEN event_type = 'signup' THEN 2 ELSE 7 END) AS n FROM events GROUP BY user_id)
@@ -253,7 +257,7 @@ def rotation_carry_over(spark, sf_dir):
     parts = []
     for half in (0, 1):
         lines = synth.unified_g1(events.where(F.col("event_id") < 5000 if half == 0 else F.col("event_id") >= 5000))
-        parts.append(A.metric_state(observe(parse_events(lines, diary(lines), [(True, "g1")]), names={"event_last_minute_duration_seconds"})))
+        parts.append(A.metric_state(observe(parse_events(lines, diary(lines), [(True, "g1")], ("duration_s",)), names={"event_last_minute_duration_seconds"})))
     return A.merge_state(*parts).select(_user(), "n", F.round("total", 6).alias("total"), "last")
 
 
@@ -297,14 +301,14 @@ def line_error_isolation(spark, sf_dir):
 @query("""WITH w AS (SELECT user_id, value / 1000 AS v, unnest(generate_series(time_bucket(INTERVAL 10 MINUTE, date_trunc('millisecond', ts)) + INTERVAL 10 MINUTE, time_bucket(INTERVAL 10 MINUTE, date_trunc('millisecond', ts)) + INTERVAL 60 MINUTE, INTERVAL 10 MINUTE)) AS window_end FROM events)
 SELECT user_id, epoch(window_end)::BIGINT AS window_end, count(*) AS n, quantile_disc(v, 0.0) AS q0, quantile_disc(v, 0.5) AS q50, quantile_disc(v, 0.75) AS q75, quantile_disc(v, 1.0) AS q100 FROM w GROUP BY ALL""")
 def last_minute_quantiles_hop(spark, sf_dir):
-    obs = observe(_events(spark, sf_dir), names={"event_last_minute_duration_seconds"})
+    obs = _observed(spark, sf_dir, {"event_last_minute_duration_seconds"})
     return A.window_quantiles(obs, "60 minutes", "10 minutes").select(_user(), F.col("window_end").cast("bigint").alias("window_end"), "n", "q0", "q50", "q75", "q100")
 
 
 @query("""SELECT event_id, count(*) OVER w AS n, quantile_disc(value / 1000, 0.5) OVER w AS q50, max(value / 1000) OVER w AS q100 FROM events
 WINDOW w AS (PARTITION BY user_id ORDER BY epoch_ms(ts) RANGE BETWEEN 86400000 PRECEDING AND CURRENT ROW)""")
 def last_minute_quantiles_range(spark, sf_dir):
-    obs = observe(_events(spark, sf_dir), names={"event_last_minute_duration_seconds"})
+    obs = _observed(spark, sf_dir, {"event_last_minute_duration_seconds"})
     return A.trailing_quantiles(obs, 86_400).select((F.col("pos") / 100).cast("bigint").alias("event_id"), "n", "q50", "q100")
 
 
@@ -315,16 +319,16 @@ def last_minute_quantiles_range(spark, sf_dir):
 s AS (SELECT user_id, ts, sum(head) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
 SELECT user_id, floor(epoch(min(ts)))::BIGINT AS began, count(*) AS n FROM s GROUP BY user_id, k""")
 def gc_storm_sessions(spark, sf_dir):
-    obs = observe(_events(spark, sf_dir), names={"event_last_minute_duration_seconds"})
+    obs = _observed(spark, sf_dir, {"event_last_minute_duration_seconds"})
     return obs.groupBy(_user(), F.session_window("ts", "30 minutes").alias("s")).agg(F.count("*").alias("n")).select("user_id", F.col("s.start").cast("bigint").alias("began"), "n")
 
 
 @query(f"SELECT user_id, {_G1_CATEGORY} AS category, count(*) AS n, max(value / 1000) AS longest FROM events GROUP BY ROLLUP (user_id, category)")
 def pause_rollup(spark, sf_dir):
-    return _events(spark, sf_dir).withColumn("user_id", _user()).rollup("user_id", "category").agg(F.count("*").alias("n"), F.max("duration_s").alias("longest"))
+    return _events(spark, sf_dir, columns=("duration_s",)).withColumn("user_id", _user()).rollup("user_id", "category").agg(F.count("*").alias("n"), F.max("duration_s").alias("longest"))
 
 
 @query("SELECT event_id, value / 1000 AS duration_s FROM events WHERE event_type <> 'signup' ORDER BY value DESC, event_id LIMIT 20")
 def worst_pauses(spark, sf_dir):
-    rows = _events(spark, sf_dir).where("is_pause").select((F.col("pos") / 100).cast("bigint").alias("event_id"), "duration_s")
+    rows = _events(spark, sf_dir, columns=("duration_s",)).where("is_pause").select((F.col("pos") / 100).cast("bigint").alias("event_id"), "duration_s")
     return rows.orderBy(F.desc("duration_s"), "event_id").limit(20)
