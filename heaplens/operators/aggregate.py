@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -71,11 +71,31 @@ def samples(state: DataFrame, lines: DataFrame | None = None, quantiles: DataFra
     return out.select(F.concat(F.lit(prefix), "name").alias("family"), "type", F.concat(F.lit(prefix), "sample").alias("name"), "labels", "value")
 
 
+def _micros(spark: SparkSession, length: str) -> int:
+    """Microseconds of an interval such as "10 minutes"."""
+    return spark.range(1).select(F.unix_micros(F.timestamp_seconds(F.lit(0)) + F.expr(f"INTERVAL {length}"))).first()[0]
+
+
 def window_quantiles(observations: DataFrame, width: str = "60 seconds", step: str = "10 seconds", quantiles: Sequence[float] = QUANTILES) -> DataFrame:
-    """name, path, host, window_end, n and one column for each quantile, over hopping event-time windows (exact, for batches)."""
-    exact = [F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY value)").alias(f"q{round(q * 100)}") for q in quantiles]
-    grouped = observations.groupBy("name", "path", "host", F.window("ts", width, step)).agg(F.count("value").alias("n"), *exact)
-    return grouped.select("name", "path", "host", F.col("window.end").alias("window_end"), "n", *[f"q{round(q * 100)}" for q in quantiles])
+    """name, path, host, window_end, n and one column for each quantile, over hopping event-time windows (exact, for batches).
+
+    Time is cut into slices of ``width`` (in whole steps). The windows that begin in a slice hold values of that slice and the next one at most, so an observation goes to
+    two slices, not to each of its windows, and what is gathered in one row are the values of a series within two slices. A time of null is in no window.
+    """
+    w, s = (_micros(observations.sparkSession, x) for x in (width, step))
+    steps = -(-w // s)  # windows that begin within a slice
+    div = lambda x, y: F.expr(f"{x} div {y} - if({x} % {y} < 0, 1, 0)")
+    # windows are numbered by their begin, in steps; those of an observation begin after its time less the width
+    rows = observations.where("ts IS NOT NULL AND value IS NOT NULL").select("name", "path", "host", F.unix_micros("ts").alias("t"), "value")
+    rows = rows.withColumn("before", F.col("t") - w).withColumns({"first": div("before", s) + 1, "last": div("t", s)}).where("first <= last")
+    rows = rows.withColumns({"from": div("first", steps), "to": div("last", steps)})
+    rows = rows.select("name", "path", "host", F.explode(F.sequence("from", "to")).alias("slice"), F.struct("value", "first", "last").alias("of"))
+    slices = rows.groupBy("name", "path", "host", "slice").agg(F.sort_array(F.collect_list("of")).alias("told"))
+    begins = F.array_distinct(F.flatten(F.transform("told", lambda x: F.sequence(F.greatest(x["first"], F.col("slice") * steps), F.least(x["last"], F.col("slice") * steps + (steps - 1))))))
+    windows = slices.select("name", "path", "host", "told", F.explode(begins).alias("begin"))
+    windows = windows.withColumn("own", F.filter("told", lambda x: (x["first"] <= F.col("begin")) & (F.col("begin") <= x["last"])))
+    at = lambda q: F.get("own", F.greatest(F.ceil(F.size("own") * F.lit(q)) - 1, F.lit(0)).cast("int"))["value"]
+    return windows.select("name", "path", "host", F.timestamp_micros(F.col("begin") * s + w).alias("window_end"), F.size("own").cast("bigint").alias("n"), *[at(q).alias(f"q{round(q * 100)}") for q in quantiles])
 
 
 def trailing_quantiles(observations: DataFrame, seconds: int = 60, quantiles: Sequence[float] = QUANTILES) -> DataFrame:

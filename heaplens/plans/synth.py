@@ -5,6 +5,8 @@ Every event becomes the lines that a JVM would have logged for it; numbers follo
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +25,16 @@ def path(kind: str = "app") -> Column:
 
 
 def _fmt(template: str, *args: Column) -> Column:
-    return F.format_string(template, *args)
+    """As ``format_string``, which is left to numbers of a given width or precision: it reads its template anew for each row."""
+    left, parts = iter(args), []
+    for piece in re.split(r"(%[^a-z%]*[dfs%])", template):
+        if piece in ("%d", "%s"):
+            parts.append(F.coalesce(next(left).cast("string"), F.lit("null")))
+        elif piece == "%%":
+            parts.append(F.lit("%"))
+        elif piece:
+            parts.append(F.format_string(piece, next(left)) if piece[0] == "%" else F.lit(piece))
+    return F.concat(*parts)
 
 
 def _lines(events: DataFrame, head: list[str], body: Column, kind: str) -> DataFrame:
