@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
 import uuid
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,21 +32,22 @@ def _spaced(text: str) -> bool:
     return "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " "
 
 
-class Numbers(dict):
-    """Numbers of keys in the order in which they were first asked for; ``fresh`` are those asked for since it was emptied."""
+class Numbers(defaultdict):
+    """Numbers of keys in the order in which they were first asked for."""
 
     def __init__(self) -> None:
-        super().__init__()
-        self.fresh: list[str] = []
-
-    def __missing__(self, key: str) -> int:
-        self[key] = n = len(self)
-        self.fresh.append(key)
-        return n
+        super().__init__(itertools.count().__next__)
+        self.seen = 0
 
     def of(self, keys: list[str]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, keys), np.int64, len(keys))
 
+    def fresh(self) -> list[str]:
+        """The keys asked for first since this was called last."""
+        new = list(itertools.islice(reversed(self), len(self) - self.seen))[::-1]
+        self.seen = len(self)
+        return new
+
 
 class ChunkEncoder:
     """Encodes texts with the tokenizers library, each distinct chunk once.
@@ -102,14 +105,14 @@ class ChunkEncoder:
 
     def _learn(self) -> None:
         """Ids of the chunks that have a number but no ids yet."""
-        keys, self.known.fresh = self.known.fresh, []
+        keys = self.known.fresh()
         # a letter run and one mark behind it, in plain ASCII, are two pre-tokens, of which the mark is one id
         marked = [k for k in keys if len(k) > 1 and k[-1] in _MARKS and k.isascii() and k[:-1].isalpha()] if self.marks else []
         if marked:
             rest = set(marked)
             keys = [k for k in keys if k not in rest]
             bases = self.known.of([k[:-1] for k in marked])  # new ones count as fresh
-            keys, self.known.fresh = keys + self.known.fresh, []
+            keys += self.known.fresh()
         room = len(self.known) - len(self.sizes)
         self.starts, self.sizes = np.append(self.starts, np.zeros(room, np.int64)), np.append(self.sizes, np.zeros(room, np.int64))
         # a joined text may be cut at chunks whose last character isn't white space, which the next chunk's space follows
@@ -118,8 +121,10 @@ class ChunkEncoder:
         found = []
         for i in range(0, len(plain), 512):
             some = plain[i : i + 512]
-            own = np.array(self._encode([" " + " ".join(some)])[0], np.int32)
-            ends = np.cumsum([1 + len(k.encode()) for k in some])
+            joined = " " + " ".join(some)
+            own = np.array(self._encode([joined])[0], np.int32)
+            # no chunk of these has a space of its own, so the next space is its end
+            ends = np.append(np.flatnonzero(np.frombuffer(joined.encode(), np.uint8) == 32)[1:], len(joined.encode()))
             cut = np.searchsorted(np.cumsum(self.bytes_of[own]), ends) + 1  # the ids up to the end of each chunk
             found.append((own, np.diff(cut, prepend=0)))
         if others:
@@ -157,7 +162,7 @@ class ChunkEncoder:
                 counts[i] = len(own)
                 keys += own
         at = self.known.of(keys)
-        if self.known.fresh:
+        if len(self.known) > self.known.seen:
             self._learn()
         ids, sizes = self._gather(at)
         ends = np.cumsum(counts)
