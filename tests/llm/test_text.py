@@ -115,6 +115,15 @@ def test_html_host(spark):
     assert plain == (got - {(12, "Welcome to our site it has many nice pages for you")}) | {(12, "")}
 
 
+def test_html_strings_meet_articles(spark):
+    """Blocks of articles are held against the host's strings, too; what those cover is told, and stays by markup alone."""
+    notice = "We value your trust so please read our terms again"
+    rows = [(k, f"http://h.example/{k}", f"<div>{notice}</div><article><p>Story {k} tells of item{k}" + (f"<p>{notice}" if k < 2 else "") + "</article>") for k in range(4)] + [(9, "http://g.example/9", f"<article><p>{notice}</article>")]
+    for keys in (1 << 21, -1):
+        got = {(r.page_id, r.text, r.n_shared) for r in html.extract_html(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), table_keys=keys).collect()}
+        assert got == {(k, f"Story {k} tells of item{k}" + (f"\n{notice}" if k < 2 else ""), int(k < 2)) for k in range(4)} | {(9, notice, 0)}
+
+
 def test_html_long_and_short_segments(spark):
     """Menus of a few words are strings of their own; a very long page is one like any other."""
     menu = "<nav><ul><li>Home<li>News</ul></nav>"
