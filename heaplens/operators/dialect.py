@@ -54,11 +54,15 @@ def _told(signals: DataFrame, max_line: int) -> DataFrame:
     return signals.select("path", "host", "unified", "collector", family.alias("family"), (F.col("region_mb") * 1024).alias("region_kib"))
 
 
+def _marked(lines: DataFrame) -> DataFrame:
+    """With what ``_tests`` asks first of a line, a column of its own, so that it is told once for all signals."""
+    return lines.withColumn("marked", functools.reduce(lambda x, y: x | y, [F.col("line").contains(x) for x in G.SIGNAL_MARKS]))
+
+
 def _tests() -> dict[str, Column]:
     """Whether a line gives each of the signals. Plain tests come first, so that most lines meet no pattern."""
     line = F.col("line")
-    maybe = functools.reduce(lambda x, y: x | y, [line.contains(x) for x in G.SIGNAL_MARKS])
-    own = {k: F.when(maybe, line.rlike(p)).otherwise(False) for k, p in G.SIGNALS.items()}
+    own = {k: F.when(F.col("marked"), line.rlike(p)).otherwise(False) for k, p in G.SIGNALS.items()}
     return {"unified": F.when(line.startswith("["), line.rlike(G.UNIFIED)).otherwise(False), **own, **{f"added_{d.name}": line.rlike(d.signal) for d in DIALECTS.values()}}
 
 
@@ -78,8 +82,8 @@ def diary(lines: DataFrame, count: int = 512, max_line: int = 1024) -> DataFrame
     That grouping runs when this is called and is kept on the executors, one row for each file.
     """
     tests = _tests()
-    text = F.trim("line") != ""
-    rows = lines.where("split = 0").select("path", "host", "pos", text.alias("text"), (text & (F.length("line") > max_line)).alias("long"), _region().alias("mb"), *[(text & x).alias(k) for k, x in tests.items()])
+    text = F.col("text")
+    rows = _marked(lines.where("split = 0").withColumn("text", F.trim("line") != "")).select("path", "host", "pos", "text", (text & (F.length("line") > max_line)).alias("long"), _region().alias("mb"), *[(text & x).alias(k) for k, x in tests.items()])
     at = lambda test: F.min(F.when(test, F.col("pos")))
     firsts = rows.groupBy("path", "host").agg(
         F.count("*").alias("n"), F.min("pos").alias("begin"), *[at(F.col(k)).alias(f"at_{k}") for k in ("text", "long", *tests)],
@@ -96,7 +100,7 @@ def diary(lines: DataFrame, count: int = 512, max_line: int = 1024) -> DataFrame
     # signals that begin further down
     open_ = firsts.where("NOT plain").select("path", "host")
     if not open_.isEmpty():
-        signals = head_lines(lines.join(bounded(open_), ["path", "host"], "left_semi"), count).groupBy("path", "host").agg(*[F.max(x).alias(k) for k, x in tests.items()], F.max(_region()).alias("region_mb"), F.max(F.length("line")).alias("longest"))
+        signals = _marked(head_lines(lines.join(bounded(open_), ["path", "host"], "left_semi"), count)).groupBy("path", "host").agg(*[F.max(x).alias(k) for k, x in tests.items()], F.max(_region()).alias("region_mb"), F.max(F.length("line")).alias("longest"))
         out = out.unionByName(_told(signals, max_line).localCheckpoint())
     return out
 

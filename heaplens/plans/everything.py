@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import datetime
 import re
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +17,7 @@ from ..operators.rejects import outcomes, parse_with_rejects
 from ..sources.lines import admit, list_files, match_names, probe_files, quarantined, read_heads, read_lines
 from . import synth
 from .catalog import MMU_MS, ZGC_PHASES
-from .queries import _FILES_SQL, _SUM, _files, _user, query
+from .queries import _FILES_SQL, _SUM, _files, _shared, _user, query
 
 # Labels of unified G1 logs with their categories; those after the first eight are concurrent phases.
 G1_LABELS = {
@@ -249,16 +247,6 @@ def categories_classic_all(spark, sf_dir):
 # Real files
 
 
-def _shared(spark: SparkSession) -> str:
-    """A new folder in the shared one; where none is set (tests on one machine), one of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir isn't set")
-        folder = "file://" + tempfile.mkdtemp(prefix="heaplens-")
-    return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def _written(spark, sf_dir) -> str:
     """Each user's unified G1 log as one text file, in folders by what divides the user's number."""
     folder, user = _shared(spark), F.regexp_extract("path", r"-(\d+)/", 1).cast("bigint")
