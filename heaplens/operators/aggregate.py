@@ -20,10 +20,19 @@ def _exact_sum(value: Column) -> Column:
 
 
 def metric_state(observations: DataFrame, **more: Column) -> DataFrame:
-    """name, path, host, category, n, total, last, split, pos: one shuffle for all families; counts, sums and last values are combined before it. ``more`` are further aggregates of value, by name."""
+    """name, path, host, category, n, total, last, split, pos of all families; counts, sums and last values are combined before they are shuffled. ``more`` are further aggregates of value, by name.
+
+    Places are compared within a split first: what is combined there are plain numbers, which are kept by hash in memory for each series, where a place of two parts would have all observations sorted. Then the splits of each series are put together, one row each.
+    """
+    keys = ["name", "path", "host", "category"]
+    if more:
+        at = F.struct("split", "pos")
+        grouped = observations.groupBy(*keys).agg(F.count("value").alias("n"), _exact_sum(F.col("value")).alias("total"), F.max_by("value", at).alias("last"), F.max(at).alias("at"), *[x.alias(name) for name, x in more.items()])
+        return grouped.select(*keys, "n", "total", "last", "at.split", "at.pos", *more)
+    within = observations.groupBy(*keys, "split").agg(F.count("value").alias("n"), F.sum(F.col("value").cast("decimal(38,12)")).alias("total"), F.max_by("value", "pos").alias("last"), F.max("pos").alias("pos"))
     at = F.struct("split", "pos")
-    grouped = observations.groupBy("name", "path", "host", "category").agg(F.count("value").alias("n"), _exact_sum(F.col("value")).alias("total"), F.max_by("value", at).alias("last"), F.max(at).alias("at"), *[x.alias(name) for name, x in more.items()])
-    return grouped.select("name", "path", "host", "category", "n", "total", "last", "at.split", "at.pos", *more)
+    grouped = within.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("total").cast("double").alias("total"), F.max_by("last", at).alias("last"), F.max(at).alias("at"))
+    return grouped.select(*keys, "n", "total", "last", "at.split", "at.pos")
 
 
 def merge_state(before: DataFrame, now: DataFrame) -> DataFrame:
