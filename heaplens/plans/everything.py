@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregate as A
 from ..operators import exposition
-from ..operators.dialect import diary
+from ..operators.dialect import bounded, diary
 from ..operators.events import parse_events
 from ..operators.observations import asked, observe
 from ..operators.rejects import outcomes, parse_with_rejects
-from ..sources.lines import admit, list_files, match_names, probe_files, quarantined, read_heads, read_lines
+from ..sources.lines import admit, list_files, match_names, probe_files, quarantined, read_heads, read_lines, write_texts
 from . import synth
 from .catalog import MMU_MS, ZGC_PHASES
 from .queries import _FILES_SQL, _SUM, _files, _shared, _user, query
@@ -251,6 +251,12 @@ def _written(spark, sf_dir) -> str:
     """Each user's unified G1 log as one text file, in folders by what divides the user's number."""
     folder, user = _shared(spark), F.regexp_extract("path", r"-(\d+)/", 1).cast("bigint")
     lines = synth.unified_g1(synth.events_table(spark, sf_dir)).withColumns({"even": (user % 2 == 0).cast("int"), "third": (user % 3 == 0).cast("int"), "user": user})
+    if folder.startswith("file:"):
+        # Spark's writer calls the system's chmod for each local file, its checksum and its folder, so tasks write local files themselves
+        count = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        ordered = lines.repartition(count, "user").sortWithinPartitions("user", "split", "pos")
+        write_texts(ordered.select("user", "line"), re.sub("^file:/*", "/", folder), lambda k: f"even={int(k % 2 == 0)}/third={int(k % 3 == 0)}/user={k}/part-00000.txt")
+        return folder
     # the order begins with the folders: else the writer sorts by them anew, and beyond what its memory holds it loses the order of lines
     lines.repartition("user").sortWithinPartitions("even", "third", "user", "split", "pos").select("even", "third", "user", F.col("line").alias("value")).write.partitionBy("even", "third", "user").text(folder)
     return folder
@@ -274,7 +280,7 @@ def text_files_multi_glob(spark, sf_dir):
     folder = _written(spark, sf_dir)
     files = list_files(spark, [f"{folder}/even=1/*/*/*.txt", f"{folder}/*/third=1/*/*.txt"])
     lines = read_lines(spark, [f"{folder}/even=1/*/*/*.txt", f"{folder}/even=0/third=1/*/*.txt"])
-    return lines.join(files.select(F.regexp_replace("path", "^file:/*", "/").alias("path")), "path", "left_semi").groupBy(_file_user()).agg(F.count("*").alias("n"))
+    return lines.join(bounded(files.select(F.regexp_replace("path", "^file:/*", "/").alias("path"))), "path", "left_semi").groupBy(_file_user()).agg(F.count("*").alias("n"))
 
 
 @query("SELECT user_id, 1::BIGINT AS n FROM events WHERE user_id % 2 = 0 AND user_id % 3 = 0 AND user_id % 10 = 2 GROUP BY user_id")

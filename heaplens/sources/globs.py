@@ -127,6 +127,60 @@ def strip_scheme(path: str) -> str:
     return regex.sub(r"^[A-Za-z][A-Za-z0-9+.-]+:(?://[^/]*)?(?=/)", "", path)
 
 
+def _inside(folder: str, above: tuple, failed: Callable[[str, OSError], None] | None = None) -> tuple[tuple[int, int], list[os.DirEntry]] | None:
+    """Device and inode of a folder and its entries in order; None if it is gone, can't be listed (which is told to ``failed``) or is one of those ``above`` it."""
+    try:
+        s = os.stat(folder)
+        me = (s.st_dev, s.st_ino)
+        if me in above:
+            return None
+        with os.scandir(folder) as entries:
+            return me, sorted(entries, key=lambda e: e.name)
+    except FileNotFoundError:
+        return None
+    except OSError as error:
+        if failed:
+            failed(folder, error)
+        return None
+
+
+def hidden(name: str) -> bool:
+    """Whether batch listing passes over a name, as Spark does."""
+    return name.startswith(".") or (name.startswith("_") and "=" not in name and not name.startswith(("_metadata", "_common_metadata"))) or name.endswith("._COPYING_")
+
+
+class Visible:
+    """The files that batch listing shows for patterns without braces: those that match one, less hidden names, of files anywhere, of folders from a pattern's first ``**`` on."""
+
+    def __init__(self, globs: Iterable[Glob]) -> None:
+        self.globs = [(g, next((k for k, part in enumerate(strip_scheme(g.pattern).split("/")) if "**" in part), None)) for g in globs]
+        self._any = regex.compile("|".join(g.text for g, _ in self.globs))
+
+    def shows(self, path: str) -> bool:
+        *folders, name = path.split("/")
+        return not hidden(name) and any(g.matches(path) and not (k is not None and any(map(hidden, folders[k:]))) for g, k in self.globs)
+
+    def bases(self) -> list[str]:
+        bases = sorted({strip_scheme(b) for g, _ in self.globs for b in g.bases})
+        return [b for b in bases if not any(b != a and b.startswith(a) for a in bases)]
+
+    def look(self, folder: str, depth: int, above: tuple) -> tuple[list[os.DirEntry], list[tuple[str, int, tuple]]]:
+        """The files that are shown of one folder, and the folders in it that can hold such, each with its depth and those above it. An error is raised, unless something is gone."""
+
+        def failed(path: str, error: OSError) -> None:
+            raise error
+
+        inside = _inside(folder, above, failed)
+        files, below = [], []
+        for entry in inside[1] if inside else ():
+            if entry.is_dir():
+                if depth + 1 < MAX_DEPTH and self._any.fullmatch(entry.path + "/", partial=True):
+                    below.append((entry.path, depth + 1, (*above, inside[0])))
+            elif self.shows(entry.path) and entry.is_file():
+                files.append(entry)
+        return files, below
+
+
 def walk(globs: Iterable[Glob], visit: Callable[[str], bool] | None = None, failed: Callable[[str, OSError], None] | None = None) -> Iterator[os.DirEntry | None]:
     """Regular files below the bases of ``globs`` that match one of them, each path once; links are followed.
 
@@ -139,19 +193,9 @@ def walk(globs: Iterable[Glob], visit: Callable[[str], bool] | None = None, fail
     todo = [(base, 0, ()) for base in reversed(bases)]
     while todo:
         folder, depth, above = todo.pop()
-        try:
-            s = os.stat(folder)
-            me = (s.st_dev, s.st_ino)
-            if me in above:
-                continue
-            with os.scandir(folder) as entries:
-                inside = sorted(entries, key=lambda e: e.name)
-        except FileNotFoundError:
-            continue
-        except OSError as error:
-            if failed:
-                failed(folder, error)
+        if (found := _inside(folder, above, failed)) is None:
             continue
+        me, inside = found
         below = []
         for entry in inside:
             try:

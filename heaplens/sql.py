@@ -11,13 +11,13 @@ from .operators.dialect import diary
 from .operators.events import dialects, parse_events
 from .operators.observations import observe
 from .operators.rejects import outcomes
-from .sources.lines import heads_of, lines_of, list_files
+from .sources.lines import heads_of, lines_in, list_files
 
 
 def register(spark: SparkSession, patterns: list[str] | str, host: str = "localhost", strict_zgc: bool = False, prefix: str = "gc_", started: float | None = None) -> None:
     """Create the temporary views gc_lines, gc_diary, gc_events, gc_rejects, gc_observations and gc_samples. Files are listed and the diary, from their heads, is told once; ``started`` (default: now) is the start time that the samples tell."""
     files = list_files(spark, patterns).localCheckpoint()
-    lines = lines_of(spark, [r.path for r in files.select("path").collect()], host)
+    lines = lines_in(files, host)
     known = diary(heads_of(spark, files, host))
     events = parse_events(lines, known, dialects(known))
     observed = observe(events, strict_zgc)
