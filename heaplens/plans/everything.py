@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import datetime
+import functools
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..operators import aggregate as A
 from ..operators import exposition
@@ -310,6 +312,21 @@ def startup_and_version(spark, sf_dir):
 # The continuous job
 
 
+#: Rows of a micro-batch of a stream that is made from a table.
+STREAM_ROWS = 1_500_000
+
+
+def _by_time(rows: DataFrame, parts: int, folder: str) -> list[DataFrame]:
+    """Rows with a time, in parts of about equal size, each later than the one before; they are read once and written to ``folder`` by part. The cuts come from a summary of bounded size."""
+    spark, at = rows.sparkSession, F.unix_micros("ts")
+    cuts = rows.agg(F.percentile_approx(at, [k / parts for k in range(1, parts)], F.lit(max(10_000, 20 * parts))).alias("cuts")).first().cuts
+    cuts = sorted(set(cuts or []))
+    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= at)) if cuts else F.lit(0)
+    rows.where("ts IS NOT NULL").withColumn("part", part).write.partitionBy("part").parquet(folder)
+    written = spark.read.schema(StructType([*rows.schema.fields, StructField("part", IntegerType())])).parquet(folder)
+    return [written.where(F.col("part") == k).drop("part") for k in range(len(cuts) + 1)]
+
+
 def _stream(spark: SparkSession, parts: list[DataFrame]) -> tuple[DataFrame, str]:
     """A stream that gives one of the tables in each micro-batch, in several files each, and the folder it is in."""
     folder, files = _shared(spark), 4
@@ -336,11 +353,16 @@ def continuous_job(spark, sf_dir):
 
 @query("""SELECT user_id, epoch(time_bucket(INTERVAL 1 HOUR, ts))::BIGINT AS hour, count(*) AS n, round(CAST(sum(CAST(value / 1000 AS DECIMAL(38, 12))) AS DOUBLE), 6) AS total FROM events GROUP BY ALL""")
 def events_stream_tumbling(spark, sf_dir):
-    """A stream of observations in order of time, summed by hour. The watermark lets windows go once they are behind it; each batch writes the windows that it changed, and the last row of each counts."""
-    obs = observe(parse_events(lines := synth.unified_g1(synth.events_table(spark, sf_dir)), diary(lines), [(True, "g1")], ("duration_s",)), names={"event_last_minute_duration_seconds"})
-    cut = synth.events_table(spark, sf_dir).agg(*[F.percentile(F.col("ts").cast("double"), k / 3).alias(f"c{k}") for k in (1, 2)]).first()
-    at = F.col("ts").cast("double")
-    stream, folder = _stream(spark, [obs.where(at < cut.c1), obs.where((at >= cut.c1) & (at < cut.c2)), obs.where(at >= cut.c2)])
+    """A stream of observations in order of time, summed by hour. The watermark lets windows go once they are behind it; each batch writes the windows that it changed, and the last row of each counts.
+
+    A batch has at most some ``STREAM_ROWS`` observations (more only where so many are of one time), and with the watermark the state holds the windows of a batch and an hour, so that neither grows with the table.
+    """
+    lines = synth.unified_g1(synth.events_table(spark, sf_dir))
+    own = _shared(spark)
+    observed = f"{own}/observed"
+    observe(parse_events(lines, diary(lines), [(True, "g1")], ("duration_s",)), names={"event_last_minute_duration_seconds"}).select("path", "ts", "value").write.parquet(observed)
+    obs = spark.read.parquet(observed)
+    stream, folder = _stream(spark, _by_time(obs, max(3, -(-obs.count() // STREAM_ROWS)), f"{own}/parts"))
     windows = stream.withWatermark("ts", "1 hour").groupBy(_user(), F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.round(A._exact_sum(F.col("value")), 6).alias("total"))
     rows = windows.select("user_id", F.col("w.start").cast("bigint").alias("hour"), "n", "total")
     write = lambda df, epoch: df.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{folder}/out/batch={epoch}")
