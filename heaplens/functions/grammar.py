@@ -68,11 +68,10 @@ def fields(line: Column, pattern: str, count: int) -> Column:
     return F.when(F.size(parts) == count + 1, parts)
 
 
-def begin(text: Column, pattern: str, fields: list[str] | int) -> Column:
-    """As ``fields`` for a pattern that has to begin where the text does, so that nothing is tried further on. Fields may join groups, as "$1$2"."""
+def pieces(text: Column, pattern: str, fields: list[str] | int) -> Column:
+    """The fields of a pattern that has to begin where the text does, so that nothing is tried further on, and an empty one; another number of pieces if it doesn't fit. Fields are groups 1..n or may join groups, as "$1$2"."""
     wanted = [f"${k}" for k in range(1, fields + 1)] if isinstance(fields, int) else fields
-    parts = F.split(F.regexp_replace(text, f"^(?:{pattern}).*$", _SEP.join(wanted) + _SEP), _SEP)
-    return F.when(F.size(parts) == len(wanted) + 1, parts)
+    return F.split(F.regexp_replace(text, f"^(?:{pattern}).*$", _SEP.join(wanted) + _SEP), _SEP)
 
 
 def number(text: Column, kind: str = "bigint") -> Column:

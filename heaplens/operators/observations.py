@@ -27,5 +27,7 @@ def observe(events: DataFrame, strict_zgc: bool = False, names: set[str] | None
     """
     chosen = _chosen(strict_zgc, names)
     pairs = F.array(*[F.struct(F.lit(prefix + f.name).alias("name"), F.lit("category" in f.labels).alias("by_category"), value(f).alias("value")) for f in chosen])
-    rows = events.select("path", "host", "category", "split", "pos", "ts", F.explode(F.filter(pairs, lambda x: x["value"].isNotNull())).alias("o"))
+    # the pairs are a column of their own, as the generator would interpret them
+    rows = events.select("path", "host", "category", "split", "pos", "ts", pairs.alias("pairs"))
+    rows = rows.select("path", "host", "category", "split", "pos", "ts", F.explode(F.filter("pairs", lambda x: x["value"].isNotNull())).alias("o"))
     return rows.select("o.name", "path", "host", F.when(F.col("o.by_category"), F.col("category")).alias("category"), "split", "pos", "ts", "o.value")

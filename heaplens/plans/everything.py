@@ -144,6 +144,8 @@ def _family_sql(values: dict[str, str], where: str = "true") -> str:
 
 
 def _family_state(spark: SparkSession, sf_dir: str, make, dialect: tuple[bool, str], names: dict[str, str]) -> DataFrame:
+    # tens of families make methods that HotSpot never compiles (over 8000 bytes); those are left to smaller ones. The session keeps that
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     lines = make(synth.events_table(spark, sf_dir))
     state = A.metric_state(observe(parse_events(lines, diary(lines), [dialect], asked(set(names))), names=set(names)))
     return state.select(_user(), "name", "n", F.round("total", 6).alias("total"), F.round("last", 9).alias("last"))

@@ -31,3 +31,15 @@ def test_a_line_is_asked_once_for_marks(spark):
     lines = spark.createDataFrame([("Using G1",)], "line string").repartition(1)
     rows = _marked(lines).select(*[x.alias(k) for k, x in _tests().items()])
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("Contains(line") == 8 and rows.first().g1
+
+
+def test_a_message_meets_its_pattern_once(spark):
+    """What a pattern gives is a column of its own, and generators take columns that are there."""
+    from heaplens.operators.events import zgc
+    from heaplens.operators.observations import observe
+
+    lines = spark.createDataFrame([("f", "h", 0, 1, "[0.1s][info][gc] GC(1) Pause Mark Start 1.000ms", "zgc", "zgc", None)], "path string, host string, split bigint, pos bigint, line string, family string, collector string, region_kib bigint")
+    events = zgc(lines, {"zgc.pause_mark_start_ms", "duration_s"})
+    assert events._jdf.queryExecution().optimizedPlan().toString().count("(Pause Mark Start|") == 1
+    plan = observe(events, names={"zgc_pause_mark_start_duration_seconds", "event_duration_seconds"})._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Generate explode\(filter\(pairs#", plan)
