@@ -61,13 +61,21 @@ REGION_SIZE = r"Heap region size: (\d+)M|-XX:G1HeapRegionSize=(\d+)m"
 UNIFIED = r"^(?:\[[^\]]*\])+ *(?:Using |Heap region|GC\(|Initializing|Version|CPUs|Memory)|^\[[\d.]+s\]|^\[\d{4}-"
 
 
-def fields(line: Column, pattern: str, count: int) -> Column:
-    """Groups 1..count of the first match as array<string>, null without a match. One pass of the pattern over the line; a group that took no part is empty."""
-    marked = F.regexp_replace(line, f"^.*?(?:{pattern}).*$", _SEP.join(f"${k}" for k in range(1, count + 1)) + _SEP)
-    parts = F.split(marked, _SEP)
+def cut(line: Column, pattern: str, count: int) -> Column:
+    """Groups 1..count of the first match as array<string>, and an empty one (see ``fit``); another number of pieces without a match. One pass of the pattern over the line; a group that took no part is empty."""
+    return F.split(F.regexp_replace(line, f"^.*?(?:{pattern}).*$", _SEP.join(f"${k}" for k in range(1, count + 1)) + _SEP), _SEP)
+
+
+def fit(parts: Column, count: int) -> Column:
+    """What ``cut`` gave, null without a match. If parts is a column of its own, the pattern isn't tried twice."""
     return F.when(F.size(parts) == count + 1, parts)
 
 
+def fields(line: Column, pattern: str, count: int) -> Column:
+    """As ``fit`` of ``cut``."""
+    return fit(cut(line, pattern, count), count)
+
+
 def pieces(text: Column, pattern: str, fields: list[str] | int) -> Column:
     """The fields of a pattern that has to begin where the text does, so that nothing is tried further on, and an empty one; another number of pieces if it doesn't fit. Fields are groups 1..n or may join groups, as "$1$2"."""
     wanted = [f"${k}" for k in range(1, fields + 1)] if isinstance(fields, int) else fields

@@ -43,3 +43,14 @@ def test_a_message_meets_its_pattern_once(spark):
     assert events._jdf.queryExecution().optimizedPlan().toString().count("(Pause Mark Start|") == 1
     plan = observe(events, names={"zgc_pause_mark_start_duration_seconds", "event_duration_seconds"})._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"Generate explode\(filter\(pairs#", plan)
+
+
+def test_a_legacy_line_meets_its_patterns_once(spark):
+    from heaplens.operators.events import legacy_classic
+
+    line = "1.000: [GC (Allocation Failure) [PSYoungGen: 5K->4K(9K)] 12K->6K(99K), 0.1000000 secs]"
+    lines = spark.createDataFrame([("f", "h", 0, 1, line, "classic", "parallel", None), ("f", "h", 0, 2, "no, 0.1 secs]", "classic", "parallel", None)], "path string, host string, split bigint, pos bigint, line string, family string, collector string, region_kib bigint")
+    events = legacy_classic(lines)
+    plan = events._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("PSYoungGen|ParNew") == 1 and plan.count("(?:Metaspace|Perm ?)") == 1
+    assert [(r.heap.occ_after, r.young.occ_after, r.duration_s) for r in events.collect()] == [(6, 4, 0.1)]
